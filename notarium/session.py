@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import notarium
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings every job here wants; all can be set on a live session.
@@ -17,6 +19,10 @@ RUNTIME_SETTINGS = {
 }
 
 
+# Send the package's functions along with each job, so that executors need no copy of it.
+cloudpickle.register_pickle_by_value(notarium)
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
     for key, value in RUNTIME_SETTINGS.items():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _DECIMAL = r"^\s*[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?\s*$"
@@ -16,6 +16,16 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is evaluated exactly once per row.
+
+    The optimizer copies the expression of a plain column into every later filter and
+    projection that names it, which multiplies heavy row expressions.  A one-element
+    ``explode`` is a step it does not copy across.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def parse_double(text: Column) -> Column:
     """Text to double, NULL where the text is no number (Java suffixes such as ``1d`` are none)."""
     readable = text.rlike(_DECIMAL) | text.rlike(_SPECIAL)

@@ -15,8 +15,8 @@ def base_name(path: Column | str) -> Column:
 
 
 def parent_folder(path: Column | str) -> Column:
-    """Everything before the last separator; a file in the root keeps the root itself."""
-    cut = F.regexp_extract(_col(path), r"^(.*)[/\\][^/\\]*$", 1)
+    """Everything before the last separators; a file in the root keeps the root itself."""
+    cut = F.regexp_extract(_col(path), r"^(.*?)[/\\]+[^/\\]*$", 1)
     root = F.regexp_extract(_col(path), r"^([/\\])[^/\\]*$", 1)
     return F.when(root != "", root).otherwise(cut)
 

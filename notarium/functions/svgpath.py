@@ -5,318 +5,258 @@ The text is cut into commands, every command into its argument groups, and one
 Curves count by their true extrema, not by their control points.  Data that no
 reader could draw (wrong argument counts, numbers without a command, an arc of
 radius zero) gives NULL, as does data that draws nothing.
+
+The expression is put together as SQL text: it has some thousand nodes, and one
+``expr`` call builds it in milliseconds where column objects take seconds.
 """
 
 from __future__ import annotations
 
-import math
+from functools import cache
+from itertools import count
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from notarium.functions.expressions import bind
-
 _LETTERS = "MmZzLlHhVvCcSsQqTtAa"
-_NUMBER = r"[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"
+_NUMBER = r"[-+]?[0-9]*\\.?[0-9]+(?:[eE][-+]?[0-9]+)?"
 # Numbers each command consumes at a time.
 _ARITY = {"M": 2, "L": 2, "H": 1, "V": 1, "C": 6, "S": 4, "Q": 4, "T": 2, "A": 7}
+_NONE = "CAST(NULL AS DOUBLE)"
+_names = count()
 
-def _null() -> Column:
-    return F.lit(None).cast("double")
 
+def _let(body, **values: str) -> str:
+    """``body`` over named values, each evaluated once.
 
-def _numbers(text: Column) -> Column:
-    return F.transform(
-        F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(0)), lambda n: n.cast("double")
-    )
+    ``body`` receives a function that turns a name into a reference.
+    """
+    row = f"v{next(_names)}"
+    fields = ", ".join(f"'{name}', {value}" for name, value in values.items())
+    return f"element_at(transform(array(named_struct({fields})), {row} -> {body(lambda n: f'{row}.{n}')}), 1)"
 
 
-def _steps(d: Column) -> Column:
-    """``array<struct<kind, rel, args, ok>>``, one entry per drawn piece, in order."""
-    commands = F.regexp_extract_all(
-        d, F.lit(f"[{_LETTERS}][^{_LETTERS}]*"), F.lit(0)
-    )
+def _struct(**values: str) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in values.items()) + ")"
 
-    def arity_of(kind: Column) -> Column:
-        chain = None
-        for letter, count in _ARITY.items():
-            chain = F.when(kind == letter, count) if chain is None else chain.when(kind == letter, count)
-        return chain.otherwise(0)
-
-    def expand(command: Column) -> Column:
-        letter = F.substring(command, 1, 1)
-        head = F.struct(
-            F.upper(letter).alias("kind"),
-            (letter == F.lower(letter)).alias("rel"),
-            _numbers(F.substring(command, 2, 1 << 30)).alias("nums"),
-        )
 
-        def groups(c: Column) -> Column:
-            return bind(arity_of(c.kind), lambda n: split_groups(c, n))
+def _case(*branches: tuple[str, str], default: str | None = None) -> str:
+    tail = f" ELSE {default}" if default else ""
+    return "CASE" + "".join(f" WHEN {test} THEN {value}" for test, value in branches) + tail + " END"
 
-        def split_groups(c: Column, n: Column) -> Column:
-            empty = F.array().cast("array<double>")
-            single = F.array(
-                F.struct(
-                    c.kind.alias("kind"),
-                    c.rel.alias("rel"),
-                    empty.alias("args"),
-                    ((n == 0) & (F.size(c.nums) == 0)).alias("ok"),
-                )
-            )
-            many = F.transform(
-                F.sequence(F.lit(0), F.call_function("div", F.size(c.nums), n).cast("int") - 1),
-                lambda i: F.struct(
-                    F.when((c.kind == "M") & (i > 0), "L").otherwise(c.kind).alias("kind"),
-                    c.rel.alias("rel"),
-                    F.slice(c.nums, i * n + 1, n).alias("args"),
-                    F.lit(True).alias("ok"),
-                ),
-            )
-            whole = (n > 0) & (F.size(c.nums) > 0) & (F.pmod(F.size(c.nums), F.greatest(n, F.lit(1))) == 0)
-            return F.when(whole, many).otherwise(single)
 
-        return bind(head, groups)
+# ---------------------------------------------------------------- text to steps
+
+
+def _steps(d: str) -> str:
+    """``array<struct<kind, rel, args, ok>>``, one entry per drawn piece, in order."""
+    arity = _case(*[(f"c.kind = '{k}'", str(n)) for k, n in _ARITY.items()], default="0")
+    numbers = (
+        f"transform(regexp_extract_all(substring(cmd, 2), '{_NUMBER}', 0), n -> CAST(n AS DOUBLE))"
+    )
+    pieces = (
+        "transform(sequence(1, size(w.nums), w.n), i -> named_struct("
+        "'kind', IF(w.kind = 'M' AND i > 1, 'L', w.kind), 'rel', w.rel, "
+        "'args', slice(w.nums, i, w.n), 'ok', true))"
+    )
+    single = (
+        "array(named_struct('kind', w.kind, 'rel', w.rel, 'args', CAST(array() AS ARRAY<DOUBLE>), "
+        "'ok', w.n = 0 AND size(w.nums) = 0))"
+    )
+    split = f"IF(w.n > 0 AND size(w.nums) > 0 AND size(w.nums) % greatest(w.n, 1) = 0, {pieces}, {single})"
+    sized = f"named_struct('kind', c.kind, 'rel', c.rel, 'nums', c.nums, 'n', {arity})"
+    command = f"named_struct('kind', upper(left(cmd, 1)), 'rel', left(cmd, 1) = lower(left(cmd, 1)), 'nums', {numbers})"
+    return (
+        f"flatten(transform(transform(transform(regexp_extract_all({d}, '[{_LETTERS}][^{_LETTERS}]*', 0), "
+        f"cmd -> {command}), c -> {sized}), w -> {split}))"
+    )
 
-    return F.flatten(F.transform(commands, expand))
 
+# ---------------------------------------------------------------- extents along one axis
 
-def _extent(*points: Column) -> Column:
-    points = F.array(*points)
-    return bind(points, lambda p: F.struct(F.array_min(p).alias("lo"), F.array_max(p).alias("hi")))
 
+def _span(points: str) -> str:
+    return _let(lambda v: _struct(lo=f"array_min({v('p')})", hi=f"array_max({v('p')})"), p=points)
 
-def _inside(t: Column) -> Column:
-    return (t > 0) & (t < 1)
 
+def _inside(t: str) -> str:
+    return f"{t} > 0 AND {t} < 1"
 
-def _quadratic_extent(p0: Column, p1: Column, p2: Column) -> Column:
-    bend = p0 - 2 * p1 + p2
 
-    def at(t: Column) -> Column:
-        u = 1 - t
-        return F.when(_inside(t), u * u * p0 + 2 * u * t * p1 + t * t * p2)
+def _quadratic(p0: str, p1: str, p2: str) -> str:
+    def at(v):
+        t, u = v("t"), f"(1 - {v('t')})"
+        value = f"{u} * {u} * {p0} + 2 * {u} * {t} * {p1} + {t} * {t} * {p2}"
+        return _span(f"array({p0}, {p2}, CASE WHEN {_inside(t)} THEN {value} END)")
 
-    return _extent(p0, p2, bind(F.when(bend != 0, (p0 - p1) / bend), at))
+    return _let(at, t=f"CASE WHEN {p0} - 2 * {p1} + {p2} <> 0 THEN ({p0} - {p1}) / ({p0} - 2 * {p1} + {p2}) END")
 
 
-def _cubic_extent(p0: Column, p1: Column, p2: Column, p3: Column) -> Column:
+def _cubic(p0: str, p1: str, p2: str, p3: str) -> str:
     # The derivative is 3(a t^2 + b t + c); its roots inside (0, 1) are the extrema.
-    def at(t: Column) -> Column:
-        u = 1 - t
-        return F.when(
-            _inside(t), u * u * u * p0 + 3 * u * u * t * p1 + 3 * u * t * t * p2 + t * t * t * p3
+    def points(v):
+        a, b, c, disc = v("a"), v("b"), v("c"), v("disc")
+        roots = _case(
+            (f"{a} <> 0 AND {disc} >= 0", f"array((-{b} + sqrt({disc})) / (2 * {a}), (-{b} - sqrt({disc})) / (2 * {a}))"),
+            (f"{a} = 0 AND {b} <> 0", f"array(-{c} / {b})"),
+            default="CAST(array() AS ARRAY<DOUBLE>)",
         )
+        t = f"t{next(_names)}"
+        u = f"(1 - {t})"
+        value = f"{u} * {u} * {u} * {p0} + 3 * {u} * {u} * {t} * {p1} + 3 * {u} * {t} * {t} * {p2} + {t} * {t} * {t} * {p3}"
+        return _span(f"concat(array({p0}, {p3}), transform({roots}, {t} -> CASE WHEN {_inside(t)} THEN {value} END))")
 
-    def roots(k: Column) -> Column:
-        square = F.array(
-            F.when(k.disc >= 0, (-k.b + F.sqrt(k.disc)) / (2 * k.a)),
-            F.when(k.disc >= 0, (-k.b - F.sqrt(k.disc)) / (2 * k.a)),
-        )
-        straight = F.array(F.when(k.b != 0, -k.c / k.b))
-        return F.when(k.a != 0, square).otherwise(straight)
-
-    def with_disc(k: Column) -> Column:
-        return F.struct(k.a.alias("a"), k.b.alias("b"), k.c.alias("c"), (k.b * k.b - 4 * k.a * k.c).alias("disc"))
+    def with_disc(v):
+        a, b, c = v("a"), v("b"), v("c")
+        return _let(points, a=a, b=b, c=c, disc=f"{b} * {b} - 4 * {a} * {c}")
 
-    coefficients = F.struct(
-        (p3 - 3 * p2 + 3 * p1 - p0).alias("a"),
-        (2 * (p0 - 2 * p1 + p2)).alias("b"),
-        (p1 - p0).alias("c"),
-    )
-    inner = bind(coefficients, lambda k: bind(with_disc(k), roots))
-    points = F.concat(F.array(p0, p3), F.transform(inner, at))
-    return bind(points, lambda p: F.struct(F.array_min(p).alias("lo"), F.array_max(p).alias("hi")))
+    return _let(with_disc, a=f"{p3} - 3 * {p2} + 3 * {p1} - {p0}", b=f"2 * ({p0} - 2 * {p1} + {p2})", c=f"{p1} - {p0}")
 
 
-def _arc_box(x1: Column, y1: Column, args: Column, x2: Column, y2: Column) -> Column:
+def _arc(x1: str, y1: str, args: str, x2: str, y2: str) -> str:
     """Box of an elliptical arc given by its end points; NULL for a degenerate arc."""
-    first = F.struct(
-        F.abs(F.get(args, 0)).alias("rx0"),
-        F.abs(F.get(args, 1)).alias("ry0"),
-        F.cos(F.radians(F.get(args, 2))).alias("cp"),
-        F.sin(F.radians(F.get(args, 2))).alias("sp"),
-        (F.get(args, 3) != 0).alias("large"),
-        (F.get(args, 4) != 0).alias("sweep"),
-        ((x1 - x2) / 2).alias("hx"),
-        ((y1 - y2) / 2).alias("hy"),
-    )
 
-    def turned(a: Column) -> Column:
-        return F.struct(
-            a.rx0.alias("rx0"), a.ry0.alias("ry0"), a.cp.alias("cp"), a.sp.alias("sp"),
-            a.large.alias("large"), a.sweep.alias("sweep"),
-            (a.cp * a.hx + a.sp * a.hy).alias("u"),
-            (a.cp * a.hy - a.sp * a.hx).alias("v"),
-        )
+    def arg(i: int) -> str:
+        return f"get({args}, {i})"
 
-    def scaled(a: Column) -> Column:
-        # Radii too small to reach both ends grow to the smallest ellipse that does.
-        grow = F.sqrt(F.greatest(F.lit(1.0), (a.u / a.rx0) ** 2 + (a.v / a.ry0) ** 2))
-        return F.struct(
-            (a.rx0 * grow).alias("rx"), (a.ry0 * grow).alias("ry"),
-            a.cp.alias("cp"), a.sp.alias("sp"), a.large.alias("large"), a.sweep.alias("sweep"),
-            a.u.alias("u"), a.v.alias("v"),
-        )
+    def keep(v, *names: str) -> dict[str, str]:
+        return {n: v(n) for n in names}
 
-    def centred(a: Column) -> Column:
-        reach = (a.u / a.rx) ** 2 + (a.v / a.ry) ** 2
-        size = F.sqrt(F.greatest(F.lit(0.0), 1 / reach - 1))
-        sign = F.when(a.large == a.sweep, -1.0).otherwise(1.0)
-        return F.struct(
-            a.rx.alias("rx"), a.ry.alias("ry"), a.cp.alias("cp"), a.sp.alias("sp"),
-            a.sweep.alias("sweep"), a.u.alias("u"), a.v.alias("v"),
-            (sign * size * a.rx * a.v / a.ry).alias("cu"),
-            (-sign * size * a.ry * a.u / a.rx).alias("cv"),
-        )
+    def turned(v):
+        # Half the chord in the axes of the ellipse.
+        return _let(scaled, **keep(v, "rx", "ry", "cp", "sp", "large", "sweep"),
+                    u=f"{v('cp')} * {v('hx')} + {v('sp')} * {v('hy')}",
+                    w=f"{v('cp')} * {v('hy')} - {v('sp')} * {v('hx')}")
 
-    def angles(a: Column) -> Column:
-        start = F.atan2((a.v - a.cv) / a.ry, (a.u - a.cu) / a.rx)
-        end = F.atan2((-a.v - a.cv) / a.ry, (-a.u - a.cu) / a.rx)
-        turn = F.lit(2 * math.pi)
-        sweep_angle = F.when(a.sweep, F.pmod(end - start, turn)).otherwise(F.pmod(start - end, turn))
-        return F.struct(
-            start.alias("start"),
-            F.when(a.sweep, 1.0).otherwise(-1.0).alias("way"),
-            sweep_angle.alias("span"),
-            (a.cp * a.cu - a.sp * a.cv + (x1 + x2) / 2).alias("cx"),
-            (a.sp * a.cu + a.cp * a.cv + (y1 + y2) / 2).alias("cy"),
-            F.sqrt((a.rx * a.cp) ** 2 + (a.ry * a.sp) ** 2).alias("wx"),
-            F.sqrt((a.rx * a.sp) ** 2 + (a.ry * a.cp) ** 2).alias("wy"),
-            F.atan2(-a.ry * a.sp, a.rx * a.cp).alias("tx"),
-            F.atan2(a.ry * a.cp, a.rx * a.sp).alias("ty"),
+    def scaled(v):
+        # Radii too small to reach both ends grow to the smallest ellipse that does.
+        reach = f"power({v('u')} / {v('rx')}, 2) + power({v('w')} / {v('ry')}, 2)"
+        return _let(lambda g: _let(
+            centred, rx=f"{v('rx')} * {g('grow')}", ry=f"{v('ry')} * {g('grow')}",
+            **keep(v, "cp", "sp", "large", "sweep", "u", "w")), grow=f"sqrt(greatest(1D, {reach}))")
+
+    def centred(v):
+        reach = f"(power({v('u')} / {v('rx')}, 2) + power({v('w')} / {v('ry')}, 2))"
+        offset = f"IF({v('large')} = {v('sweep')}, -1D, 1D) * sqrt(greatest(0D, 1 / {reach} - 1))"
+        return _let(lambda o: _let(
+            angles, **keep(v, "rx", "ry", "cp", "sp", "sweep", "u", "w"),
+            cu=f"{o('k')} * {v('rx')} * {v('w')} / {v('ry')}",
+            cw=f"-{o('k')} * {v('ry')} * {v('u')} / {v('rx')}"), k=offset)
+
+    def angles(v):
+        begin = f"atan2(({v('w')} - {v('cw')}) / {v('ry')}, ({v('u')} - {v('cu')}) / {v('rx')})"
+        end = f"atan2((-{v('w')} - {v('cw')}) / {v('ry')}, (-{v('u')} - {v('cu')}) / {v('rx')})"
+        way = f"IF({v('sweep')}, 1D, -1D)"
+        return _let(
+            box, begin=begin, way=way, span=f"pmod(({end} - {begin}) * {way}, 2 * pi())",
+            cx=f"{v('cp')} * {v('cu')} - {v('sp')} * {v('cw')} + ({x1} + {x2}) / 2",
+            cy=f"{v('sp')} * {v('cu')} + {v('cp')} * {v('cw')} + ({y1} + {y2}) / 2",
+            wx=f"sqrt(power({v('rx')} * {v('cp')}, 2) + power({v('ry')} * {v('sp')}, 2))",
+            wy=f"sqrt(power({v('rx')} * {v('sp')}, 2) + power({v('ry')} * {v('cp')}, 2))",
+            tx=f"atan2(-{v('ry')} * {v('sp')}, {v('rx')} * {v('cp')})",
+            ty=f"atan2({v('ry')} * {v('cp')}, {v('rx')} * {v('sp')})",
         )
 
-    def passes(a: Column, angle: Column) -> Column:
-        return F.pmod((angle - a.start) * a.way, F.lit(2 * math.pi)) <= a.span
-
-    def box(a: Column) -> Column:
-        xs = [F.when(passes(a, a.tx), a.cx + a.wx), F.when(passes(a, a.tx + math.pi), a.cx - a.wx)]
-        ys = [F.when(passes(a, a.ty), a.cy + a.wy), F.when(passes(a, a.ty + math.pi), a.cy - a.wy)]
-        return F.struct(_extent(x1, x2, *xs).alias("bx"), _extent(y1, y2, *ys).alias("by"))
+    def box(v):
+        def reached(angle: str, value: str) -> str:
+            return f"CASE WHEN pmod(({angle} - {v('begin')}) * {v('way')}, 2 * pi()) <= {v('span')} THEN {value} END"
 
-    usable = (F.get(args, 0) != 0) & (F.get(args, 1) != 0) & ((x1 != x2) | (y1 != y2))
-    chain = bind(first, lambda a: bind(turned(a), lambda b: bind(scaled(b), lambda c: bind(
-        centred(c), lambda e: bind(angles(e), box)))))
-    return F.when(usable, chain)
+        def axis(a: str, b: str, centre: str, half: str, angle: str) -> str:
+            near = reached(v(angle), f"{v(centre)} + {v(half)}")
+            far = reached(f"{v(angle)} + pi()", f"{v(centre)} - {v(half)}")
+            return _span(f"array({a}, {b}, {near}, {far})")
 
+        return _struct(h=axis(x1, x2, "cx", "wx", "tx"), v=axis(y1, y2, "cy", "wy", "ty"))
 
-def _reach(low: Column, high: Column, *points: Column) -> tuple[Column, Column]:
-    return F.least(low, *points), F.greatest(high, *points)
+    whole = _let(
+        turned, rx=f"abs({arg(0)})", ry=f"abs({arg(1)})", cp=f"cos(radians({arg(2)}))", sp=f"sin(radians({arg(2)}))",
+        large=f"{arg(3)} <> 0", sweep=f"{arg(4)} <> 0", hx=f"({x1} - {x2}) / 2", hy=f"({y1} - {y2}) / 2")
+    return f"CASE WHEN {arg(0)} <> 0 AND {arg(1)} <> 0 AND ({x1} <> {x2} OR {y1} <> {y2}) THEN {whole} END"
 
 
-def _line(acc: Column, ex: Column, ey: Column) -> Column:
-    """Accumulator after a straight piece from the pen to ``(ex, ey)``."""
-    x0, x1 = _reach(acc.x0, acc.x1, acc.x, ex)
-    y0, y1 = _reach(acc.y0, acc.y1, acc.y, ey)
-    return _state(ex, ey, acc.sx, acc.sy, _null(), _null(), 0, x0, x1, y0, y1, F.lit(True))
+# ---------------------------------------------------------------- the walk
 
 
-def _state(x, y, sx, sy, cx, cy, curve: int, x0, x1, y0, y1, ok) -> Column:
+def _state(x, y, sx, sy, cx, cy, curve, x0, x1, y0, y1) -> str:
     """Pen, start of the sub-path, last control with its curve degree, box so far."""
-    return F.struct(
-        x.alias("x"), y.alias("y"), sx.alias("sx"), sy.alias("sy"),
-        cx.alias("cx"), cy.alias("cy"), F.lit(curve).alias("curve"),
-        x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"), ok.alias("ok"),
-    )
+    return _struct(x=x, y=y, sx=sx, sy=sy, cx=cx, cy=cy, curve=str(curve), x0=x0, x1=x1, y0=y0, y1=y1, ok="true")
 
 
-def _curve(acc: Column, points: Column, degree: int) -> Column:
-    """Accumulator after a curve; ``points`` holds its controls and its end point."""
-
-    def axis(start: Column, c1: Column, c2: Column, end: Column) -> Column:
-        # Controls between the two ends cannot push the curve outside them.
-        lo, hi = F.least(start, end), F.greatest(start, end)
-        flat = c1.between(lo, hi) & c2.between(lo, hi)
-        bent = _cubic_extent(start, c1, c2, end) if degree == 3 else _quadratic_extent(start, c1, end)
-        return F.when(flat, F.struct(lo.alias("lo"), hi.alias("hi"))).otherwise(bent)
-
-    def grown(p: Column) -> Column:
-        boxes = F.struct(
-            axis(acc.x, p.ax, p.bx, p.ex).alias("h"), axis(acc.y, p.ay, p.by, p.ey).alias("v")
-        )
-        return bind(boxes, lambda b: _state(
-            p.ex, p.ey, acc.sx, acc.sy, p.bx, p.by, degree,
-            F.least(acc.x0, b.h.lo), F.greatest(acc.x1, b.h.hi),
-            F.least(acc.y0, b.v.lo), F.greatest(acc.y1, b.v.hi), F.lit(True),
-        ))
-
-    return bind(points, grown)
-
-
-def _controls(ax: Column, ay: Column, bx: Column, by: Column, ex: Column, ey: Column) -> Column:
-    return F.struct(
-        ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"), ex.alias("ex"), ey.alias("ey")
-    )
-
+_FAILED = _struct(**{n: f"a.{n}" for n in ("x", "y", "sx", "sy", "cx", "cy", "curve", "x0", "x1", "y0", "y1")}, ok="false")
 
-def _advance(acc: Column, step: Column) -> Column:
-    """Accumulator after one step; only the branch of its command is evaluated."""
-    kind = step.kind
 
-    def x(i: int) -> Column:
-        return F.when(step.rel, acc.x + F.get(step.args, i)).otherwise(F.get(step.args, i))
+def _line(ex: str, ey: str) -> str:
+    return _state(
+        ex, ey, "a.sx", "a.sy", _NONE, _NONE, 0, f"least(a.x0, a.x, {ex})", f"greatest(a.x1, a.x, {ex})",
+        f"least(a.y0, a.y, {ey})", f"greatest(a.y1, a.y, {ey})")
 
-    def y(i: int) -> Column:
-        return F.when(step.rel, acc.y + F.get(step.args, i)).otherwise(F.get(step.args, i))
 
-    def mirrored(degree: int, at: Column, control: Column) -> Column:
-        return F.when(acc.curve == degree, 2 * at - control).otherwise(at)
-
-    cubic = _controls(x(0), y(1), x(2), y(3), x(4), y(5))
-    smooth_cubic = _controls(
-        mirrored(3, acc.x, acc.cx), mirrored(3, acc.y, acc.cy), x(0), y(1), x(2), y(3)
-    )
-    square = _controls(x(0), y(1), x(0), y(1), x(2), y(3))
-    mirror_x, mirror_y = mirrored(2, acc.x, acc.cx), mirrored(2, acc.y, acc.cy)
-    smooth_square = _controls(mirror_x, mirror_y, mirror_x, mirror_y, x(0), y(1))
-
-    def arc(box: Column) -> Column:
-        grown = _state(
-            x(5), y(6), acc.sx, acc.sy, _null(), _null(), 0,
-            F.least(acc.x0, box.bx.lo), F.greatest(acc.x1, box.bx.hi),
-            F.least(acc.y0, box.by.lo), F.greatest(acc.y1, box.by.hi), F.lit(True),
-        )
-        return F.when(box.isNotNull(), grown).otherwise(acc.withField("ok", F.lit(False)))
-
-    opened = _state(
-        x(0), y(1), x(0), y(1), _null(), _null(), 0, acc.x0, acc.x1, acc.y0, acc.y1, F.lit(True)
-    )
-    closed = (
-        F.when(acc.sx.isNull(), acc.withField("ok", F.lit(False)))
-        .when((acc.sx != acc.x) | (acc.sy != acc.y), _line(acc, acc.sx, acc.sy))
-        .otherwise(acc)
-    )
-    return (
-        F.when(kind == "L", _line(acc, x(0), y(1)))
-        .when(kind == "C", _curve(acc, cubic, 3))
-        .when(kind == "M", opened)
-        .when(kind == "Z", closed)
-        .when(kind == "H", _line(acc, x(0), acc.y))
-        .when(kind == "V", _line(acc, acc.x, y(0)))
-        .when(kind == "S", _curve(acc, smooth_cubic, 3))
-        .when(kind == "Q", _curve(acc, square, 2))
-        .when(kind == "T", _curve(acc, smooth_square, 2))
-        .otherwise(bind(_arc_box(acc.x, acc.y, step.args, x(5), y(6)), arc))
+def _curve(degree: int, ax: str, ay: str, bx: str, by: str, ex: str, ey: str) -> str:
+    def axis(v, start: str, c1: str, c2: str, end: str) -> str:
+        # Controls between the two ends cannot push the curve outside them.
+        lo, hi = f"least({start}, {v(end)})", f"greatest({start}, {v(end)})"
+        bent = _cubic(start, v(c1), v(c2), v(end)) if degree == 3 else _quadratic(start, v(c1), v(end))
+        return (f"IF({v(c1)} BETWEEN {lo} AND {hi} AND {v(c2)} BETWEEN {lo} AND {hi}, {_struct(lo=lo, hi=hi)}, {bent})")
+
+    def grown(v):
+        return _let(
+            lambda b: _state(
+                v("ex"), v("ey"), "a.sx", "a.sy", v("bx"), v("by"), degree,
+                f"least(a.x0, {b('h')}.lo)", f"greatest(a.x1, {b('h')}.hi)",
+                f"least(a.y0, {b('v')}.lo)", f"greatest(a.y1, {b('v')}.hi)"),
+            h=axis(v, "a.x", "ax", "bx", "ex"), v=axis(v, "a.y", "ay", "by", "ey"))
+
+    return _let(grown, ax=ax, ay=ay, bx=bx, by=by, ex=ex, ey=ey)
+
+
+def _advance() -> str:
+    """Accumulator ``a`` after step ``s``; only the branch of its command is evaluated."""
+
+    def x(i: int) -> str:
+        return f"(get(s.args, {i}) + IF(s.rel, a.x, 0D))"
+
+    def y(i: int) -> str:
+        return f"(get(s.args, {i}) + IF(s.rel, a.y, 0D))"
+
+    def mirrored(degree: int, axis: str) -> str:
+        return f"IF(a.curve = {degree}, 2 * a.{axis} - a.c{axis}, a.{axis})"
+
+    arc = _let(
+        lambda b: f"IF({b('box')} IS NULL, {_FAILED}, " + _state(
+            x(5), y(6), "a.sx", "a.sy", _NONE, _NONE, 0,
+            f"least(a.x0, {b('box')}.h.lo)", f"greatest(a.x1, {b('box')}.h.hi)",
+            f"least(a.y0, {b('box')}.v.lo)", f"greatest(a.y1, {b('box')}.v.hi)") + ")",
+        box=_arc("a.x", "a.y", "s.args", x(5), y(6)))
+    opened = _state(x(0), y(1), x(0), y(1), _NONE, _NONE, 0, "a.x0", "a.x1", "a.y0", "a.y1")
+    closed = _case(("a.sx IS NULL", _FAILED), ("a.sx <> a.x OR a.sy <> a.y", _line("a.sx", "a.sy")), default="a")
+    mx, my = mirrored(2, "x"), mirrored(2, "y")
+    return _case(
+        ("NOT (a.ok AND s.ok)", _FAILED),
+        ("s.kind = 'L'", _line(x(0), y(1))),
+        ("s.kind = 'C'", _curve(3, x(0), y(1), x(2), y(3), x(4), y(5))),
+        ("s.kind = 'M'", opened),
+        ("s.kind = 'Z'", closed),
+        ("s.kind = 'H'", _line(x(0), "a.y")),
+        ("s.kind = 'V'", _line("a.x", y(0))),
+        ("s.kind = 'S'", _curve(3, mirrored(3, "x"), mirrored(3, "y"), x(0), y(1), x(2), y(3))),
+        ("s.kind = 'Q'", _curve(2, x(0), y(1), x(0), y(1), x(2), y(3))),
+        ("s.kind = 'T'", _curve(2, mx, my, mx, my, x(0), y(1))),
+        default=arc,
     )
 
 
-def path_bbox(d: Column) -> Column:
-    """``struct<xmin, xmax, ymin, ymax>`` of path data, NULL where it has no box."""
-    start = _state(
-        F.lit(0.0), F.lit(0.0), _null(), _null(), _null(), _null(), 0,
-        _null(), _null(), _null(), _null(), F.lit(True),
-    )
+@cache
+def path_bbox_sql(d: str) -> str:
+    start = _state("0D", "0D", _NONE, _NONE, _NONE, _NONE, 0, _NONE, _NONE, _NONE, _NONE)
+    box = _struct(xmin="a.x0", xmax="a.x1", ymin="a.y0", ymax="a.y1")
+    walk = f"aggregate({_steps(d)}, {start}, (a, s) -> {_advance()}, a -> IF(a.ok AND a.x0 IS NOT NULL, {box}, NULL))"
+    stray = f"regexp_extract({d}, '^([^{_LETTERS}]*)', 1) RLIKE '{_NUMBER}'"
+    return f"CASE WHEN NOT ({stray}) THEN {walk} END"
 
-    def walk(acc: Column, step: Column) -> Column:
-        failed = acc.withField("ok", F.lit(False))
-        return F.when(acc.ok & step.ok, _advance(acc, step)).otherwise(failed)
 
-    def finish(acc: Column) -> Column:
-        box = F.struct(
-            acc.x0.alias("xmin"), acc.x1.alias("xmax"), acc.y0.alias("ymin"), acc.y1.alias("ymax")
-        )
-        return F.when(acc.ok & acc.x0.isNotNull(), box)
+def path_bbox(d: str) -> Column:
+    """``struct<xmin, xmax, ymin, ymax>`` of path data, NULL where it has no box.
 
-    stray = F.regexp_extract(d, f"^([^{_LETTERS}]*)", 1).rlike(_NUMBER)
-    return F.when(~stray, F.aggregate(_steps(d), start, walk, finish))
+    ``d`` is SQL: a column name, or any string expression.
+    """
+    return F.expr(path_bbox_sql(d))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notarium.functions.expressions import bind, parse_double
+from notarium.functions.expressions import bind, once, parse_double
 from notarium.functions.svgpath import path_bbox
 
 # Class vocabulary, fallback page size, symbol box sizes.
@@ -47,13 +47,11 @@ def page_size(elements: DataFrame) -> DataFrame:
         elements.filter((F.col("tag") == "path") & F.col("cls").isNull())
         .groupBy("file").agg(F.min_by(F.struct("d"), "ord").alias("first"))
     )
-    return (
-        elements.select("file").distinct().join(first, "file", "left")
-        .select("file", _page_struct(F.col("first.d")).alias("page")).select("file", "page.*")
-    )
+    pages = elements.select("file").distinct().join(first, "file", "left")
+    return once(pages, "page", _page_struct("first.d")).select("file", "page.*")
 
 
-def _page_struct(d: Column) -> Column:
+def _page_struct(d: str) -> Column:
     def size(box: Column) -> Column:
         w, h = DEFAULT_PAGE
         return F.struct(
@@ -61,7 +59,7 @@ def _page_struct(d: Column) -> Column:
             F.coalesce(box.ymax - box.ymin, F.lit(h)).alias("page_h"),
         )
 
-    return bind(path_bbox(F.when(d != "", d)), size)
+    return bind(path_bbox(d), size)
 
 
 def assign_class(elements: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -159,7 +157,7 @@ def element_boxes(elements: DataFrame, include_polyline: bool = False, own_trans
     polyline = polyline_bbox(F.col("points")) if include_polyline else F.lit(None).cast(
         "struct<xmin:double,xmax:double,ymin:double,ymax:double>")
     raw = (
-        F.when((tag == "path") & (F.col("d") != ""), path_bbox(F.col("d")))
+        F.when((tag == "path") & (F.col("d") != ""), path_bbox("d"))
         .when(tag == "use", use_bbox(F.col("x"), F.col("y"), F.col("cls")))
         .when((tag == "polyline") & (F.col("points") != ""), polyline)
     )
@@ -169,8 +167,7 @@ def element_boxes(elements: DataFrame, include_polyline: bool = False, own_trans
         transforms = F.concat(own, transforms)
     moved = F.when(F.col("_raw").isNotNull(), shift_by_ancestors(F.col("_raw"), transforms))
     return (
-        elements.withColumn("_raw", raw)
-        .withColumn("box", moved)
+        once(once(elements, "_raw", raw), "box", moved)
         .withColumn(
             "reject",
             F.when((tag == "use") & F.col("_raw").isNull(), "bad symbol position")
@@ -207,7 +204,7 @@ def label_boxes(documents: DataFrame, include_polyline: bool = False, own_transf
     elements are listed, so the whole way from document to label needs no shuffle.
     """
     tags = ("use", "path", "polyline") if include_polyline else ("use", "path")
-    sized = documents.withColumn("page", _page_struct(F.col("page_d"))).select(
+    sized = once(documents, "page", _page_struct("page_d")).select(
         *[c for c in documents.columns if c not in ("page_d", "error")], "page.*"
     )
     listed = page_elements(sized).filter(F.col("tag").isin(*tags)).withColumn("class_id", class_id(F.col("cls")))

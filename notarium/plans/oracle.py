@@ -126,7 +126,7 @@ stretches AS (
          max(clock_us) AS seg_end_us, session AS song_id
   FROM clock GROUP BY session, segment)"""
 
-_DOC = "concat_ws('-', l_suppkey, l_orderkey, l_linenumber, l_partkey)"
+_DOC = "concat_ws('-', l_suppkey, l_orderkey, l_linenumber, l_partkey, CAST(round(l_extendedprice * 100) AS BIGINT))"
 
 _BOXES = f"""
 lines AS (
@@ -168,7 +168,7 @@ paths AS (
 def _routed(source: str) -> str:
     return f"""
 cut AS (
-  SELECT path, path[:len(path) - len(split_part(path, '/', -1)) - 1] AS parent, split_part(path, '/', -1) AS base FROM {source}),
+  SELECT path, rtrim(path[:len(path) - len(split_part(path, '/', -1))], '/') AS parent, split_part(path, '/', -1) AS base FROM {source}),
 named AS (
   SELECT path, parent, base[:len(base) - len(split_part(base, '.', -1)) - 1] AS stem,
          '.' || lower(split_part(base, '.', -1)) AS ext FROM cut),
@@ -278,18 +278,18 @@ ORACLE: dict[str, str] = {
         SELECT song_id AS file, pitch, start_tick, end_tick - start_tick AS len_ticks, velocity
         FROM ons JOIN offs USING (song_id, pitch, k)""",
     "midi_notes": f"""WITH files AS (
-          SELECT {_DOC} AS file, CAST(l_partkey % 128 AS INTEGER) AS pitch, CAST(l_linenumber * 97 AS BIGINT) AS at,
+          SELECT {_DOC} AS file, CAST(l_partkey % 128 AS INTEGER) AS pitch, CAST(l_linenumber * 97 AS BIGINT) AS tick,
                  CAST(l_quantity AS BIGINT) * 48 AS len, CAST(1 + l_orderkey % 127 AS INTEGER) AS velocity,
                  300000 + (l_orderkey * 31) % 400000 AS us FROM lineitem),
-        pairs AS (SELECT file, pitch, at AS start_tick, len AS len_ticks, velocity, us FROM files
-                  UNION ALL SELECT file, pitch, at + 24, 2 * len - 24, 64, us FROM files)
+        pairs AS (SELECT file, pitch, tick AS start_tick, len AS len_ticks, velocity, us FROM files
+                  UNION ALL SELECT file, pitch, tick + 24, 2 * len - 24, 64, us FROM files)
         SELECT file, pitch, start_tick, len_ticks, velocity, (start_tick * us + 240) // 480 AS start_us,
                ((start_tick + len_ticks) * us + 240) // 480 - (start_tick * us + 240) // 480 AS dur_us FROM pairs""",
     "score_notes": f"""WITH docs AS (
           SELECT {_DOC} AS file, CAST(l_quantity AS BIGINT) AS q, [1, 2, 4, 8][l_partkey % 4 + 1] AS v,
-                 2 + l_linenumber % 5 AS oct, [0, 2, 4, 5, 7, 9, 11][l_orderkey % 7 + 1] AS semi FROM lineitem),
+                 2 + l_linenumber % 5 AS oct, [0, 2, 4, 5, 7, 9, 11][l_orderkey % 7 + 1] AS semitone FROM lineitem),
         placed AS (
-          SELECT file, 2 AS ord, (oct + 1) * 12 + semi + 1 AS pitch, 0 AS start_tick, q * 480 // v AS len_ticks FROM docs
+          SELECT file, 2 AS ord, (oct + 1) * 12 + semitone + 1 AS pitch, 0 AS start_tick, q * 480 // v AS len_ticks FROM docs
           UNION ALL SELECT file, 3, (oct + 1) * 12 + 4, 0, q * 480 // v FROM docs
           UNION ALL SELECT file, 6, 47, 0, (q + 1) * 480 // v FROM docs
           UNION ALL SELECT file, 9, 71, (q + 1) * 480 // v, 720 FROM docs)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notarium.functions.expressions import once
 from notarium.functions.svgpath import path_bbox
 from notarium.operators import control, keyboard, labels, notes, playback, routing, score
 from notarium.plans import standins
@@ -86,7 +87,8 @@ def path_boxes(spark, d):
         F.lit(" 30 "), -f, F.lit(" 40 0a5,5 0 0 1 10 0 h-"), q, F.lit("v"), F.col("l_linenumber"),
         F.lit(" S 3.5 1e1 "), a, F.lit(" "), b, F.lit(" T "), a + 4, F.lit(" "), b, F.lit(" z"),
     )
-    box = standins.table(spark, d, "lineitem").select(standins.document_id().alias("file"), path_bbox(data).alias("b"))
+    line = standins.table(spark, d, "lineitem").select(standins.document_id().alias("file"), data.alias("d"))
+    box = once(line, "b", path_bbox("d"))
     return box.select("file", *[F.round(f"b.{c}", 6).alias(c) for c in ("xmin", "xmax", "ymin", "ymax")])
 
 
@@ -96,8 +98,8 @@ def polyline_boxes(spark, d):
     points = F.concat(
         F.lit(" "), a, F.lit(","), b, F.lit("  "), a + width, F.lit(","), b + F.col("l_quantity").cast("bigint"),
         F.lit(" 7 1,2,3 "), a, F.lit(".25,"), b - 9)
-    box = standins.table(spark, d, "lineitem").select(
-        standins.document_id().alias("file"), labels.polyline_bbox(points).alias("b"))
+    line = standins.table(spark, d, "lineitem").select(standins.document_id().alias("file"), points.alias("points"))
+    box = once(line, "b", labels.polyline_bbox(F.col("points")))
     return box.select("file", "b.*")
 
 

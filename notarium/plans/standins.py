@@ -93,7 +93,8 @@ def inputs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_id():
-    return F.concat_ws("-", "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    return F.concat_ws("-", "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", cents)
 
 
 def svg_pages(spark: SparkSession, folder: str) -> DataFrame:

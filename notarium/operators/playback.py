@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from notarium.functions.expressions import floor_div, trunc_div
 from notarium.operators import scan
+from notarium.session import spread
 from notarium.operators.keyboard import HIT_LINE, KEY_COUNT, LOWEST_PITCH
 
 # Fixed values.
@@ -254,7 +255,7 @@ def pressed_frames(notes: DataFrame, fps: int = FRAME_RATE) -> DataFrame:
 
     The rows come from ``explode(sequence(..))`` inside each row: no join and no shuffle.
     """
-    spans = frame_spans(notes, fps).filter(F.col("pressed_from") <= F.col("pressed_to"))
+    spans = frame_spans(spread(notes), fps).filter(F.col("pressed_from") <= F.col("pressed_to"))
     return spans.withColumn("frame", F.explode(F.sequence("pressed_from", "pressed_to"))).drop(
         "pressed_from", "pressed_to", "drawn_to"
     )
@@ -264,7 +265,7 @@ def drawn_frames(notes: DataFrame, fps: int = FRAME_RATE, visible_only: bool = T
     """One row per note and frame with its rectangle.  ``visible_only`` leaves out the
     frames in which the rectangle is still above the screen, which show nothing; without
     it a note is drawn from frame 0 on."""
-    spans = frame_spans(notes, fps)
+    spans = frame_spans(spread(notes), fps)
     # The lower edge reaches pixel 0 once fewer than HIT_LINE + 1 pixels are left to fall.
     entry = floor_div((F.col("start_us") - (HIT_LINE + 1) * US_PER_PIXEL) * fps, 1_000_000) + 1
     first = F.greatest(F.lit(0).cast("bigint"), entry) if visible_only else F.lit(0).cast("bigint")

@@ -11,7 +11,7 @@ from notarium.functions.expressions import once
 from notarium.functions.svgpath import path_bbox
 from notarium.operators import control, keyboard, labels, notes, playback, routing, score
 from notarium.plans import standins
-from notarium.session import materialise, tune
+from notarium.session import materialise, spread, tune
 from notarium.sources import midi, scores, svg
 from notarium.streaming import live
 
@@ -88,7 +88,7 @@ def path_boxes(spark, d):
         F.lit(" S 3.5 1e1 "), a, F.lit(" "), b, F.lit(" T "), a + 4, F.lit(" "), b, F.lit(" z"),
     )
     line = standins.table(spark, d, "lineitem").select(standins.document_id().alias("file"), data.alias("d"))
-    box = once(line, "b", path_bbox("d"))
+    box = once(spread(line), "b", path_bbox("d"))
     return box.select("file", *[F.round(f"b.{c}", 6).alias(c) for c in ("xmin", "xmax", "ymin", "ymax")])
 
 
@@ -99,7 +99,7 @@ def polyline_boxes(spark, d):
         F.lit(" "), a, F.lit(","), b, F.lit("  "), a + width, F.lit(","), b + F.col("l_quantity").cast("bigint"),
         F.lit(" 7 1,2,3 "), a, F.lit(".25,"), b - 9)
     line = standins.table(spark, d, "lineitem").select(standins.document_id().alias("file"), points.alias("points"))
-    box = once(line, "b", labels.polyline_bbox(F.col("points")))
+    box = once(spread(line), "b", labels.polyline_bbox(F.col("points")))
     return box.select("file", "b.*")
 
 

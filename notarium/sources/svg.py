@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from notarium.session import spread
+
 ELEMENT_FIELDS = ("tag", "cls", "d", "x", "y", "points", "transform")
 _ELEMENT = T.StructType(
     [T.StructField("ord", T.IntegerType())]
@@ -106,4 +108,4 @@ def parse_pages(pages: DataFrame, tags: tuple[str, ...] = ("use", "path"), text:
                 [*names, "elements", "page_d", "error"],
             )
 
-    return pages.mapInArrow(run, schema)
+    return spread(pages).mapInArrow(run, schema)

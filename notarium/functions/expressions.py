@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_DECIMAL = r"^\s*[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?\s*$"
 _SPECIAL = r"(?i)^\s*[-+]?(inf|infinity|nan)\s*$"
 
 
@@ -28,8 +27,34 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def parse_double(text: Column) -> Column:
     """Text to double, NULL where the text is no number (Java suffixes such as ``1d`` are none)."""
-    readable = text.rlike(_DECIMAL) | text.rlike(_SPECIAL)
-    return F.when(readable, F.trim(text).try_cast("double"))
+    plain = ~text.rlike("[dDfFxXpP]")
+    return F.when(plain | text.rlike(_SPECIAL), text.try_cast("double"))
+
+
+def six_decimals(x: Column) -> Column:
+    """A non-negative double as text with six decimals, rounded by its exact binary value,
+    halves to even.
+
+    ``format_string`` rounds the shortest decimal form half up, which differs where that
+    form ends in a 5 at the seventh place.  Here the double is split into two halves whose
+    products with 15625 are exact, so its distance to the nearest half step has the right sign.
+    """
+
+    def split(v: Column) -> Column:
+        wide = v.x * 134217729.0
+        hi = wide - (wide - v.x)
+        return F.struct(hi.alias("hi"), (v.x - hi).alias("lo"), F.floor(v.x * 1000000.0).alias("below"))
+
+    def millionths(v: Column) -> Column:
+        half = (2 * v.below + 1).cast("double") / 128.0  # half step times 15625, exactly
+        side = (v.hi * 15625.0 - half) + v.lo * 15625.0
+        return v.below + F.when(side > 0, 1).when(side < 0, 0).otherwise(F.pmod(v.below, F.lit(2)))
+
+    def text(n: Column) -> Column:
+        whole, rest = trunc_div(n, 1000000), n % 1000000
+        return F.concat(whole.cast("string"), F.lit("."), F.lpad(rest.cast("string"), 6, "0"))
+
+    return bind(F.struct(x.alias("x")), lambda v: bind(split(v), lambda s: bind(millionths(s), text)))
 
 
 def floor_div(num: Column, den: int) -> Column:

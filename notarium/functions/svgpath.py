@@ -49,27 +49,26 @@ def _case(*branches: tuple[str, str], default: str | None = None) -> str:
 
 
 def _steps(d: str) -> str:
-    """``array<struct<kind, rel, args, ok>>``, one entry per drawn piece, in order."""
-    arity = _case(*[(f"c.kind = '{k}'", str(n)) for k, n in _ARITY.items()], default="0")
-    numbers = (
-        f"transform(regexp_extract_all(substring(cmd, 2), '{_NUMBER}', 0), n -> CAST(n AS DOUBLE))"
-    )
+    """``array<struct<kind, rel, args, n>>``, one entry per drawn piece, in order.
+
+    ``n`` is the number of arguments the kind takes; a step with another number is broken.
+    """
+    sizes = ", ".join(str(_ARITY.get(chr(c), 0)) for c in range(ord("A"), ord("Z") + 1))
+
+    def arity(kind: str) -> str:
+        return f"get(array({sizes}), ascii({kind}) - 65)"
+
+    numbers = f"CAST(regexp_extract_all(substring(cmd, 2), '{_NUMBER}', 0) AS ARRAY<DOUBLE>)"
+    command = f"named_struct('kind', upper(left(cmd, 1)), 'rel', ascii(cmd) >= 97, 'args', {numbers}, 'n', {arity('upper(cmd)')})"
+    commands = f"transform(regexp_extract_all({d}, '[{_LETTERS}][^{_LETTERS}]*', 0), cmd -> {command})"
+    # Most commands carry one group and are steps as they stand; only repeated groups are split.
     pieces = (
-        "transform(sequence(1, size(w.nums), w.n), i -> named_struct("
-        "'kind', IF(w.kind = 'M' AND i > 1, 'L', w.kind), 'rel', w.rel, "
-        "'args', slice(w.nums, i, w.n), 'ok', true))"
-    )
-    single = (
-        "array(named_struct('kind', w.kind, 'rel', w.rel, 'args', CAST(array() AS ARRAY<DOUBLE>), "
-        "'ok', w.n = 0 AND size(w.nums) = 0))"
-    )
-    split = f"IF(w.n > 0 AND size(w.nums) > 0 AND size(w.nums) % greatest(w.n, 1) = 0, {pieces}, {single})"
-    sized = f"named_struct('kind', c.kind, 'rel', c.rel, 'nums', c.nums, 'n', {arity})"
-    command = f"named_struct('kind', upper(left(cmd, 1)), 'rel', left(cmd, 1) = lower(left(cmd, 1)), 'nums', {numbers})"
-    return (
-        f"flatten(transform(transform(transform(regexp_extract_all({d}, '[{_LETTERS}][^{_LETTERS}]*', 0), "
-        f"cmd -> {command}), c -> {sized}), w -> {split}))"
+        "transform(sequence(1, size(w.args), w.n), i -> named_struct("
+        "'kind', IF(w.kind = 'M' AND i > 1, 'L', w.kind), 'rel', w.rel, 'args', slice(w.args, i, w.n), 'n', w.n))"
     )
+    split = f"flatten(transform(cs, w -> IF(w.n > 0 AND size(w.args) > w.n, {pieces}, array(w))))"
+    steps = f"IF(exists(cs, c -> c.n > 0 AND size(c.args) > c.n), {split}, cs)"
+    return f"element_at(transform(array({commands}), cs -> {steps}), 1)"
 
 
 # ---------------------------------------------------------------- extents along one axis
@@ -231,7 +230,7 @@ def _advance() -> str:
     closed = _case(("a.sx IS NULL", _FAILED), ("a.sx <> a.x OR a.sy <> a.y", _line("a.sx", "a.sy")), default="a")
     mx, my = mirrored(2, "x"), mirrored(2, "y")
     return _case(
-        ("NOT (a.ok AND s.ok)", _FAILED),
+        ("NOT a.ok OR size(s.args) <> s.n", _FAILED),
         ("s.kind = 'L'", _line(x(0), y(1))),
         ("s.kind = 'C'", _curve(3, x(0), y(1), x(2), y(3), x(4), y(5))),
         ("s.kind = 'M'", opened),

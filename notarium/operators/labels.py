@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notarium.functions.expressions import bind, once, parse_double
+from notarium.functions.expressions import bind, once, parse_double, six_decimals
 from notarium.functions.svgpath import path_bbox
 
 # Class vocabulary, fallback page size, symbol box sizes.
@@ -31,10 +31,15 @@ def vocabulary(spark: SparkSession, class_ids: dict[str, int] | None = None) ->
     return spark.createDataFrame(rows, "cls string, class_id int")
 
 
-def page_elements(documents: DataFrame) -> DataFrame:
-    """One row per element of parsed documents (see ``sources.svg.parse_pages``)."""
-    kept = [c for c in documents.columns if c not in ("elements", "page_d", "error")]
-    return documents.select(*kept, F.explode("elements").alias("e")).select(*kept, "e.*")
+def page_elements(documents: DataFrame, with_errors: bool = False) -> DataFrame:
+    """One row per element of parsed documents (see ``sources.svg.parse_pages``).
+
+    ``with_errors`` keeps the ``error`` column, and a row for documents without elements.
+    """
+    dropped = ("elements", "page_d") if with_errors else ("elements", "page_d", "error")
+    kept = [c for c in documents.columns if c not in dropped]
+    listing = F.explode_outer if with_errors else F.explode
+    return documents.select(*kept, listing("elements").alias("e")).select(*kept, "e.*")
 
 
 def page_size(elements: DataFrame) -> DataFrame:
@@ -43,11 +48,8 @@ def page_size(elements: DataFrame) -> DataFrame:
     For element tables whose documents are gone.  ``label_boxes`` does not need it: there
     the parser hands the page outline along with the document.
     """
-    first = (
-        elements.filter((F.col("tag") == "path") & F.col("cls").isNull())
-        .groupBy("file").agg(F.min_by(F.struct("d"), "ord").alias("first"))
-    )
-    pages = elements.select("file").distinct().join(first, "file", "left")
+    outline = F.when((F.col("tag") == "path") & F.col("cls").isNull(), F.col("ord"))
+    pages = elements.groupBy("file").agg(F.min_by(F.struct("d"), outline).alias("first"))
     return once(pages, "page", _page_struct("first.d")).select("file", "page.*")
 
 
@@ -91,7 +93,7 @@ def use_bbox(x: Column, y: Column, cls: Column) -> Column:
 
     zero = F.lit("0")
     at = F.struct(parse_double(F.coalesce(x, zero)).alias("x"), parse_double(F.coalesce(y, zero)).alias("y"))
-    return F.when(at.x.isNotNull() & at.y.isNotNull(), bind(at, box))
+    return bind(at, lambda p: F.when(p.x.isNotNull() & p.y.isNotNull(), box(p)))
 
 
 def polyline_bbox(points: Column) -> Column:
@@ -197,7 +199,8 @@ def valid_label() -> Column:
     )
 
 
-def label_boxes(documents: DataFrame, include_polyline: bool = False, own_transform: bool = False) -> DataFrame:
+def label_boxes(documents: DataFrame, include_polyline: bool = False, own_transform: bool = False,
+                with_errors: bool = False) -> DataFrame:
     """Boxes of all elements of known class, with rejects marked and page size attached.
 
     Everything is row-local: the page size is worked out once per document before its
@@ -205,10 +208,13 @@ def label_boxes(documents: DataFrame, include_polyline: bool = False, own_transf
     """
     tags = ("use", "path", "polyline") if include_polyline else ("use", "path")
     sized = once(documents, "page", _page_struct("page_d")).select(
-        *[c for c in documents.columns if c not in ("page_d", "error")], "page.*"
+        *[c for c in documents.columns if c != "page_d"], "page.*"
     )
-    listed = page_elements(sized).filter(F.col("tag").isin(*tags)).withColumn("class_id", class_id(F.col("cls")))
-    return element_boxes(listed.filter(F.col("class_id").isNotNull()), include_polyline, own_transform)
+    listed = page_elements(sized, with_errors).withColumn("class_id", class_id(F.col("cls")))
+    wanted = F.col("tag").isin(*tags) & F.col("class_id").isNotNull()
+    if with_errors:
+        wanted = wanted | F.col("error").isNotNull()
+    return element_boxes(listed.filter(wanted), include_polyline, own_transform)
 
 
 def labels(documents: DataFrame, include_polyline: bool = False, own_transform: bool = False) -> DataFrame:
@@ -222,20 +228,16 @@ def labels(documents: DataFrame, include_polyline: bool = False, own_transform:
 
 def label_rejects(documents: DataFrame) -> DataFrame:
     """Rows that would stop a page, elements dropped for want of geometry, unreadable pages."""
-    boxes = label_boxes(documents)
-    reason = F.coalesce("reject", F.when(F.col("box").isNull(), "no usable geometry"))
-    rows = boxes.select("file", "ord", "tag", "cls", reason.alias("reason")).filter(F.col("reason").isNotNull())
-    pages = documents.filter(F.col("error").isNotNull()).select(
-        "file", F.lit(None).cast("int").alias("ord"), F.lit(None).cast("string").alias("tag"),
-        F.lit(None).cast("string").alias("cls"), F.concat(F.lit("unreadable page: "), F.col("error")).alias("reason"),
-    )
-    return rows.unionByName(pages)
+    reason = F.coalesce(
+        F.concat(F.lit("unreadable page: "), "error"), "reject", F.when(F.col("box").isNull(), "no usable geometry"))
+    return label_boxes(documents, with_errors=True).select(
+        "file", "ord", "tag", "cls", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
 def format_label(labels_df: DataFrame) -> DataFrame:
-    """The text line of each label."""
-    return labels_df.withColumn("line", F.format_string(
-        "%d %.6f %.6f %.6f %.6f", "class_id", "norm_x", "norm_y", "norm_w", "norm_h"))
+    """The text line of each label: class id, then four numbers with six decimals."""
+    numbers = [six_decimals(F.col(c)) for c in ("norm_x", "norm_y", "norm_w", "norm_h")]
+    return labels_df.withColumn("line", F.concat_ws(" ", F.col("class_id").cast("string"), *numbers))
 
 
 def label_summary(labels_df: DataFrame) -> DataFrame:

@@ -43,23 +43,28 @@ def pair_notes(events: DataFrame, track_keys: Sequence[str] = ("file", "track"))
         "level": F.sum(2 * F.col("on") - 1).over(upto),
     }).withColumn("low", F.min("level").over(upto))
 
-    per_bucket = stepped.groupBy(*lane, scan.BUCKET).agg(
-        F.sum("on").alias("ons_all"),
-        F.sum(2 * F.col("on") - 1).alias("level_all"),
-        F.min("level").alias("low_all"),
-    )
-    earlier = scan.earlier_buckets(lane)
-    carry = (
-        per_bucket.withColumns({
-            "ons_in": F.coalesce(F.sum("ons_all").over(earlier), F.lit(0)),
-            "level_in": F.coalesce(F.sum("level_all").over(earlier), F.lit(0)),
-        })
-        .withColumn("low_in", F.coalesce(F.min(F.col("level_in") + F.col("low_all")).over(earlier), F.lit(0)))
-        .select(*lane, scan.BUCKET, "ons_in", "level_in", "low_in")
-    )
+    if scan.one_bucket(events, "seq", scan.SEQ_BITS):
+        carried = stepped.withColumns({n: F.lit(0).cast("bigint") for n in ("ons_in", "level_in", "low_in")})
+    else:
+        per_bucket = stepped.groupBy(*lane, scan.BUCKET).agg(
+            F.sum("on").alias("ons_all"),
+            F.sum(2 * F.col("on") - 1).alias("level_all"),
+            F.min("level").alias("low_all"),
+        )
+        earlier = scan.earlier_buckets(lane)
+        carry = (
+            per_bucket.withColumns({
+                "ons_in": F.coalesce(F.sum("ons_all").over(earlier), F.lit(0)),
+                "level_in": F.coalesce(F.sum("level_all").over(earlier), F.lit(0)),
+            })
+            .withColumn(
+                "low_in", F.coalesce(F.min(F.col("level_in") + F.col("low_all")).over(earlier), F.lit(0)))
+            .select(*lane, scan.BUCKET, "ons_in", "level_in", "low_in")
+        )
+        carried = scan.with_carry(stepped, carry, lane)
     level = F.col("level_in") + F.col("level")
     floor = F.least(F.lit(0), F.col("low_in"), F.col("level_in") + F.col("low"))
-    numbered = scan.with_carry(stepped, carry, lane).select(
+    numbered = carried.select(
         *lane, "seq", "tick", "velocity", "on",
         (F.col("ons_in") + F.col("ons")).alias("ons"),
         level.alias("level"),
@@ -250,6 +255,11 @@ def timed_notes(timed: DataFrame, song_keys: Sequence[str] = ("song_id",), max_k
     )
 
 
+def reset_flags(notes: DataFrame) -> DataFrame:
+    """Flags of freshly loaded notes: nothing plays, nothing has played."""
+    return notes.withColumns({"is_playing": F.lit(False), "has_played": F.lit(False)})
+
+
 def song_duration(songs: DataFrame, notes: DataFrame, song_keys: Sequence[str] = ("song_id",)) -> DataFrame:
     """Last note end of each listed song in seconds, 1 for a song without notes."""
     keys = list(song_keys)

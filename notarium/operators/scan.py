@@ -55,6 +55,16 @@ def earlier_buckets(keys: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def one_bucket(rows: DataFrame, order: str, bits: int) -> bool:
+    """Whether every order value lies in bucket 0, so that nothing is ever carried.
+
+    One pass over a single column of a stored table; it saves the totals and their join
+    where sequence numbers are small, which is the common case for documents.
+    """
+    outside = rows.filter(bucket(order, bits) != 0).select(order)
+    return outside.isEmpty()
+
+
 def with_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Attach the values carried into each bucket to the rows of that bucket."""
     return rows.join(carry, [*keys, BUCKET], "left")

@@ -206,6 +206,9 @@ ORACLE: dict[str, str] = {
                max(start_us + dur_us) AS end_us, min(x) AS left_x, max(x + width) AS right_x
         FROM tempo_notes JOIN keys USING (key_index) GROUP BY song_id, hand""",
     "svg_labels": f"WITH {_BOXES} SELECT * FROM labels_out",
+    "label_lines": f"""WITH {_BOXES}
+        SELECT replace(file, '.svg', '.txt') AS label_file, ord,
+               printf('%d %.6f %.6f %.6f %.6f', class_id, norm_x, norm_y, norm_w, norm_h) AS line FROM labels_out""",
     "label_summary": f"WITH {_BOXES} SELECT file, count(*) AS n_labels FROM labels_out GROUP BY file",
     "label_rejects": f"""WITH {_BOXES}
         SELECT file, CAST(o + 5 AS INTEGER) AS ord, 'path' AS tag, 'Note' AS cls, 'no usable geometry' AS reason FROM lines

@@ -59,17 +59,23 @@ def svg_labels(spark, d):
     return labels.labels(_documents(spark, d))
 
 
+def label_lines(spark, d):
+    lines = labels.format_label(labels.labels(_documents(spark, d)))
+    return lines.withColumn("label_file", F.replace("file", F.lit(".svg"), F.lit(".txt"))).select(
+        "label_file", "ord", "line")
+
+
 def label_summary(spark, d):
     return labels.label_summary(labels.labels(_documents(spark, d)))
 
 
 def label_rejects(spark, d):
-    return labels.label_rejects(materialise(_documents(spark, d), "pages"))
+    return labels.label_rejects(_documents(spark, d))
 
 
 def page_sizes(spark, d):
     elements = labels.page_elements(_documents(spark, d)).select("file", "ord", "tag", "cls", "d")
-    return labels.page_size(materialise(elements, "elements"))
+    return labels.page_size(elements)
 
 
 def class_counts(spark, d):
@@ -334,7 +340,7 @@ def stream_route(spark, d):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        playable_by_hand, svg_labels, label_summary, label_rejects, page_sizes, class_counts, path_boxes,
+        playable_by_hand, svg_labels, label_lines, label_summary, label_rejects, page_sizes, class_counts, path_boxes,
         polyline_boxes, markup_tag_counts, route_inputs, render_manifest, manifest_status, label_target,
         paired_notes, midi_notes, score_notes, tempo_segments, note_times, song_durations, key_usage, key_styles,
         gate_events, sounding_intervals, note_state, seek_state, seek_positions, progress, note_rects,

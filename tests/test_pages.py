@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from notarium.functions.expressions import once
+from notarium.functions.expressions import once, six_decimals
 from notarium.functions.svgpath import path_bbox
 from notarium.operators import labels
 from notarium.sources import svg, tables
@@ -45,6 +45,17 @@ def test_page(spark):
     assert [r.n_labels for r in labels.label_summary(labels.labels(docs)).collect()] == [5]
 
 
+def test_six_decimals(spark):
+    """Exact binary rounding, halves to even, as printf does it."""
+    rng = random.Random(5)
+    values = [0.0, 5e-7, 1.5e-6, 2.5e-6, 3.5e-6, 0.0123455, 0.0078125, 0.0234375, 1.0, 0.9999995, 12.3456785, 0.1, 1 / 3]
+    values += [rng.randrange(10**7) / 10**7 for _ in range(3000)] + [rng.random() * 2 for _ in range(3000)]
+    values += [rng.randrange(4096) / 128 for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = df.select("v", six_decimals(F.col("v")).alias("t")).collect()
+    assert [r.t for r in got] == [f"{r.v:.6f}" for r in got]
+
+
 def test_options(spark):
     docs = parsed(spark, PAGE, tags=("use", "path", "polyline"))
     assert "7 0.005000 0.025000 0.010000 0.050000" in lines(labels.labels(docs, include_polyline=True))

@@ -65,7 +65,7 @@ def pair_notes(events: DataFrame, track_keys: Sequence[str] = ("file", "track"))
     level = F.col("level_in") + F.col("level")
     floor = F.least(F.lit(0), F.col("low_in"), F.col("level_in") + F.col("low"))
     numbered = carried.select(
-        *lane, "seq", "tick", "velocity", "on",
+        *lane, "tick", "velocity", "on",
         (F.col("ons_in") + F.col("ons")).alias("ons"),
         level.alias("level"),
         floor.alias("floor"),
@@ -73,19 +73,16 @@ def pair_notes(events: DataFrame, track_keys: Sequence[str] = ("file", "track"))
     # offs so far = ons - level; those that found nothing = -floor.
     ordinal = F.when(F.col("on") == 1, F.col("ons")).otherwise(F.col("ons") - F.col("level") + F.col("floor"))
     opened = numbered.withColumn("ordinal", ordinal)
-    # An ignored off repeats the ordinal of the last valid off (or has 0), so the valid
-    # off is the first row with its ordinal: the smallest seq wins.
+    # An ordinal has one on at most.  An ignored off repeats the ordinal of the last valid
+    # off (or has 0) and comes after it, so the earliest tick is the valid one.
     per_note = opened.groupBy(*lane, "ordinal").agg(
-        F.min(F.when(F.col("on") == 1, F.struct("seq", "tick", "velocity"))).alias("on"),
-        F.min(F.when(F.col("on") == 0, F.struct("seq", "tick"))).alias("off"),
+        F.max(F.when(F.col("on") == 1, F.col("tick"))).alias("start_tick"),
+        F.max(F.when(F.col("on") == 1, F.col("velocity"))).alias("velocity"),
+        F.min(F.when(F.col("on") == 0, F.col("tick"))).alias("off_tick"),
     )
-    return per_note.filter(F.col("on").isNotNull() & F.col("off").isNotNull()).select(
-        *track_keys,
-        "channel",
-        "pitch",
-        F.col("on.tick").alias("start_tick"),
-        (F.col("off.tick") - F.col("on.tick")).alias("len_ticks"),
-        F.col("on.velocity").alias("velocity"),
+    return per_note.filter(F.col("start_tick").isNotNull() & F.col("off_tick").isNotNull()).select(
+        *track_keys, "channel", "pitch", "start_tick",
+        (F.col("off_tick") - F.col("start_tick")).alias("len_ticks"), "velocity",
     )
 
 
@@ -146,11 +143,12 @@ def tick_times(ticks: DataFrame, segments: DataFrame, song_keys: Sequence[str] =
     """
     keys = list(song_keys)
     per_row = "ppq" in ticks.columns
-    points = ticks.select(
+    resolution = ["ppq"] if per_row else []
+    points = ticks.select(*keys, "tick", *resolution).distinct().select(
         *keys, "tick", F.lit(1).alias("is_point"),
         F.lit(None).cast("struct<tick:bigint,us_per_quarter:bigint,base_num:bigint>").alias("seg"),
         (F.col("ppq") if per_row else F.lit(ppq)).cast("int").alias("ppq"),
-    ).distinct()
+    )
     changes = segments.select(
         *keys, "tick", F.lit(0).alias("is_point"),
         F.struct("tick", "us_per_quarter", "base_num").alias("seg"),
@@ -158,16 +156,17 @@ def tick_times(ticks: DataFrame, segments: DataFrame, song_keys: Sequence[str] =
     )
     rows = points.unionByName(changes).withColumn(scan.BUCKET, scan.bucket("tick", scan.TICK_BITS))
     local = rows.withColumn("_seg", F.last("seg", ignorenulls=True).over(scan.upto(keys, "tick", "is_point")))
+    place = scan.bucket("tick", scan.TICK_BITS).alias(scan.BUCKET)
+    fields = ("tick", "us_per_quarter", "base_num")
     buckets = (
-        ticks.select(*keys, scan.bucket("tick", scan.TICK_BITS).alias(scan.BUCKET), F.lit(None).cast(
-            "struct<tick:bigint,us_per_quarter:bigint,base_num:bigint>").alias("seg"))
-        .unionByName(changes.select(*keys, scan.bucket("tick", scan.TICK_BITS).alias(scan.BUCKET), "seg"))
+        ticks.select(*keys, place, *[F.lit(None).cast("bigint").alias(f) for f in fields])
+        .unionByName(segments.select(*keys, place, *fields))
         .groupBy(*keys, scan.BUCKET)
-        .agg(F.max("seg").alias("_last"))
+        .agg(F.max("tick").alias("tick"), *[F.max_by(f, "tick").alias(f) for f in fields[1:]])
     )
+    last = F.when(F.col("tick").isNotNull(), F.struct(*fields))
     carry = buckets.select(
-        *keys, scan.BUCKET,
-        F.last("_last", ignorenulls=True).over(scan.earlier_buckets(keys)).alias("_seg_in"),
+        *keys, scan.BUCKET, F.last(last, ignorenulls=True).over(scan.earlier_buckets(keys)).alias("_seg_in"),
     )
     found = scan.with_carry(local.filter(F.col("is_point") == 1), carry, keys).withColumn(
         "_use", F.coalesce("_seg", "_seg_in")

@@ -244,13 +244,31 @@ def _advance() -> str:
     )
 
 
+def _straight(d: str) -> str:
+    """Box of a plain outline: every point counts, so no pen has to be followed."""
+    def axis(offset: int) -> str:
+        return f"filter({{v}}, (n, i) -> i % 2 = {offset})"
+
+    def box(v):
+        xs, ys = (axis(k).format(v=v("n")) for k in (0, 1))
+        return _let(
+            lambda c: _struct(xmin=f"array_min({c('x')})", xmax=f"array_max({c('x')})",
+                              ymin=f"array_min({c('y')})", ymax=f"array_max({c('y')})"), x=xs, y=ys)
+
+    return _let(box, n=f"CAST(regexp_extract_all({d}, '{_NUMBER}', 0) AS ARRAY<DOUBLE>)")
+
+
 @cache
 def path_bbox_sql(d: str) -> str:
     start = _state("0D", "0D", _NONE, _NONE, _NONE, _NONE, 0, _NONE, _NONE, _NONE, _NONE)
     box = _struct(xmin="a.x0", xmax="a.x1", ymin="a.y0", ymax="a.y1")
     walk = f"aggregate({_steps(d)}, {start}, (a, s) -> {_advance()}, a -> IF(a.ok AND a.x0 IS NOT NULL, {box}, NULL))"
     stray = f"regexp_extract({d}, '^([^{_LETTERS}]*)', 1) RLIKE '{_NUMBER}'"
-    return f"CASE WHEN NOT ({stray}) THEN {walk} END"
+    # One sub-path of absolute lines with whole pairs of plainly separated numbers, at least two points.
+    number = r"[-+]?+(?:[0-9]++(?:\\.[0-9]++)?+|\\.[0-9]++)"
+    pair = rf"\\s*+{number}[\\s,]++{number}"
+    outline = rf"^\\s*+M{pair}(?:(?:\\s*+L|[\\s,]++){pair})++\\s*+Z?+\\s*+$"
+    return f"CASE WHEN {d} RLIKE '{outline}' THEN {_straight(d)} WHEN NOT ({stray}) THEN {walk} END"
 
 
 def path_bbox(d: str) -> Column:

@@ -295,7 +295,7 @@ ORACLE: dict[str, str] = {
           SELECT file, 2 AS ord, (oct + 1) * 12 + semitone + 1 AS pitch, 0 AS start_tick, q * 480 // v AS len_ticks FROM docs
           UNION ALL SELECT file, 3, (oct + 1) * 12 + 4, 0, q * 480 // v FROM docs
           UNION ALL SELECT file, 6, 47, 0, (q + 1) * 480 // v FROM docs
-          UNION ALL SELECT file, 9, 71, (q + 1) * 480 // v, 720 FROM docs)
+          UNION ALL SELECT file, 9, 71, (q + 2) * 480 // v, 720 FROM docs)
         SELECT file, CAST(ord AS INTEGER) AS ord, CAST(pitch AS INTEGER) AS pitch, CAST(start_tick AS BIGINT) AS start_tick,
                CAST(len_ticks AS BIGINT) AS len_ticks FROM placed""",
     "tempo_segments": f"WITH {_SEGMENTS} SELECT * FROM segments",

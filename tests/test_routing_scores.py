@@ -70,13 +70,13 @@ def test_score(spark, tmp_path, request, narrow):
 
 
 def test_divisions_carry_over_buckets(spark, small_buckets):
-    data = [("f", "p", i, "1", "note", "C", 0, 4, 3, 2 if i == 0 else (6 if i == 9 else None), i % 4 == 3, False) for i in range(20)]
+    data = [("f", "p", i, "1", i // 7, "note", "C", 0, 4, 3, 2 if i == 0 else (6 if i == 9 else None), i % 7 % 4 == 3, False) for i in range(20)]
     df = spark.createDataFrame(data, scores.SCORE_SCHEMA)
-    cursor, expected, div, last = 0, [], 1, 0
+    cursor, expected, div, last = 0, [], 1, 0  # one voice: measures follow on without a gap
     for i in range(20):
         div = 2 if i == 0 else 6 if i == 9 else div
         length = 3 * 480 // div
-        if i % 4 == 3:
+        if i % 7 % 4 == 3:
             expected.append((i, cursor - last, length))
         else:
             expected.append((i, cursor, length))
@@ -84,6 +84,18 @@ def test_divisions_carry_over_buckets(spark, small_buckets):
     assert rows(score.score_notes(df), "ord", "start_tick", "len_ticks") == expected
 
 
+def test_short_second_voice(spark, tmp_path):
+    """The next measure waits for the longer voice."""
+    note = "<note><pitch><step>{}</step><octave>4</octave></pitch><duration>{}</duration></note>"
+    xml = (
+        '<score-partwise><part id="P"><measure number="1"><attributes><divisions>1</divisions></attributes>'
+        + note.format("C", 4) + "<backup><duration>4</duration></backup>" + note.format("E", 1)
+        + '</measure><measure number="X"/><measure number="1">' + note.format("G", 2) + "</measure></part></score-partwise>")
+    (tmp_path / "a.xml").write_text(xml)
+    got = rows(score.score_notes(scores.read_scores(spark, str(tmp_path))), "pitch", "start_tick", "len_ticks")
+    assert got == [(60, 0, 1920), (64, 0, 480), (67, 1920, 960)]
+
+
 def test_note_table_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(s, 5, 60, 10 * s, 5) for s in range(30)], "song_id bigint, key_index int, velocity int, start_us bigint, dur_us bigint")
     tables.write_note_events(df, str(tmp_path / "n"), buckets=4)

@@ -37,13 +37,14 @@ def pair_notes(events: DataFrame, track_keys: Sequence[str] = ("file", "track"))
         .select(*lane, "seq", "tick", "velocity", F.when(is_on, 1).otherwise(0).alias("on"))
         .withColumn(scan.BUCKET, scan.bucket("seq", scan.SEQ_BITS))
     )
-    upto = scan.upto(lane, "seq")
+    whole = scan.one_bucket(events, "seq", scan.SEQ_BITS)
+    upto = scan.upto(lane, "seq", whole=whole)
     stepped = rows.withColumns({
         "ons": F.sum("on").over(upto),
         "level": F.sum(2 * F.col("on") - 1).over(upto),
     }).withColumn("low", F.min("level").over(upto))
 
-    if scan.one_bucket(events, "seq", scan.SEQ_BITS):
+    if whole:
         carried = stepped.withColumns({n: F.lit(0).cast("bigint") for n in ("ons_in", "level_in", "low_in")})
     else:
         per_bucket = stepped.groupBy(*lane, scan.BUCKET).agg(

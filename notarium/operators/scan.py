@@ -32,10 +32,14 @@ def bucket(order: Column | str, bits: int) -> Column:
     return F.shiftright(order.cast("bigint"), bits)
 
 
-def upto(keys: Sequence[str], *order: Column | str) -> WindowSpec:
-    """Rows of one bucket up to and including the current one."""
+def upto(keys: Sequence[str], *order: Column | str, whole: bool = False) -> WindowSpec:
+    """Rows of one bucket up to and including the current one.
+
+    ``whole`` leaves the bucket out, for inputs known to lie in one bucket: later steps on
+    the same keys then need no further shuffle.
+    """
     return (
-        Window.partitionBy(*keys, BUCKET)
+        Window.partitionBy(*keys, *([] if whole else [BUCKET]))
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )

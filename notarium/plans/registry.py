@@ -48,8 +48,8 @@ def first_times(spark: SparkSession, d: str) -> DataFrame:
         F.col("s_suppkey").alias("song_id"), (F.col("s_suppkey") * 1_234_567 % 200_000_000).alias("t_us"))
 
 
-def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return svg.parse_pages(standins.svg_pages(spark, d))
+def _documents(spark: SparkSession, d: str, classes=labels.CLASS_IDS) -> DataFrame:
+    return svg.parse_pages(standins.svg_pages(spark, d), classes=classes)
 
 
 # ---------------------------------------------------------------- pages and labels
@@ -74,13 +74,13 @@ def label_rejects(spark, d):
 
 
 def page_sizes(spark, d):
-    elements = labels.page_elements(_documents(spark, d)).select("file", "ord", "tag", "cls", "d")
+    elements = labels.page_elements(_documents(spark, d, None)).select("file", "ord", "tag", "cls", "d")
     return labels.page_size(elements)
 
 
 def class_counts(spark, d):
     """E4 with the vocabulary as a table."""
-    elements = labels.page_elements(_documents(spark, d))
+    elements = labels.page_elements(_documents(spark, d, None))
     known = labels.assign_class(elements, labels.vocabulary(spark))
     return known.groupBy("class_id", "cls", "tag").agg(F.count("*").alias("n_elements"))
 

@@ -49,6 +49,9 @@ def local_session(cpus: int | str = 8, app: str = "notarium") -> SparkSession:
     return spark
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names, else a temporary one.
 
@@ -59,9 +62,10 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    application = spark.sparkContext.applicationId
+    if application not in _own_folders:
+        _own_folders[application] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _own_folders[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +30,8 @@ def read_svg_corpus(spark: SparkSession, folder: str) -> DataFrame:
 class _Page:
     """Collects wanted elements of one document while expat walks it."""
 
-    def __init__(self, wanted: frozenset[str]):
-        self.wanted = wanted
+    def __init__(self, wanted: frozenset[str], classes: frozenset[str] | None):
+        self.wanted, self.classes, self.seen = wanted, classes, 0
         self.open_groups: list[str | None] = []
         self.rows: list[tuple] = []
         self.outline_seen = False
@@ -42,11 +42,13 @@ class _Page:
             cls = attrs.get("class")
             if cls is None and name == "path" and not self.outline_seen:
                 self.outline_seen, self.outline = True, attrs.get("d")
-            above = [t for t in reversed(self.open_groups) if t]
-            self.rows.append((
-                len(self.rows), name, cls, attrs.get("d"), attrs.get("x"), attrs.get("y"),
-                attrs.get("points"), attrs.get("transform"), above,
-            ))
+            if self.classes is None or cls in self.classes:
+                above = [t for t in reversed(self.open_groups) if t]
+                self.rows.append((
+                    self.seen, name, cls, attrs.get("d"), attrs.get("x"), attrs.get("y"),
+                    attrs.get("points"), attrs.get("transform"), above,
+                ))
+            self.seen += 1
         elif name == "g":
             self.open_groups.append(attrs.get("transform"))
 
@@ -55,10 +57,10 @@ class _Page:
             self.open_groups.pop()
 
 
-def _parse(text: str, wanted: frozenset[str]) -> tuple[list[tuple], str | None, str | None]:
+def _parse(text: str, wanted: frozenset[str], classes: frozenset[str] | None) -> tuple[list[tuple], str | None, str | None]:
     from xml.parsers import expat
 
-    page = _Page(wanted)
+    page = _Page(wanted, classes)
     parser = expat.ParserCreate()
     parser.StartElementHandler = page.start
     parser.EndElementHandler = page.end
@@ -69,12 +71,15 @@ def _parse(text: str, wanted: frozenset[str]) -> tuple[list[tuple], str | None,
     return page.rows, page.outline, None
 
 
-def parse_pages(pages: DataFrame, tags: tuple[str, ...] = ("use", "path"), text: str = "svg") -> DataFrame:
+def parse_pages(pages: DataFrame, tags: tuple[str, ...] = ("use", "path"), text: str = "svg",
+                classes: Iterable[str] | None = None) -> DataFrame:
     """Parse each page once: wanted elements in document order with the ``transform`` of
     every ancestor ``g``, innermost first.
 
     Adds ``elements`` (array), ``page_d`` (data of the first path without a class) and
-    ``error`` in place of the text column.  Arrow batches in and out; one document is one
+    ``error`` in place of the text column.  With ``classes`` other elements are left out
+    here already instead of being handed on and dropped; ``ord`` counts them all the same.
+    Arrow batches in and out; one document is one
     row, so no task holds more than a batch of documents.
     """
     kept = [f for f in pages.schema.fields if f.name != text]
@@ -86,12 +91,13 @@ def parse_pages(pages: DataFrame, tags: tuple[str, ...] = ("use", "path"), text:
     ])
     names = [f.name for f in kept]
     wanted = frozenset(tags)
+    chosen = None if classes is None else frozenset(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, rows, outlines, errors = [0], [], [], []
             for value in batch.column(text).to_pylist():
-                found, outline, error = _parse(value or "", wanted)
+                found, outline, error = _parse(value or "", wanted, chosen)
                 rows.extend(found)
                 offsets.append(len(rows))
                 outlines.append(outline)

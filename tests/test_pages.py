@@ -56,6 +56,13 @@ def test_six_decimals(spark):
     assert [r.t for r in got] == [f"{r.v:.6f}" for r in got]
 
 
+def test_early_class_choice(spark):
+    df = spark.createDataFrame([("p0.svg", PAGE)], "file string, svg string")
+    early = svg.parse_pages(df, classes=labels.CLASS_IDS)
+    assert lines(labels.labels(early)) == EXPECTED
+    assert early.selectExpr("transform(elements, e -> e.ord) AS o").first().o == [1, 2, 3, 5, 6, 7, 8, 9]
+
+
 def test_options(spark):
     docs = parsed(spark, PAGE, tags=("use", "path", "polyline"))
     assert "7 0.005000 0.025000 0.010000 0.050000" in lines(labels.labels(docs, include_polyline=True))

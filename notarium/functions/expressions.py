@@ -40,21 +40,15 @@ def six_decimals(x: Column) -> Column:
     products with 15625 are exact, so its distance to the nearest half step has the right sign.
     """
 
-    def split(v: Column) -> Column:
-        wide = v.x * 134217729.0
-        hi = wide - (wide - v.x)
-        return F.struct(hi.alias("hi"), (v.x - hi).alias("lo"), F.floor(v.x * 1000000.0).alias("below"))
-
-    def millionths(v: Column) -> Column:
-        half = (2 * v.below + 1).cast("double") / 128.0  # half step times 15625, exactly
-        side = (v.hi * 15625.0 - half) + v.lo * 15625.0
-        return v.below + F.when(side > 0, 1).when(side < 0, 0).otherwise(F.pmod(v.below, F.lit(2)))
-
-    def text(n: Column) -> Column:
-        whole, rest = trunc_div(n, 1000000), n % 1000000
-        return F.concat(whole.cast("string"), F.lit("."), F.lpad(rest.cast("string"), 6, "0"))
-
-    return bind(F.struct(x.alias("x")), lambda v: bind(split(v), lambda s: bind(millionths(s), text)))
+    wide = x * 134217729.0
+    hi = wide - (wide - x)
+    lo = x - hi
+    below = F.floor(x * 1000000.0)
+    half = (2 * below + 1).cast("double") / 128.0  # half step times 15625, exactly
+    side = (hi * 15625.0 - half) + lo * 15625.0
+    n = below + F.when(side > 0, 1).when(side < 0, 0).otherwise(F.pmod(below, F.lit(2)))
+    whole, rest = trunc_div(n, 1000000), n % 1000000
+    return F.concat(whole.cast("string"), F.lit("."), F.lpad(rest.cast("string"), 6, "0"))
 
 
 def floor_div(num: Column, den: int) -> Column:

@@ -23,12 +23,19 @@ DEFAULT_PAGE = (3319.9, 4555.4)
 SYMBOL_WIDTH, SYMBOL_HEIGHT, BAR_LINE_HEIGHT = 15, 30, 120
 MIN_LINE_WIDTH, LINE_PADDING = 1, 5
 
+BROADCAST_NAMES = 10_000
+
 _TRANSLATE = r"translate\(([-\d.]+)[,\s]+([-\d.]+)\)"
 
 
 def vocabulary(spark: SparkSession, class_ids: dict[str, int] | None = None) -> DataFrame:
+    """The class names as a table, to be broadcast while their number, known here, is small.
+
+    One class may hold most elements, so a join that shuffles on the class is the last resort.
+    """
     rows = list((class_ids or CLASS_IDS).items())
-    return spark.createDataFrame(rows, "cls string, class_id int")
+    names = spark.createDataFrame(rows, "cls string, class_id int")
+    return F.broadcast(names) if len(rows) <= BROADCAST_NAMES else names
 
 
 def page_elements(documents: DataFrame, with_errors: bool = False) -> DataFrame:
@@ -65,10 +72,7 @@ def _page_struct(d: str) -> Column:
 
 
 def assign_class(elements: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Class ids by exact name; elements without a known class go.
-
-    The vocabulary is broadcast only through the optimizer's own size check.
-    """
+    """Class ids by exact name; elements without a known class go."""
     return elements.filter(F.col("cls") != "").join(vocab, "cls")
 
 

@@ -208,6 +208,12 @@ def test_labels_need_no_shuffle(spark):
     assert "Exchange" not in plan
 
 
+def test_classes_join_without_shuffle(spark):
+    elements = spark.range(0, 100, 1, 16).selectExpr("CAST(id AS STRING) AS cls")
+    plan = labels.assign_class(elements, labels.vocabulary(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_markup_tags(spark):
     df = spark.createDataFrame([(1, '<div class="ad x"><P>hi</P><br/><a href="x" class="">y</a></div>')], "id int, html string")
     got = [(r.ord, r.tag, r.cls) for r in labels.markup_tags(df, "html").orderBy("ord").collect()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notarium.llm import substring_dedup, suffix_dedup
+from notarium.llm import bpe, packing, substring_dedup, suffix_dedup
 from notarium.session import tune
 
 
@@ -13,6 +13,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def word_vocabulary() -> str:
+    """Path of the public vocabulary file; executors have it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_bpe(spark: SparkSession, d: str) -> DataFrame:
+    rows = bpe.decode_documents(bpe.encode_documents(table(spark, d, "documents"), word_vocabulary()), word_vocabulary())
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op7_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), word_vocabulary()).select(
+        "doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op8_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
     rows = suffix_dedup.remove_repeats(table(spark, d, "documents"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -24,6 +45,8 @@ def op9_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op7_packing": op7_packing,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }

@@ -1,3 +1,23 @@
 """Pipeline stages: (spark, docs, folder) -> documents, by the operators of this package."""
 
 from __future__ import annotations
+
+
+def language_id(spark, docs, d):
+    raise NotImplementedError
+
+
+def quality_rules(spark, docs, d):
+    raise NotImplementedError
+
+
+def ngram_join(spark, docs, d):
+    raise NotImplementedError
+
+
+def suffix_dedup(spark, docs, d):
+    raise NotImplementedError
+
+
+def packing(spark, docs, d):
+    raise NotImplementedError

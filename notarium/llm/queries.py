@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notarium.llm import bpe, packing, substring_dedup, suffix_dedup
+from notarium.llm import bpe, ngram_join, packing, substring_dedup, suffix_dedup
 from notarium.session import tune
 
 
@@ -29,6 +29,10 @@ def op1_bpe(spark: SparkSession, d: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_ngram_join(spark: SparkSession, d: str) -> DataFrame:
+    return ngram_join.link_documents(table(spark, d, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), word_vocabulary()).select(
         "doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -46,6 +50,7 @@ def op9_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op3_ngram_join": op3_ngram_join,
     "op7_packing": op7_packing,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_substring_dedup": op9_substring_dedup,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notarium.llm import bpe, ngram_join, packing, substring_dedup, suffix_dedup
+from notarium.llm import bpe, embedding_dedup, ngram_join, packing, substring_dedup, suffix_dedup
 from notarium.session import tune
 
 
@@ -48,11 +48,16 @@ def op9_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return embedding_dedup.link_vectors(table(spark, d, "embeddings"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_ngram_join": op3_ngram_join,
     "op7_packing": op7_packing,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 ORACLE: dict[str, str] = {}

@@ -7,7 +7,7 @@ number of the writing task as *shard*; the table is bucketed by shard, so later
 it in place.  A visit sends small blobs of fingerprints to buckets of the hash range, a
 bucket answers each blob, and the next visit reads shards and answers side by side.
 
-* Each chunk of about two megabytes sends a fingerprint once, however often it holds it; one
+* Each chunk of about a megabyte sends a fingerprint once, however often it holds it; one
   that a third of all documents share costs an entry for each chunk, not for each document.
 * Buckets are as many as ``BUCKETS_PER_PARTITION`` times the shuffle partitions, so a bucket
   shrinks as the cluster is set up for more data.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from notarium.session import materialise, scratch_path
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 BUCKETS_PER_PARTITION = 2
 TABLE_BUCKETS_PER_PARTITION = 4
 ANSWERS = "shard long, bucket int, chunk int, kind int, blob binary"

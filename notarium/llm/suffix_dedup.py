@@ -35,7 +35,7 @@ ANCHOR = 24
 SPAN = LENGTH - ANCHOR + 1
 ROW = LENGTH + SPAN - 1
 OUTSIDE = 0xFF  # never a byte of UTF-8
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 NO_ID = np.iinfo(np.int64).max
 
 _ANCHORS, _ROWS = 1, 2
@@ -125,10 +125,10 @@ class _Chunk:
         self.doc = np.searchsorted(self.texts.offsets, self.low, side="right") - 1
         self.rows = np.full((len(edge), ROW), OUTSIDE, np.uint8)
         if len(edge):
-            for b in range(0, len(edge), 1 << 14):
-                cells = self.anchor[b:b + (1 << 14), None] - (SPAN - 1) + np.arange(ROW)
-                inside = (cells >= self.low[b:b + (1 << 14), None]) & (cells < self.high[b:b + (1 << 14), None] + LENGTH)
-                self.rows[b:b + (1 << 14)][inside] = data[cells[inside]]
+            for b in range(0, len(edge), 1 << 12):
+                cells = self.anchor[b:b + (1 << 12), None] - (SPAN - 1) + np.arange(ROW)
+                inside = (cells >= self.low[b:b + (1 << 12), None]) & (cells < self.high[b:b + (1 << 12), None] + LENGTH)
+                self.rows[b:b + (1 << 12)][inside] = data[cells[inside]]
         key = _row_hash(self.rows)
         ids = self.ids[self.doc] if len(edge) else np.zeros(0, np.int64)
         self.order = np.lexsort((ids, key, hashes))
@@ -147,8 +147,8 @@ class _Chunk:
 
 def _row_hash(rows: np.ndarray) -> np.ndarray:
     factor, out = powers(ROW), np.zeros(len(rows), U64)
-    for b in range(0, len(rows), 1 << 14):
-        out[b:b + (1 << 14)] = (byte_values(rows[b:b + (1 << 14)]) * factor).sum(axis=1, dtype=np.uint64)
+    for b in range(0, len(rows), 1 << 12):
+        out[b:b + (1 << 12)] = (byte_values(rows[b:b + (1 << 12)]) * factor).sum(axis=1, dtype=np.uint64)
     return mix(out)
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notarium.llm import bpe, embedding_dedup, ngram_join, packing, substring_dedup, suffix_dedup
+from notarium.llm import bpe, embedding_dedup, language_id, ngram_join, packing, quality_rules, substring_dedup, suffix_dedup
 from notarium.session import tune
 
 
@@ -29,10 +29,26 @@ def op1_bpe(spark: SparkSession, d: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    rows = quality_rules.quality(table(spark, d, "documents"), table(spark, d, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
+
+
 def op3_ngram_join(spark: SparkSession, d: str) -> DataFrame:
     return ngram_join.link_documents(table(spark, d, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def held_out() -> Column:
+    """Documents that the language model isn't fitted on."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
+
+
+def op6_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = language_id.fit(docs.filter(~held_out()))
+    return language_id.predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), word_vocabulary()).select(
         "doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -54,7 +70,9 @@ def op10_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_quality_rules": op2_quality_rules,
     "op3_ngram_join": op3_ngram_join,
+    "op6_language_id": op6_language_id,
     "op7_packing": op7_packing,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_substring_dedup": op9_substring_dedup,

@@ -26,6 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from notarium.llm import shards
 from notarium.llm.words import U64, Texts, byte_values, mix, powers, ragged, rolling, texts_of
@@ -201,7 +202,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole.  Rows with equal ids don't remove each other's bytes; a null id counts as larger
     than all.  No rows give no rows.
     """
-    spark = docs.sparkSession
     chosen = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
     if carry:
         chosen.append(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried"))
@@ -212,10 +212,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
               ("kept", pa.binary())]
     out = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     if carry:
-        from pyspark.sql.pandas.types import to_arrow_type
-
         out = out.add("carried", docs.schema["carried"].dataType)
-        fields.append(("carried", to_arrow_type(docs.schema["carried"].dataType, timezone=spark.conf.get("spark.sql.session.timeZone"))))
+        fields.append(("carried", to_arrow_type(docs.schema["carried"].dataType)))
     schema = pa.schema(fields)
 
     def ask_anchors(shard: int, chunk: int, batch: pa.RecordBatch, _: dict) -> Iterator[dict]:

@@ -1,23 +1,59 @@
-"""Pipeline stages: (spark, docs, folder) -> documents, by the operators of this package."""
+"""Pipeline stages: (spark, docs, folder) -> documents, each by one operator of this package.
+
+Every stage but the last returns the columns that it was given, in their order.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from notarium.llm import language_id as languages
+from notarium.llm import ngram_join as join
+from notarium.llm import packing as packs
+from notarium.llm import quality_rules as rules
+from notarium.llm import suffix_dedup as suffixes
+from notarium.llm.queries import held_out, table, word_vocabulary
+
+
+def _carried(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    return rows.select(*(F.col(f"carried.`{c}`").alias(c) for c in docs.columns))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; those without a letter, or far from every language, go.
+
+    The model is fitted on the given documents with a language, without the held-out third.
+    """
+    model = languages.fit(docs.filter(~held_out()))
+    rows = languages.predict(docs, model, carry=tuple(docs.columns))
+    return _carried(docs, rows.filter("NOT rejected"))
 
-def language_id(spark, docs, d):
-    raise NotImplementedError
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the ratio."""
+    rows = rules.quality(docs, table(spark, sf_dir, "labels"), carry=tuple(docs.columns))
+    return _carried(docs, rows.filter("kept"))
 
-def quality_rules(spark, docs, d):
-    raise NotImplementedError
 
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the least id."""
+    return join.first_documents(docs)
 
-def ngram_join(spark, docs, d):
-    raise NotImplementedError
 
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without strings that earlier documents hold; ``n_chars`` follows.
 
-def suffix_dedup(spark, docs, d):
-    raise NotImplementedError
+    Bytes of a character that a cut runs through go too.  A document of which nothing is left
+    goes; one that was null or empty before stays as it was.
+    """
+    rows = suffixes.remove_repeats(docs, carry=tuple(docs.columns)).filter("n_removed = 0 OR n_removed < n_bytes")
+    cut = F.col("n_removed") > 0
+    new = {"text": F.when(cut, F.col("text")).otherwise(F.col("carried.text")),
+           "n_chars": F.when(cut, F.length("text").cast("long")).otherwise(F.col("carried.n_chars"))}
+    return rows.select(*(new.get(c, F.col(f"carried.`{c}`")).alias(c) for c in docs.columns))
 
 
-def packing(spark, docs, d):
-    raise NotImplementedError
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed token sequences."""
+    return packs.pack(docs, word_vocabulary()).drop("tokens", "part")

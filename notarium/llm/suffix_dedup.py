@@ -190,12 +190,13 @@ def _merged(blobs: list[bytes]) -> list[bytes | None]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept[, carried]): documents without repeated strings.
+    """(doc_id, n_bytes, n_removed, n_spans, kept[, carried, text]): documents without repeated strings.
 
     A byte goes if a string of ``LENGTH`` bytes over it also starts in a document with a
     smaller id; strings are judged on the input.  ``kept`` is the remaining bytes; a cut may
     run through a character.  ``n_spans`` counts maximal removed runs.  ``carry`` names
-    columns to be handed through in the struct ``carried``.  Anchors are told apart by 64-bit
+    columns to be handed through in the struct ``carried``, and adds ``text``: ``kept`` without
+    the bytes of characters that a cut runs through.  Anchors are told apart by 64-bit
     hashes only to find candidates; windows are compared by their bytes.
 
     A null text is empty: zeros and empty ``kept``.  A text shorter than ``LENGTH`` stays
@@ -213,7 +214,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     if carry:
         out = out.add("carried", docs.schema["carried"].dataType)
+        out = out.add("text", "string")
         fields.append(("carried", to_arrow_type(docs.schema["carried"].dataType)))
+        fields.append(("text", pa.string()))
     schema = pa.schema(fields)
 
     def ask_anchors(shard: int, chunk: int, batch: pa.RecordBatch, _: dict) -> Iterator[dict]:
@@ -256,6 +259,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                "kept": [kept[a:b] for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]}
         if carry:
             row["carried"] = batch["carried"]
+            row["text"] = [b.decode("utf-8", "ignore") for b in row["kept"]]
         yield row
 
     asked = shards.visit(table, shards.QUESTIONS, shards.ANSWERS, ask_anchors)

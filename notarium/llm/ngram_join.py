@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from notarium.llm import shards
 from notarium.llm.components import components
@@ -64,10 +66,6 @@ class Levels:
     def band(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, side="right") - 1
 
-    @staticmethod
-    def parts(k: int) -> int:
-        return k + 2 if k <= SUBSETS_UP_TO else k + 4 + k // 5
-
 
 def shingle_sets(batch: pa.RecordBatch, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each document, flat, and the offset of each set."""
@@ -144,7 +142,7 @@ def _part(flat: np.ndarray, parts: np.ndarray) -> np.ndarray:
 def _singles(values, offsets, sets, level, k, salt, last):
     """Signatures of single partitions; the sets with too few filled partitions are handed back."""
     flat, of = _elements(values, offsets, sets, salt)
-    parts = np.array([Levels.parts(int(x)) for x in range(int(k[sets].max()) + 1)])[k]
+    parts = k + 4 + k // 5
     part = _part(flat, parts[of])
     if salt:
         order = np.lexsort((part, of))
@@ -213,9 +211,51 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     as one document in ``component_id``, but each gives a row.  A null id gives a row whose
     component is the least id that its row is linked with, or null.  No rows give no rows.
     """
-    levels = Levels(similarity)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _classes(shards.store(rows, "sets"), words, similarity).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def first_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
+                    similarity: Fraction = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, all columns, that are the first of their component.
+
+    First is the least id, a null id last; of rows with the same id, one stays.  Rows without
+    words all stay.  The chosen rows are read from where they are stored; no text is joined.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                       F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("carried"))
     table = shards.store(rows, "sets")
+    last = F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max))
+    chosen = _classes(table, words, similarity).groupBy(F.coalesce("class", "node").alias("class")).agg(
+        F.min(F.struct(last.alias("id"), "node")).alias("first")).select("first.node")
+    kind = rows.schema["carried"].dataType
+    schema = pa.schema([("carried", to_arrow_type(kind))])
+
+    def pick(shard: int, chunk: int, batch: pa.RecordBatch, known: dict) -> Iterator[dict]:
+        picked = _picked(known)
+        if picked:
+            yield {"carried": batch["carried"].take(pa.array(picked))}
+
+    kept = shards.visit(table, schema, T.StructType().add("carried", kind), pick, _wanted(chosen))
+    return kept.select(*(F.col(f"carried.`{c}`").alias(c) for c in docs.columns))
+
+
+def _wanted(nodes: DataFrame) -> DataFrame:
+    """Node numbers as answers for the shards that hold them; a chunk has at most 2^15 nodes."""
+    lists = nodes.groupBy(F.shiftright("node", 36).alias("shard"), F.expr("cast(shiftright(node, 16) & 1048575 as int)").alias("chunk")).agg(
+        F.array_join(F.collect_list(F.expr("cast(node & 65535 as string)")), ",").cast("binary").alias("blob"))
+    return lists.select("shard", F.lit(0).alias("bucket"), "chunk", F.lit(_WANTED).alias("kind"), "blob")
+
+
+def _picked(known: dict) -> list[int]:
+    blob = known.get((_WANTED, 0))
+    return sorted(map(int, blob.decode().split(","))) if blob else []
+
+
+def _classes(table: DataFrame, words: int, similarity: Fraction) -> DataFrame:
+    """(node, doc_id, n, class, least) of all stored rows: class and least id of each component."""
+    levels = Levels(similarity)
     buckets = shards.bucket_count(table)
 
     info_schema = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("n", pa.int64()),
@@ -282,8 +322,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = info.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
         "class", F.coalesce("component", "rep"))
     least = placed.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "class", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "node")
+    return placed.join(least, "class", "left").select("node", "doc_id", "n", "class", "least")
 
 
 NEVER = 1 << 40  # small sets keep all their signatures
@@ -359,21 +398,16 @@ def _verified(table: DataFrame, pairs: DataFrame, words: int, similarity: Fracti
     Only the sets of candidates leave their shard; each is sent to its pairs.
     """
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    lists = wanted.groupBy(F.shiftright("node", 36).alias("shard"), F.expr("cast(shiftright(node, 16) & 1048575 as int)").alias("chunk")).agg(
-        F.array_join(F.collect_list(F.expr("cast(node & 65535 as string)")), ",").cast("binary").alias("blob"))
-    asked = lists.select("shard", F.lit(0).alias("bucket"), "chunk", F.lit(_WANTED).alias("kind"), "blob")
-
     def sets(shard: int, chunk: int, batch: pa.RecordBatch, known: dict) -> Iterator[dict]:
-        blob = known.get((_WANTED, 0))
-        if blob is None:
+        picked = _picked(known)
+        if not picked:
             return
-        picked = sorted(map(int, blob.decode().split(",")))
         values, offsets = shingle_sets(batch.take(pa.array(picked)), words)
         yield {"node": [_node(shard, chunk) + i for i in picked],
                "elements": [values[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]}
 
     schema = pa.schema([("node", pa.int64()), ("elements", pa.binary())])
-    found = shards.visit(table, schema, "node long, elements binary", sets, asked)
+    found = shards.visit(table, schema, "node long, elements binary", sets, _wanted(wanted))
     p, q = similarity.numerator, similarity.denominator
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

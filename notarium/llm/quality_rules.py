@@ -22,6 +22,7 @@ from notarium.session import materialise
 
 BUCKETS = 1 << 14
 TRUSTED = 20_000
+PRIOR = 16 * BUCKETS
 THRESHOLD = -0.1
 LEAST_WORDS = 50
 PLACE_BITS = 20
@@ -112,9 +113,10 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
 
 
 def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row: the weight log(trusted / all) of every bucket, each count smoothed by one.
+    """One row: the weight log(trusted / all) of every bucket.
 
-    All documents count.  Without trusted documents every weight is 0 up to smoothing.
+    All documents count.  The trusted multinomial starts from ``PRIOR`` n-grams spread as in
+    all documents, so few trusted ones give weights near 0, and none give 0.
     """
     marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(
         F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left")
@@ -127,10 +129,14 @@ def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
 
     def ratio(c: Column) -> Column:
         def total(name: str) -> Column:
-            return F.aggregate(c, F.lit(0).cast("long"), lambda t, x: t + x[name]) + BUCKETS
+            return F.aggregate(c, F.lit(0).cast("long"), lambda t, x: t + x[name])
 
-        return bind(F.struct(total("trusted").alias("t"), total("everywhere").alias("e")), lambda n: F.transform(
-            c, lambda x: F.log((x["trusted"] + 1) / n["t"]) - F.log((x["everywhere"] + 1) / n["e"])))
+        def weight(x: Column, n: Column) -> Column:
+            share = (x["everywhere"] + 1) / (n["e"] + BUCKETS)
+            return F.log((x["trusted"] + PRIOR * share) / (n["t"] + PRIOR)) - F.log(share)
+
+        return bind(F.struct(total("trusted").alias("t"), total("everywhere").alias("e")),
+                    lambda n: F.transform(c, lambda x: weight(x, n)))
 
     return row.select(bind(F.col("c"), ratio).alias("weights"))
 

@@ -54,7 +54,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).distinct()
+            found = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            return found.union(now.select("b", "b")).distinct()
         before = mark
         now = materialise(_small_star(_large_star(now)), label)
 

@@ -92,22 +92,25 @@ def _quadratic(p0: str, p1: str, p2: str) -> str:
 
 
 def _cubic(p0: str, p1: str, p2: str, p3: str) -> str:
-    # The derivative is 3(a t^2 + b t + c); its roots inside (0, 1) are the extrema.
+    # The derivative is 3(a t^2 + b t + c); its roots inside (0, 1) are the extrema.  With
+    # q = -(b + sign(b) sqrt(disc)) / 2 they are q / a and c / q: nothing cancels, and the
+    # second holds where a vanishes, exactly or up to rounding.
     def points(v):
-        a, b, c, disc = v("a"), v("b"), v("c"), v("disc")
-        roots = _case(
-            (f"{a} <> 0 AND {disc} >= 0", f"array((-{b} + sqrt({disc})) / (2 * {a}), (-{b} - sqrt({disc})) / (2 * {a}))"),
-            (f"{a} = 0 AND {b} <> 0", f"array(-{c} / {b})"),
-            default="CAST(array() AS ARRAY<DOUBLE>)",
-        )
+        a, c, q = v("a"), v("c"), v("q")
+        roots = f"array(CASE WHEN {a} <> 0 THEN {q} / {a} END, CASE WHEN {q} <> 0 THEN {c} / {q} END)"
         t = f"t{next(_names)}"
         u = f"(1 - {t})"
         value = f"{u} * {u} * {u} * {p0} + 3 * {u} * {u} * {t} * {p1} + 3 * {u} * {t} * {t} * {p2} + {t} * {t} * {t} * {p3}"
         return _span(f"concat(array({p0}, {p3}), transform({roots}, {t} -> CASE WHEN {_inside(t)} THEN {value} END))")
 
+    def with_q(v):
+        a, b, c, disc = v("a"), v("b"), v("c"), v("disc")
+        half = f"CASE WHEN {disc} >= 0 THEN -({b} + CASE WHEN {b} < 0 THEN -sqrt({disc}) ELSE sqrt({disc}) END) / 2 END"
+        return _let(points, a=a, c=c, q=half)
+
     def with_disc(v):
         a, b, c = v("a"), v("b"), v("c")
-        return _let(points, a=a, b=b, c=c, disc=f"{b} * {b} - 4 * {a} * {c}")
+        return _let(with_q, a=a, b=b, c=c, disc=f"{b} * {b} - 4 * {a} * {c}")
 
     return _let(with_disc, a=f"{p3} - 3 * {p2} + 3 * {p1} - {p0}", b=f"2 * ({p0} - 2 * {p1} + {p2})", c=f"{p1} - {p0}")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from notarium.functions.expressions import bind, once, parse_double, six_decimals
 from notarium.functions.svgpath import path_bbox
 
-# Class vocabulary, fallback page size, symbol box sizes.
+# Class vocabulary, fallback page size, symbol box sizes, translate pattern.
 CLASS_IDS = {
     "Note": 0,
     "TrebleClef": 1,
@@ -23,10 +23,10 @@ DEFAULT_PAGE = (3319.9, 4555.4)
 SYMBOL_WIDTH, SYMBOL_HEIGHT, BAR_LINE_HEIGHT = 15, 30, 120
 MIN_LINE_WIDTH, LINE_PADDING = 1, 5
 
-BROADCAST_NAMES = 10_000
-
 _TRANSLATE = r"translate\(([-\d.]+)[,\s]+([-\d.]+)\)"
 
+BROADCAST_NAMES = 10_000
+
 
 def vocabulary(spark: SparkSession, class_ids: dict[str, int] | None = None) -> DataFrame:
     """The class names as a table, to be broadcast while their number, known here, is small.
@@ -231,9 +231,12 @@ def labels(documents: DataFrame, include_polyline: bool = False, own_transform:
 
 
 def label_rejects(documents: DataFrame) -> DataFrame:
-    """Rows that would stop a page, elements dropped for want of geometry, unreadable pages."""
+    """Rows that would stop a page, elements dropped for want of geometry, unreadable pages,
+    and elements of a page without width or height, which have no place in it."""
+    flat = (F.col("page_w") == 0) | (F.col("page_h") == 0)
     reason = F.coalesce(
-        F.concat(F.lit("unreadable page: "), "error"), "reject", F.when(F.col("box").isNull(), "no usable geometry"))
+        F.concat(F.lit("unreadable page: "), "error"), "reject", F.when(F.col("box").isNull(), "no usable geometry"),
+        F.when(flat, "page of size zero"))
     return label_boxes(documents, with_errors=True).select(
         "file", "ord", "tag", "cls", reason.alias("reason")).filter(F.col("reason").isNotNull())
 

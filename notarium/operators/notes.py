@@ -17,12 +17,19 @@ HIGHEST_KEY = 86  # the key range stops one short of the 88th key
 UPPER_HAND_KEY = 39
 
 
-def pair_notes(events: DataFrame, track_keys: Sequence[str] = ("file", "track")) -> DataFrame:
+def pair_notes(events: DataFrame, track_keys: Sequence[str] = ("file", "track"), whole_tracks: bool = False,
+               seq_bits: int = scan.SEQ_BITS) -> DataFrame:
     """Note-on and note-off rows to notes: the first open note of a pitch takes the next off.
 
     ``events``: the track keys, ``seq`` (unique and rising inside a track), ``tick``,
     ``kind`` (``on``/``off``), ``channel``, ``pitch``, ``velocity``.  An on with velocity 0
-    is an off.  An off with nothing open is ignored; a note never closed is dropped.
+    is an off.  An off with nothing open is ignored; a note never closed is dropped.  Where
+    events carry ``ppq``, the ticks per quarter of their file, the notes carry it on.
+
+    ``whole_tracks`` says that a track fits into one task, as it does where a decoder has
+    just held its whole file; then nothing is carried.  Otherwise rows are scanned in
+    stretches of 2^``seq_bits`` sequence numbers; sparse numbers want more bits, so that a
+    stretch holds many rows.
 
     The k-th on of a pitch meets the k-th off that found an open note.  With ``level`` the
     running sum of +1/-1, an off found nothing exactly when it takes ``level`` to a new
@@ -31,20 +38,20 @@ def pair_notes(events: DataFrame, track_keys: Sequence[str] = ("file", "track"))
     equi-join on a unique ordinal.
     """
     lane = [*track_keys, "channel", "pitch"]
+    resolution = ["ppq"] if "ppq" in events.columns else []
     is_on = (F.col("kind") == "on") & (F.col("velocity") > 0)
     rows = (
         events.filter(F.col("kind").isin("on", "off"))
-        .select(*lane, "seq", "tick", "velocity", F.when(is_on, 1).otherwise(0).alias("on"))
-        .withColumn(scan.BUCKET, scan.bucket("seq", scan.SEQ_BITS))
+        .select(*lane, "seq", "tick", "velocity", F.when(is_on, 1).otherwise(0).alias("on"), *resolution)
+        .withColumn(scan.BUCKET, scan.bucket("seq", seq_bits))
     )
-    whole = scan.one_bucket(events, "seq", scan.SEQ_BITS)
-    upto = scan.upto(lane, "seq", whole=whole)
+    upto = scan.upto(lane, "seq", whole=whole_tracks)
     stepped = rows.withColumns({
         "ons": F.sum("on").over(upto),
         "level": F.sum(2 * F.col("on") - 1).over(upto),
     }).withColumn("low", F.min("level").over(upto))
 
-    if whole:
+    if whole_tracks:
         carried = stepped.withColumns({n: F.lit(0).cast("bigint") for n in ("ons_in", "level_in", "low_in")})
     else:
         per_bucket = stepped.groupBy(*lane, scan.BUCKET).agg(
@@ -66,7 +73,7 @@ def pair_notes(events: DataFrame, track_keys: Sequence[str] = ("file", "track"))
     level = F.col("level_in") + F.col("level")
     floor = F.least(F.lit(0), F.col("low_in"), F.col("level_in") + F.col("low"))
     numbered = carried.select(
-        *lane, "tick", "velocity", "on",
+        *lane, "tick", "velocity", "on", *resolution,
         (F.col("ons_in") + F.col("ons")).alias("ons"),
         level.alias("level"),
         floor.alias("floor"),
@@ -80,10 +87,11 @@ def pair_notes(events: DataFrame, track_keys: Sequence[str] = ("file", "track"))
         F.max(F.when(F.col("on") == 1, F.col("tick"))).alias("start_tick"),
         F.max(F.when(F.col("on") == 1, F.col("velocity"))).alias("velocity"),
         F.min(F.when(F.col("on") == 0, F.col("tick"))).alias("off_tick"),
+        *[F.max(c).alias(c) for c in resolution],
     )
     return per_note.filter(F.col("start_tick").isNotNull() & F.col("off_tick").isNotNull()).select(
         *track_keys, "channel", "pitch", "start_tick",
-        (F.col("off_tick") - F.col("start_tick")).alias("len_ticks"), "velocity",
+        (F.col("off_tick") - F.col("start_tick")).alias("len_ticks"), "velocity", *resolution,
     )
 
 

@@ -35,8 +35,8 @@ def bucket(order: Column | str, bits: int) -> Column:
 def upto(keys: Sequence[str], *order: Column | str, whole: bool = False) -> WindowSpec:
     """Rows of one bucket up to and including the current one.
 
-    ``whole`` leaves the bucket out, for inputs known to lie in one bucket: later steps on
-    the same keys then need no further shuffle.
+    ``whole`` leaves the bucket out, for keys that the caller knows to be small: later steps
+    on the same keys then need no further shuffle.
     """
     return (
         Window.partitionBy(*keys, *([] if whole else [BUCKET]))
@@ -59,17 +59,6 @@ def earlier_buckets(keys: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def one_bucket(rows: DataFrame, order: str, bits: int) -> bool:
-    """Whether every order value lies in bucket 0, so that nothing is ever carried.
-
-    It saves the totals and their join where sequence numbers are small, which is the
-    common case for documents.  The test is a plain range, so a stored table answers it
-    from the statistics of its files, reading one column at most.
-    """
-    outside = rows.filter((F.col(order) < 0) | (F.col(order) >= (1 << bits))).select(order)
-    return outside.isEmpty()
-
-
 def with_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Attach the values carried into each bucket to the rows of that bucket."""
     return rows.join(carry, [*keys, BUCKET], "left")

@@ -132,7 +132,8 @@ _BOXES = f"""
 lines AS (
   SELECT {_DOC} || '.svg' AS file, CAST(l_quantity AS BIGINT) AS q, l_partkey % 1000 AS a, l_orderkey % 1500 AS b,
          l_linenumber AS n, l_partkey % 10 AS c, CASE WHEN l_orderkey % 4 = 0 THEN 0 ELSE 1 END AS o,
-         CASE WHEN l_orderkey % 4 = 0 THEN 3319.9::DOUBLE ELSE 1000 + CAST(l_quantity AS DOUBLE) END AS page_w,
+         CASE WHEN l_orderkey % 4 = 0 THEN 3319.9::DOUBLE WHEN l_orderkey % 16 = 3 THEN 0.0::DOUBLE
+              ELSE 1000 + CAST(l_quantity AS DOUBLE) END AS page_w,
          CASE WHEN l_orderkey % 4 = 0 THEN 4555.4::DOUBLE ELSE 2000.0::DOUBLE END AS page_h
   FROM lineitem),
 boxes AS (
@@ -154,7 +155,7 @@ label_rows AS (
          (x1 - x0) / page_w AS norm_w, (y1 - y0) / page_h AS norm_h
   FROM boxes),
 labels_out AS (
-  SELECT * FROM label_rows WHERE norm_w > 0 AND norm_h > 0 AND norm_x >= 0 AND norm_y >= 0)"""
+  SELECT * FROM label_rows JOIN (SELECT file FROM lines WHERE page_w > 0) sized USING (file) WHERE norm_w > 0 AND norm_h > 0 AND norm_x >= 0 AND norm_y >= 0)"""
 
 _SUFFIXES = "['.png', '.JPG', '.pdf', '.xml', '.mxl', '.mid', '.midi', '.jpeg', '.XML']"
 
@@ -213,7 +214,11 @@ ORACLE: dict[str, str] = {
     "label_rejects": f"""WITH {_BOXES}
         SELECT file, CAST(o + 5 AS INTEGER) AS ord, 'path' AS tag, 'Note' AS cls, 'no usable geometry' AS reason FROM lines
         UNION ALL
-        SELECT file, CAST(o + 2 AS INTEGER), 'use', 'BarLine', 'bad symbol position' FROM lines WHERE n = 7""",
+        SELECT file, CAST(o + 2 AS INTEGER), 'use', 'BarLine', 'bad symbol position' FROM lines WHERE n = 7
+        UNION ALL
+        SELECT file, CAST(ord AS INTEGER), CASE WHEN ord IN (o, o + 2, o + 3) THEN 'use' ELSE 'path' END,
+               ['Note','TrebleClef','BassClef','TimeSig','MeasureNumber','BarLine','Rest','StaffLines'][class_id + 1], 'page of size zero'
+        FROM boxes JOIN (SELECT file, o FROM lines) l USING (file) WHERE page_w = 0""",
     "page_sizes": f"WITH {_BOXES} SELECT DISTINCT file, page_w, page_h FROM lines",
     "class_counts": f"""WITH {_BOXES},
         names AS (SELECT unnest(['Note','TrebleClef','BassClef','TimeSig','MeasureNumber','BarLine','Rest','StaffLines']) AS cls,
@@ -265,12 +270,15 @@ ORACLE: dict[str, str] = {
         SELECT file, target, count(*) OVER (PARTITION BY target) AS n_sources,
                count(*) OVER (PARTITION BY target) > 1 AS is_collision FROM listed""",
     "manifest_status": f"""WITH {_INPUTS},
-        files AS (SELECT split_part(path, '/', -1) AS file FROM paths WHERE suffix(path, '.xml')),
+        files AS (SELECT split_part(path, '/', -1) AS file FROM paths),
+        listed AS (SELECT file, regexp_replace(file, '[.][^.]*$', '') || '.svg' AS target FROM files
+                   WHERE suffix(file, '.xml') OR suffix(file, '.mxl')),
+        named AS (SELECT *, count(*) OVER (PARTITION BY target) AS n_sources FROM listed),
         tries AS (SELECT replace(p_name, ' ', '_') || '.xml' AS file, p_size % 3 AS exit_code,
                          row_number() OVER (PARTITION BY p_name ORDER BY p_partkey DESC) AS back FROM part WHERE p_size > 10)
-        SELECT file, CAST(exit_code AS INTEGER) AS exit_code,
+        SELECT file, target, n_sources, n_sources > 1 AS is_collision, CAST(exit_code AS INTEGER) AS exit_code,
                CASE WHEN exit_code IS NULL THEN 'PENDING' WHEN exit_code = 0 THEN 'SUCCESS' ELSE 'FAILED' END AS status
-        FROM files LEFT JOIN (SELECT * FROM tries WHERE back = 1) USING (file)""",
+        FROM named LEFT JOIN (SELECT file, exit_code FROM tries WHERE back = 1) USING (file)""",
     "label_target": """WITH names AS (
           SELECT regexp_replace(url, '[/:?]', '_', 'g') || ['.svg', '.svg.svg', '_svg.svg', '.svgz'][page_id % 4 + 1] AS file FROM pages)
         SELECT file, replace(file, '.svg', '.txt') AS label_file FROM names""",
@@ -283,11 +291,26 @@ ORACLE: dict[str, str] = {
     "midi_notes": f"""WITH files AS (
           SELECT {_DOC} AS file, CAST(l_partkey % 128 AS INTEGER) AS pitch, CAST(l_linenumber * 97 AS BIGINT) AS tick,
                  CAST(l_quantity AS BIGINT) * 48 AS len, CAST(1 + l_orderkey % 127 AS INTEGER) AS velocity,
-                 300000 + (l_orderkey * 31) % 400000 AS us FROM lineitem),
-        pairs AS (SELECT file, pitch, tick AS start_tick, len AS len_ticks, velocity, us FROM files
-                  UNION ALL SELECT file, pitch, tick + 24, 2 * len - 24, 64, us FROM files)
-        SELECT file, pitch, start_tick, len_ticks, velocity, (start_tick * us + 240) // 480 AS start_us,
-               ((start_tick + len_ticks) * us + 240) // 480 - (start_tick * us + 240) // 480 AS dur_us FROM pairs""",
+                 300000 + (l_orderkey * 31) % 400000 AS us, l_orderkey % 1000 AS turn, [96, 480, 960][l_partkey % 3 + 1] AS ppq FROM lineitem),
+        pairs AS (SELECT *, tick AS start_tick, len AS len_ticks FROM files
+                  UNION ALL SELECT * REPLACE (64 AS velocity), tick + 24, 2 * len - 24 FROM files),
+        nums AS (SELECT *, start_tick * us + greatest(0, start_tick - turn) * 100000 AS x,
+                        (start_tick + len_ticks) * us + greatest(0, start_tick + len_ticks - turn) * 100000 AS y FROM pairs)
+        SELECT file, pitch, start_tick, len_ticks, velocity, CAST(ppq AS INTEGER) AS ppq, (x + ppq // 2) // ppq AS start_us,
+               (y + ppq // 2) // ppq - (x + ppq // 2) // ppq AS dur_us FROM nums""",
+    "midi_rejects": f"SELECT {_DOC} AS file FROM lineitem WHERE l_linenumber IN (3, 7)",
+    "score_playable": f"""WITH docs AS (
+          SELECT {_DOC} AS file, CAST(l_quantity AS BIGINT) AS q, [1, 2, 4, 8][l_partkey % 4 + 1] AS v,
+                 2 + l_linenumber % 5 AS oct, [0, 2, 4, 5, 7, 9, 11][l_orderkey % 7 + 1] AS semitone,
+                 CAST(round(60000000 / (60 + l_orderkey % 90)::DOUBLE) AS BIGINT) AS us FROM lineitem),
+        struck AS (
+          SELECT file, (oct + 1) * 12 + semitone + 1 AS pitch, 0 AS s, (q * 480 // v) * 500000 AS e FROM docs
+          UNION ALL SELECT file, (oct + 1) * 12 + 4, 0, (q * 480 // v) * 500000 FROM docs
+          UNION ALL SELECT file, 47, 0, ((q + 1) * 480 // v) * 500000 FROM docs
+          UNION ALL SELECT file, 71, ((q + 2) * 480 // v) * 500000, ((q + 2) * 480 // v) * 500000 + 1200 * us FROM docs),
+        timed AS (SELECT file, CASE WHEN pitch >= 60 THEN 'upper' ELSE 'lower' END AS hand, (s + 240) // 480 AS a, (e + 240) // 480 AS b FROM struck)
+        SELECT file, hand, count(*) AS n_notes, CAST(sum(b - a) AS BIGINT) AS sounding_us, CAST(max(b) AS BIGINT) AS end_us,
+               CAST(90 AS INTEGER) AS velocity, CAST(0 AS BIGINT) AS n_flagged FROM timed GROUP BY file, hand""",
     "score_notes": f"""WITH docs AS (
           SELECT {_DOC} AS file, CAST(l_quantity AS BIGINT) AS q, [1, 2, 4, 8][l_partkey % 4 + 1] AS v,
                  2 + l_linenumber % 5 AS oct, [0, 2, 4, 5, 7, 9, 11][l_orderkey % 7 + 1] AS semitone FROM lineitem),
@@ -295,7 +318,8 @@ ORACLE: dict[str, str] = {
           SELECT file, 2 AS ord, (oct + 1) * 12 + semitone + 1 AS pitch, 0 AS start_tick, q * 480 // v AS len_ticks FROM docs
           UNION ALL SELECT file, 3, (oct + 1) * 12 + 4, 0, q * 480 // v FROM docs
           UNION ALL SELECT file, 6, 47, 0, (q + 1) * 480 // v FROM docs
-          UNION ALL SELECT file, 9, 71, (q + 2) * 480 // v, 720 FROM docs)
+          UNION ALL SELECT file, 10, 71, (q + 2) * 480 // v, 720 FROM docs
+          UNION ALL SELECT file, 11, 71, (q + 2) * 480 // v + 720, 480 FROM docs)
         SELECT file, CAST(ord AS INTEGER) AS ord, CAST(pitch AS INTEGER) AS pitch, CAST(start_tick AS BIGINT) AS start_tick,
                CAST(len_ticks AS BIGINT) AS len_ticks FROM placed""",
     "tempo_segments": f"WITH {_SEGMENTS} SELECT * FROM segments",
@@ -386,7 +410,7 @@ ORACLE: dict[str, str] = {
                     WHERE dur_us > 0 AND start_us + dur_us - 55000 <= seg_end_us),
         {_gates('replay_edges', 'session, segment, song_id, key_index')}
         SELECT session, segment, song_id, key_index, {_GATE_COLUMNS} FROM gates""",
-    "stream_route": f"""WITH paths AS (SELECT url || '/p' || page_id || '.MXL' AS path FROM pages), {_routed('paths')}
+    "stream_route": f"""WITH paths AS (SELECT url || '/p' || page_id || {_SUFFIXES}[page_id % 9 + 1] AS path FROM pages), {_routed('paths')}
         SELECT * FROM routed""",
 }
 ORACLE["stream_gates"] = ORACLE["gate_events"]

@@ -132,10 +132,11 @@ def render_manifest(spark, d):
 
 
 def manifest_status(spark, d):
+    """Exit states of all listed scores; parts of small size have no result yet."""
     results = standins.table(spark, d, "part").filter(F.col("p_size") > 10).select(
         F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".xml")).alias("file"),
         F.col("p_partkey").alias("attempt"), (F.col("p_size") % 3).cast("int").alias("exit_code"))
-    return routing.manifest_status(_score_list(spark, d).filter(F.col("file").endswith(".xml")), results)
+    return routing.manifest_status(render_manifest(spark, d), results)
 
 
 def label_target(spark, d):
@@ -150,23 +151,42 @@ def label_target(spark, d):
 
 
 def paired_notes(spark, d):
-    paired = notes.pair_notes(standins.midi_events(spark, d))
+    # These sequence numbers hold the tick from bit 45 on: 2^15 ticks make a stretch.
+    paired = notes.pair_notes(standins.midi_events(spark, d), seq_bits=60)
     return paired.select("file", "pitch", "start_tick", "len_ticks", "velocity")
 
 
 def midi_notes(spark, d):
-    """MIDI bytes to timed notes: decode, pair, tempo map."""
+    """MIDI bytes to timed notes: decode, pair, tempo map.  A decoder held each file whole, so tracks are small."""
     events = materialise(midi.decode_midi(standins.midi_files(spark, d)), "events")
-    paired = notes.pair_notes(events)
+    paired = notes.pair_notes(events, whole_tracks=True)
     segments = notes.tempo_segments(midi.tempo_changes(events), ["file"])
     return notes.note_times(paired, segments, ["file"]).select(
-        "file", "pitch", "start_tick", "len_ticks", "velocity", "start_us", "dur_us")
+        "file", "pitch", "start_tick", "len_ticks", "velocity", "ppq", "start_us", "dur_us")
+
+
+def midi_rejects(spark, d):
+    """Files that can't be read, each one row."""
+    return midi.decode_midi(standins.broken_midi_files(spark, d)).filter(F.col("kind") == "error").select("file")
 
 
 def score_notes(spark, d):
     """Score documents to notes: decode, drop repeats, place."""
     rows = materialise(scores.decode_scores(standins.score_documents(spark, d)), "scores")
-    return score.score_notes(score.drop_repeats(rows)).select("file", "ord", "pitch", "start_tick", "len_ticks")
+    placed = score.score_notes(score.drop_repeats(rows), whole_parts=True)
+    return placed.select("file", "ord", "pitch", "start_tick", "len_ticks")
+
+
+def score_playable(spark, d):
+    """Score documents to the notes that each hand plays: ties, tempo marks, velocity, times."""
+    rows = score.drop_repeats(materialise(scores.decode_scores(standins.score_documents(spark, d)), "scores"))
+    struck = score.merge_ties(score.score_notes(rows, whole_parts=True)).withColumn("velocity", F.lit(score.VELOCITY))
+    segments = notes.tempo_segments(score.score_tempo(rows, whole_parts=True).drop("part"), ["file"])
+    timed = notes.reset_flags(notes.timed_notes(notes.note_times(struck, segments, ["file"]), ["file"]))
+    return timed.groupBy("file", "hand").agg(
+        F.count("*").alias("n_notes"), F.sum("dur_us").alias("sounding_us"),
+        F.max(F.col("start_us") + F.col("dur_us")).alias("end_us"), F.min("velocity").alias("velocity"),
+        F.count_if(F.col("is_playing") | F.col("has_played")).alias("n_flagged"))
 
 
 def tempo_segments(spark, d):
@@ -266,13 +286,13 @@ def frame_load(spark, d):
 
 def pressed_frames(spark, d):
     """Every pressed frame of every note at full rate, counted per key."""
-    return playback.pressed_frames(steady_notes(spark, d)).groupBy("song_id", "key_index").agg(
+    return playback.pressed_frames(spread(steady_notes(spark, d))).groupBy("song_id", "key_index").agg(
         F.count("*").alias("n_frames"), F.sum("frame").alias("sum_frame"), F.max("frame").alias("last_frame"))
 
 
 def drawn_frames(spark, d):
     """Every visible rectangle of every frame at full rate, summed per song and hand."""
-    return playback.drawn_frames(steady_notes(spark, d)).groupBy("song_id", "hand").agg(
+    return playback.drawn_frames(spread(steady_notes(spark, d))).groupBy("song_id", "hand").agg(
         F.count("*").alias("n_rects"), F.sum("top").alias("sum_top"), F.sum("bottom").alias("sum_bottom"),
         F.min("top").alias("min_top"), F.max("bottom").alias("max_bottom"))
 
@@ -333,7 +353,7 @@ def stream_clock(spark, d):
 
 
 def stream_route(spark, d):
-    paths = _stream(spark, d, "pages").select(F.concat("url", F.lit("/p"), F.col("page_id"), F.lit(".MXL")).alias("path"))
+    paths = standins.page_paths(_stream(spark, d, "pages"))
     return live.run_available(live.stream_route(paths), "route")
 
 
@@ -342,7 +362,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         playable_by_hand, svg_labels, label_lines, label_summary, label_rejects, page_sizes, class_counts, path_boxes,
         polyline_boxes, markup_tag_counts, route_inputs, render_manifest, manifest_status, label_target,
-        paired_notes, midi_notes, score_notes, tempo_segments, note_times, song_durations, key_usage, key_styles,
+        paired_notes, midi_notes, midi_rejects, score_notes, score_playable, tempo_segments, note_times, song_durations, key_usage, key_styles,
         gate_events, sounding_intervals, note_state, seek_state, seek_positions, progress, note_rects,
         pressed_keys, frame_load, pressed_frames, drawn_frames, playback_clock, all_notes_off, sound_stream,
         clock_segments, replay_gates, stream_gates, stream_clock, stream_route,

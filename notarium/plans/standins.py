@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notarium.session import spread
+
 # File kinds in turn, chosen by key.
 INPUT_SUFFIXES = (".png", ".JPG", ".pdf", ".xml", ".mxl", ".mid", ".midi", ".jpeg", ".XML")
 # Two names the vocabulary does not know.
@@ -42,7 +44,6 @@ def midi_events(spark: SparkSession, folder: str) -> DataFrame:
     """Note-on and note-off rows; ``seq`` rises with the tick, offs before ons."""
     line = table(spark, folder, "lineitem")
     place = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("place")
-    notes = tick_notes_of(line).withColumn("end_tick", F.col("start_tick") + F.col("len_ticks"))
     notes = line.select("*", place).select(
         F.col("l_suppkey").alias("file"),
         (F.col("l_partkey") % 128).cast("int").alias("pitch"),
@@ -80,12 +81,17 @@ def control_log(spark: SparkSession, folder: str) -> DataFrame:
     return control_log_of(table(spark, folder, "events"))
 
 
-def inputs(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths of two kinds: web addresses and plain file names."""
+def page_paths(pages: DataFrame) -> DataFrame:
     suffixes = F.array(*[F.lit(s) for s in INPUT_SUFFIXES])
-    pages = table(spark, folder, "pages").select(
+    return pages.select(
         F.concat("url", F.lit("/p"), F.col("page_id"),
                  F.element_at(suffixes, (F.col("page_id") % 9).cast("int") + 1)).alias("path"))
+
+
+def inputs(spark: SparkSession, folder: str) -> DataFrame:
+    """Paths of two kinds: web addresses and plain file names."""
+    suffixes = F.array(*[F.lit(s) for s in INPUT_SUFFIXES])
+    pages = page_paths(table(spark, folder, "pages"))
     parts = table(spark, folder, "part").select(
         F.concat(F.lit("/in/"), F.replace("p_name", F.lit(" "), F.lit("_")),
                  F.element_at(suffixes, (F.col("p_partkey") % 9).cast("int") + 1)).alias("path"))
@@ -98,15 +104,18 @@ def document_id():
 
 
 def svg_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """One small page per order line: outline, nested groups, symbols, curves, odd cases."""
-    line = table(spark, folder, "lineitem")
+    """One small page per order line: outline, nested groups, symbols, curves, odd cases.
+
+    A page in sixteen has an outline without width.
+    """
+    line = spread(table(spark, folder, "lineitem"))
     names = F.array(*[F.lit(c) for c in ELEMENT_CLASSES])
     q = F.col("l_quantity").cast("bigint")
     a, b = F.col("l_partkey") % 1000, F.col("l_orderkey") % 1500
     cls = F.element_at(names, (F.col("l_partkey") % 10).cast("int") + 1)
     outline = F.when(
         F.col("l_orderkey") % 4 == 0, ""
-    ).otherwise(F.concat(
+    ).when(F.col("l_orderkey") % 16 == 3, '<path d="M0,0 L0,2000"/>').otherwise(F.concat(
         F.lit('<path d="M0,0 L'), 1000 + q, F.lit(",0 L"), 1000 + q, F.lit(",2000 L0,2000 Z\"/>")))
     own = F.lit('<path class="Rest" transform="translate(50,50)" d="M0,0 l10,')
     svg = F.concat(
@@ -136,28 +145,51 @@ def _quantity(number):
     )
 
 
+MIDI_DIVISIONS = (96, 480, 960)
+
+
 def midi_files(spark: SparkSession, folder: str) -> DataFrame:
-    """One small MIDI file per order line: a tempo, two notes of one pitch that overlap."""
-    line = table(spark, folder, "lineitem")
+    """One MIDI file per order line: a tempo track with a change, and two overlapping notes of one pitch.
+
+    Files differ in their ticks per quarter; the change may fall before, into or after the notes.
+    """
+    line = spread(table(spark, folder, "lineitem"))
     pitch, velocity = F.col("l_partkey") % 128, 1 + F.col("l_orderkey") % 127
     length = F.col("l_quantity").cast("bigint") * 48
-    status = F.lit("90")
-    track = F.concat(
-        F.lit("00FF5103"), _hex(300000 + (F.col("l_orderkey") * 31) % 400000, 6),
-        _quantity(F.col("l_linenumber") * 97), status, _hex(pitch, 2), _hex(velocity, 2),
-        _quantity(F.lit(24)), _hex(pitch, 2), F.lit("40"),  # running status
+    division = F.element_at(F.array(*[F.lit(d) for d in MIDI_DIVISIONS]), (F.col("l_partkey") % 3).cast("int") + 1)
+    us = 300000 + (F.col("l_orderkey") * 31) % 400000
+    tempo_track = F.concat(
+        F.lit("00FF5103"), _hex(us, 6), _quantity(F.col("l_orderkey") % 1000), F.lit("FF5103"), _hex(us + 100000, 6),
+        F.lit("00FF2F00"))
+    note_track = F.concat(
+        _quantity(F.col("l_linenumber") * 97), F.lit("90"), _hex(pitch, 2), _hex(velocity, 2),
+        F.lit("00FF010141"),  # a text; the status before it goes on
+        _quantity(F.lit(24)), _hex(pitch, 2), F.lit("40"),
         _quantity(length - 24), _hex(pitch, 2), F.lit("00"),  # on with velocity 0 is an off
         _quantity(length), F.lit("80"), _hex(pitch, 2), F.lit("40"),
         F.lit("00FF2F00"),
     )
+
+    def chunk(track):
+        return F.concat(F.lit("4D54726B"), _hex(F.length(track) / 2, 8), track)
+
     content = F.unhex(F.concat(
-        F.lit("4D546864000000060000000101E04D54726B"), _hex(F.length(track) / 2, 8), track))
+        F.lit("4D5468640000000600010002"), _hex(division, 4), chunk(tempo_track), chunk(note_track)))
     return line.select(document_id().alias("file"), content.alias("content"))
 
 
+def broken_midi_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The same files, one in seven cut short, one in seven without its header."""
+    number = F.element_at(F.split("file", "-"), 3)
+    content = (
+        F.when(number == "7", F.expr("substring(content, 1, length(content) - 5)"))
+        .when(number == "3", F.expr("substring(content, 2)")).otherwise(F.col("content")))
+    return midi_files(spark, folder).withColumn("content", content)
+
+
 def score_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """One small score per order line: two voices, a chord, a rest, repeats, changing divisions."""
-    line = table(spark, folder, "lineitem")
+    """One small score per order line: two voices, a chord, a rest, repeats, changing divisions, a tempo, a tie."""
+    line = spread(table(spark, folder, "lineitem"))
     q, octave = F.col("l_quantity").cast("bigint"), 2 + F.col("l_linenumber") % 5
     divisions = F.element_at(F.array(*[F.lit(d) for d in (1, 2, 4, 8)]), (F.col("l_partkey") % 4).cast("int") + 1)
     steps = F.array(*[F.lit(s) for s in "CDEFGAB"])
@@ -171,15 +203,18 @@ def score_documents(spark: SparkSession, folder: str) -> DataFrame:
                         F.lit("</octave></pitch>"))
 
     xml = F.concat(
-        F.lit('<score-partwise><part id="P1"><measure number="1"><attributes><divisions>'), divisions,
+        F.when(F.col("l_linenumber") == 2, '<score-partwise xmlns="urn:score">').otherwise("<score-partwise>"), F.lit('<part id="P1"><measure number="1"><attributes><divisions>'), divisions,
         F.lit('</divisions></attributes><barline><repeat direction="forward"/></barline>'),
         note(pitched(step, 1, octave), q), note(pitched(F.lit("E"), 0, octave), q, "<chord/>"),
         note(F.lit("<rest/>"), F.lit(2)),
         F.lit("<backup><duration>"), q + 2, F.lit("</duration></backup>"),
         note(pitched(F.lit("C"), -1, F.lit(3)), q + 1),
         F.lit('<direction><direction-type><segno/></direction-type></direction></measure><measure number="2">'),
-        F.lit("<attributes><divisions>2</divisions></attributes>"),
-        note(pitched(F.lit("B"), 0, F.lit(4)), F.lit(3)),
+        F.lit('<attributes><divisions>2</divisions></attributes><direction><sound tempo="'), 60 + F.col("l_orderkey") % 90,
+        F.lit('"/></direction>'),
+        note(pitched(F.lit("B"), 0, F.lit(4)), F.lit(3), '<tie type="start"/>'),
+        F.lit('</measure><measure number="3">'),
+        note(pitched(F.lit("B"), 0, F.lit(4)), F.lit(2), '<tie type="stop"/>'),
         F.lit("</measure></part></score-partwise>"),
     )
     return line.select(document_id().alias("file"), F.encode(xml, "UTF-8").alias("content"))

@@ -74,12 +74,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy row-local work where the input has fewer slices than cores.
+    """Deal narrow rows out to all cores before they grow.
 
-    Large inputs have many slices, and then nothing is moved.
+    For tables of few slices whose rows turn into large documents or many rows, such as the
+    stand-in tables.  It always shuffles, so readers of real documents don't use it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:

@@ -122,3 +122,48 @@ def test_note_times_plan_has_no_nested_loop(spark):
 def test_key_pitch_inverse(spark):
     df = spark.range(21, 108).select(F.col("id").cast("int").alias("pitch"))
     assert df.filter(notes.key_pitch(notes.key_index("pitch")) != F.col("pitch")).count() == 0
+
+
+def _midi(track, division=480):
+    return bytes.fromhex("4D546864000000060000" + f"0001{division:04X}" + "4D54726B" + f"{len(track) // 2:08X}" + track)
+
+
+def test_resolution_of_each_file_counts(spark):
+    """One quarter at the default tempo, in files of three resolutions."""
+    quarter = {96: "60", 480: "8360", 960: "8740"}
+    files = [(str(d), _midi(f"00903C40{q}803C0000FF2F00", d)) for d, q in quarter.items()]
+    events = midi.decode_midi(spark.createDataFrame(files, "file string, content binary"))
+    for whole in (False, True):
+        paired = notes.pair_notes(events, whole_tracks=whole)
+        timed = notes.note_times(paired, notes.tempo_segments(midi.tempo_changes(events), ["file"]), ["file"])
+        assert rows(timed, "file", "ppq", "dur_us") == [("480", 480, 500_000), ("96", 96, 500_000), ("960", 960, 500_000)]
+
+
+def test_running_status_goes_on_after_a_text(spark):
+    data = _midi("00903C40" + "00FF010141" + "18" + "3C00" + "00FF2F00")
+    paired = notes.pair_notes(midi.decode_midi(spark.createDataFrame([("a", data)], "file string, content binary")))
+    assert rows(paired, "start_tick", "len_ticks") == [(0, 24)]
+
+
+def test_bad_midi_files_are_rows(spark):
+    good = _midi("00903C4018803C0000FF2F00")
+    files = [("good", good), ("long tempo", _midi("00FF51050102030405" + "00FF2F00")), ("no status", _midi("003C40")),
+             ("cut", good[:-5]), ("header", good[1:]), ("division", _midi("00FF2F00", 0)), ("number", _midi("FFFFFFFFFF00")), ("null", None)]
+    got = midi.decode_midi(spark.createDataFrame(files, "file string, content binary"))
+    assert sorted(r.file for r in got.filter("kind = 'error'").collect()) == sorted(f for f, _ in files if f != "good")
+
+
+def test_building_queries_starts_no_job(spark):
+    """Plans of batch operators are built without running anything."""
+    from notarium.plans import registry
+
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "plans only")
+    try:
+        for name in ("pressed_frames", "drawn_frames", "paired_notes", "svg_labels", "path_boxes", "gate_events", "playable_by_hand"):
+            registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+        # Reading a table's schema is all that may run.
+        spans = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("build")]
+        assert all(len(tracker.getStageInfo(s).name) and tracker.getStageInfo(s).numTasks == 1 for j in spans for s in j.stageIds)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -218,3 +218,23 @@ def test_markup_tags(spark):
     df = spark.createDataFrame([(1, '<div class="ad x"><P>hi</P><br/><a href="x" class="">y</a></div>')], "id int, html string")
     got = [(r.ord, r.tag, r.cls) for r in labels.markup_tags(df, "html").orderBy("ord").collect()]
     assert got == [(0, "div", "ad x"), (1, "P", None), (2, "br", None), (3, "a", "")]
+
+
+def test_cubic_whose_leading_term_vanishes_up_to_rounding(spark):
+    """The coefficient of t^2 in the derivative is 1e-13 here; the extremum must still be found."""
+    from notarium.functions.svgpath import path_bbox
+
+    df = spark.createDataFrame([("M989.88,0 C44.73,10 63.94,20 1047.51,30",)], "d string")
+    ts = [i / 100_000 for i in range(100_001)]
+    low = min((1 - t) ** 3 * 989.88 + 3 * (1 - t) ** 2 * t * 44.73 + 3 * (1 - t) * t * t * 63.94 + t ** 3 * 1047.51 for t in ts)
+    assert abs(df.select(path_bbox("d").alias("b")).first().b.xmin - low) < 1e-4
+
+
+def test_page_of_size_zero_is_rejected(spark):
+    svg = '<svg><path d="M0,0 L0,100"/><use class="Note" x="1" y="50"/></svg>'
+    from notarium.operators import labels
+    from notarium.sources import svg as pages
+
+    docs = pages.parse_pages(spark.createDataFrame([("a.svg", svg)], "file string, svg string"))
+    assert labels.labels(docs).count() == 0
+    assert [r.reason for r in labels.label_rejects(docs).collect()] == ["page of size zero"]

@@ -70,7 +70,7 @@ def test_score(spark, tmp_path, request, narrow):
 
 
 def test_divisions_carry_over_buckets(spark, small_buckets):
-    data = [("f", "p", i, "1", i // 7, "note", "C", 0, 4, 3, 2 if i == 0 else (6 if i == 9 else None), i % 7 % 4 == 3, False) for i in range(20)]
+    data = [("f", "p", i, "1", i // 7, "note", "C", 0, 4, 3, 2 if i == 0 else (6 if i == 9 else None), i % 7 % 4 == 3, False, False, False, None) for i in range(20)]
     df = spark.createDataFrame(data, scores.SCORE_SCHEMA)
     cursor, expected, div, last = 0, [], 1, 0  # one voice: measures follow on without a gap
     for i in range(20):
@@ -101,3 +101,38 @@ def test_note_table_round_trip(spark, tmp_path):
     tables.write_note_events(df, str(tmp_path / "n"), buckets=4)
     back = spark.read.parquet(str(tmp_path / "n"))
     assert back.count() == 30 and back.select("song_bucket").distinct().count() <= 4
+
+
+def _score(body, root="score-partwise", extra=""):
+    return (f'<{root}{extra}><part id="P1"><measure number="1"><attributes><divisions>2</divisions></attributes>{body}'
+            f"</measure></part></{root}>").encode()
+
+
+def _note(step, duration, tie=""):
+    ties = "".join(f'<tie type="{t}"/>' for t in tie.split())
+    return f"<note><pitch><step>{step}</step><octave>4</octave></pitch><duration>{duration}</duration>{ties}</note>"
+
+
+def test_bad_scores_are_rows(spark):
+    """Broken containers, numbers out of range and other layouts; a namespace is no fault."""
+    import io
+    import zipfile
+
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.xml", _score(_note("C", 2) * 50))
+    broken = bytearray(box.getvalue())
+    broken[40:60] = b"\xff" * 20
+    files = [("zip", bytes(broken)), ("inf", _score(_note("C", "1e999"))), ("big", _score(_note("C", 9999999999))),
+             ("time", _score(_note("C", 2), "score-timewise")), ("space", _score(_note("C", 2), extra=' xmlns="urn:x"')), ("null", None)]
+    got = {r.file: r.kind for r in scores.decode_scores(spark.createDataFrame(files, "file string, content binary")).collect()}
+    assert got == {"zip": "error", "inf": "error", "big": "error", "time": "error", "space": "note", "null": "error"}
+
+
+def test_ties_and_tempo(spark):
+    body = ('<direction><sound tempo="120"/></direction>' + _note("C", 2, "start") + _note("C", 2, "stop start") + _note("C", 1, "stop")
+            + _note("C", 2) + _note("D", 2, "start") + '<direction><sound tempo="60"/></direction>' + _note("E", 2, "stop"))
+    score_rows = scores.decode_scores(spark.createDataFrame([("f", _score(body))], "file string, content binary"))
+    merged = score.merge_ties(score.score_notes(score_rows, whole_parts=True))
+    assert rows(merged, "pitch", "start_tick", "len_ticks") == [(60, 0, 1200), (60, 1200, 480), (62, 1680, 480), (64, 2160, 480)]
+    assert rows(score.score_tempo(score_rows), "tick", "us_per_quarter") == [(0, 500_000), (2160, 1_000_000)]

@@ -35,8 +35,11 @@ def trigger_times(notes: DataFrame, offset_us: int = AUDIO_OFFSET_US) -> DataFra
 # ---------------------------------------------------------------- gates
 
 
-def note_edges(triggered: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Notes to gate edges: counts of starts, ends and zero-length notes per row."""
+def note_edges(triggered: DataFrame, keys: Sequence[str], since: bool = False) -> DataFrame:
+    """Notes to gate edges: counts of starts, ends and zero-length notes per row.
+
+    ``since`` adds when the note of an end began, by which the end of a cleared note is known.
+    """
     instant = F.col("dur_us") == 0
     start = F.struct(
         F.col("trigger_us").alias("t_us"), F.lit(1).alias("ons"), F.lit(0).alias("offs"),
@@ -46,6 +49,8 @@ def note_edges(triggered: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.col("end_us").alias("t_us"), F.lit(0).alias("ons"), F.lit(1).alias("offs"),
         F.lit(0).alias("zero"), F.lit(None).cast("int").alias("velocity"),
     )
+    if since:
+        start, end = start.withField("since", F.lit(None).cast("bigint")), end.withField("since", F.col("trigger_us"))
     both = F.when(instant | F.col("end_us").isNull(), F.array(start)).otherwise(F.array(start, end))
     return triggered.select(*keys, F.explode(both).alias("e")).select(*keys, "e.*")
 

@@ -415,3 +415,15 @@ ORACLE: dict[str, str] = {
 }
 ORACLE["stream_gates"] = ORACLE["gate_events"]
 ORACLE["stream_clock"] = ORACLE["playback_clock"]
+ORACLE["stream_resets"] = f"""WITH {_STEADY}, {_LOG},
+    seeks AS (SELECT DISTINCT session AS song_id, value_us AS r FROM log WHERE kind = 'seek'),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY r) AS epoch FROM seeks),
+    struck AS (SELECT n.song_id, n.key_index, n.velocity, n.dur_us, n.start_us - 55000 AS a, n.start_us + n.dur_us - 55000 AS b FROM notes n),
+    begun AS (SELECT s.*, coalesce(e.epoch, 0) AS ea FROM struck s ASOF LEFT JOIN numbered e ON s.song_id = e.song_id AND s.a >= e.r),
+    ended AS (SELECT s.*, coalesce(e.epoch, 0) AS eb FROM begun s ASOF LEFT JOIN numbered e ON s.song_id = e.song_id AND s.b >= e.r),
+    edges AS (
+      SELECT song_id, key_index, ea AS epoch, a AS t_us, 1 AS ons, 0 AS offs, CASE WHEN dur_us = 0 THEN 1 ELSE 0 END AS zero, velocity FROM ended
+      UNION ALL
+      SELECT song_id, key_index, eb, b, 0, 1, 0, NULL FROM ended WHERE dur_us > 0 AND ea = eb),
+    {_gates("edges", "song_id, key_index, epoch")}
+    SELECT song_id, key_index, {_GATE_COLUMNS} FROM gates"""

@@ -347,6 +347,15 @@ def stream_gates(spark, d):
     return live.run_available(live.stream_gates(edges), "gates")
 
 
+def stream_resets(spark, d):
+    """Gates of a song under seeks, which clear every key; ends of cleared notes go by."""
+    timed = notes.timed_notes(notes.steady_times(standins.tick_notes_of(_stream(spark, d, "lineitem"))))
+    edges = playback.note_edges(playback.trigger_times(timed), ["song_id", "key_index"], since=True)
+    log = standins.control_log_of(_stream(spark, d, "events"))
+    seeks = log.filter(F.col("kind") == "seek").select(F.col("session").alias("song_id"), F.col("value_us").alias("t_us"))
+    return live.run_available(live.stream_gates(live.with_resets(edges, seeks)), "resets")
+
+
 def stream_clock(spark, d):
     log = standins.control_log_of(_stream(spark, d, "events"))
     return live.run_available(live.stream_clock(log), "clock")
@@ -365,7 +374,7 @@ QUERIES: dict[str, Query] = {
         paired_notes, midi_notes, midi_rejects, score_notes, score_playable, tempo_segments, note_times, song_durations, key_usage, key_styles,
         gate_events, sounding_intervals, note_state, seek_state, seek_positions, progress, note_rects,
         pressed_keys, frame_load, pressed_frames, drawn_frames, playback_clock, all_notes_off, sound_stream,
-        clock_segments, replay_gates, stream_gates, stream_clock, stream_route,
+        clock_segments, replay_gates, stream_gates, stream_resets, stream_clock, stream_route,
     )
 }
 

@@ -221,8 +221,17 @@ def note_rects_at(notes: DataFrame, times: DataFrame, keys: DataFrame, song_keys
 
 
 def pressed_keys_at(notes: DataFrame, times: DataFrame, song_keys: Sequence[str] = ("song_id",)) -> DataFrame:
-    """Keys with a rectangle across the hit line at ``t_us`` (no audio offset here)."""
-    placed = at_times(notes, times, song_keys).withColumns(_rectangle())
+    """Keys with a rectangle across the hit line at ``t_us`` (no audio offset here).
+
+    A rectangle of h pixels lies across the line from one pixel's time before its start to
+    h + 1 pixels' time after it.  Notes and clocks meet on the song and the cells of time
+    that this span touches, so few pairs are formed that the exact test then removes.
+    """
+    cell, height = "_cell", trunc_div(F.col("dur_us"), US_PER_PIXEL)
+    first, last = F.col("start_us") - US_PER_PIXEL, F.col("start_us") + (height + 1) * US_PER_PIXEL
+    listed = notes.withColumn(cell, F.explode(F.sequence(scan.bucket(first, scan.CLOCK_BITS), scan.bucket(last, scan.CLOCK_BITS))))
+    asked = times.withColumn(cell, scan.bucket("t_us", scan.CLOCK_BITS))
+    placed = listed.join(asked, [*song_keys, cell]).withColumns(_rectangle())
     held = placed.filter((F.col("bottom") >= HIT_LINE) & (F.col("top") <= HIT_LINE))
     return held.select(*song_keys, "t_us", "key_index").distinct()
 

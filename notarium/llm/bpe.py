@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notarium.llm.memory import lean
 from notarium.llm.shards import cut_batch
 from notarium.llm.words import Texts, find_words, hash_spans, lists, ragged, texts_of
 
@@ -327,7 +328,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([part["doc_id"], lists(ids.astype(np.int32), offsets)], ["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return rows.mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -349,7 +350,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
                     [batch["doc_id"].slice(b, e - b), ids.slice(b, e - b), pa.array(texts, pa.string())],
                     ["doc_id", "ids", "decoded"])
 
-    return encoded.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return encoded.mapInArrow(lean(run), "doc_id long, ids array<int>, decoded string")
 
 
 def _sizes(ids: pa.ListArray) -> np.ndarray:

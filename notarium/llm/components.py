@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notarium.llm.memory import lean
 from notarium.session import materialise
 
 _EDGE = "a long, b long"
@@ -49,7 +50,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     out.  No edges give no rows.
     """
     now = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
-    now = materialise(now.mapInArrow(_forest, _EDGE), label)
+    now = materialise(now.mapInArrow(lean(_forest), _EDGE), label)
     before = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

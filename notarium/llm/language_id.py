@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from notarium.llm.memory import lean
 from notarium.llm.shards import cut_batch
 from notarium.llm.words import Texts, texts_of
 
@@ -113,7 +114,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 v = np.minimum(trigram_counts(texts.part(b, e)), 65535).astype("<u2")
                 yield pa.RecordBatch.from_arrays([batch["lang"].slice(b, e - b), pa.array([x.tobytes() for x in v], pa.binary())], ["lang", "v"])
 
-    got = placed.filter(F.col("place") <= each).select("lang", "text").mapInArrow(vectors, "lang string, v binary").collect()
+    got = placed.filter(F.col("place") <= each).select("lang", "text").mapInArrow(lean(vectors), "lang string, v binary").collect()
     got.sort(key=lambda r: (r.lang, bytes(r.v)))
     raw = np.array([np.frombuffer(r.v, "<u2") for r in got], np.float32).reshape(len(got), FEATURES)
     filled = raw.any(axis=1)
@@ -169,7 +170,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     columns.append(batch["carried"])
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(lean(run), out)
 
 
 def _nearest(texts: Texts, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

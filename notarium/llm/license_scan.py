@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notarium.llm.memory import lean
 from notarium.llm.shards import cut_batch
 from notarium.llm.words import U64, Texts, find_words, hash_spans, mix, rolling, texts_of
 
@@ -145,4 +146,4 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, id
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, license string, template int, first_word long, end_word long, containment double")
+    return rows.mapInArrow(lean(run), "doc_id long, license string, template int, first_word long, end_word long, containment double")

@@ -4,19 +4,21 @@ Two sets of sizes x and y with a Jaccard similarity of at least s differ in at m
 (1 - s) / (1 + s) * (x + y) elements.  Sizes fall into bands, each wider by 1/s, so similar
 sets lie in the same band or in neighbours; every pair meets on the *level* of its lower band,
 where at most ``k`` elements differ.  On a level the feature domain is cut into more than
-``k`` partitions: at most ``k`` of them can differ.  Small sets enumerate all subsets of two of
-``k + 2`` partitions, larger ones the single partitions of ``k`` and a reserve; similar sets
+``k`` partitions: at most ``k`` of them can differ.  Small sets enumerate all subsets that leave
+``k`` partitions out, larger ones the single partitions of ``k`` and a reserve; similar sets
 share a signature, the hash of what they hold in one such subset.
 
 Partitions that hold nothing say nothing.  If a set has more than ``k`` partitions with
 elements, one of those must agree, and only they are used; a set with fewer is partitioned
 anew by another function.  In the same way, signatures shared by many sets (a passage in many
-documents) are only needed for sets that have at most ``k`` others (see ``_remaining``).
+documents) are only needed for sets that have at most ``k`` others (see ``_dense_links``).
 
 Candidates are verified by exact intersection.  Sets that are equal are one class from the
-start; in a large group of near copies, each signature links its members in a line and to
-their first, and further pairs are looked at only between members that aren't in one
-component yet.  So no link between components is lost, and no group is squared.
+start.  In a large group of near copies, each set is verified with its likeliest partners and
+with a few hubs near what the group has in common.  Other pairs are verified where their ends
+aren't in one component yet: those that infrequent signatures show one by one, those that
+only frequent ones can show in blocks, without comparing a group's largest component with
+itself.  So no link between components is lost, and no group of copies is squared.
 """
 
 from __future__ import annotations
@@ -27,23 +29,29 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from notarium.llm import shards
 from notarium.llm.components import components
+from notarium.llm.memory import lean, one_group, two_groups
 from notarium.llm.words import U64, find_words, hash_spans, mix, ragged, rolling, texts_of
 from notarium.session import materialise
 
 WORDS = 5
 SIMILARITY = Fraction(80, 100)
-MANY = 8  # a signature of more sets links them in a line, not in pairs
+MANY = 3  # a signature of more sets links them in a line and a star, not in pairs
+LIKELIEST = 3
+HUBS = 8
+BLOCK = 128
 SUBSETS_UP_TO = 6
+_CHOSEN = np.array([2, 3, 4, 3, 3, 3, 3])  # partitions in a signature, by k; as many as k allows at a fair number of subsets
 FUNCTIONS = 5
 
 _SIGNATURES, _WANTED = 1, 2
+_BOTH_LOWER, _ROLE_0, _ROLE_1, _ADJACENT = 0, 1, 2, 3
 _SALT = [U64(x) for x in (0, 0x8F1BBCDC2A5D1C93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x9FB21C651E98DF25)]
 
 
@@ -172,26 +180,27 @@ def _empties(poor, parts, own, part, level, salt):
 
 
 def _subsets(values, offsets, sets, level, k, salt, last):
-    """Signatures of two of ``k + 2`` partitions."""
+    """Signatures of all choices of partitions that leave ``k`` out."""
     flat, of = _elements(values, offsets, sets, salt)
     row = np.zeros(len(k), np.int64)
     row[sets] = np.arange(len(sets))
-    parts = k + 2
+    parts = k + _CHOSEN[np.minimum(k, SUBSETS_UP_TO)]
     part = _part(flat, parts[of])
-    width = SUBSETS_UP_TO + 2
+    width = SUBSETS_UP_TO + int(_CHOSEN[SUBSETS_UP_TO])
     cell = row[of] * width + part
     total = np.zeros(len(sets) * width, U64)
     np.add.at(total, cell, mix(flat))
-    total = total.reshape(-1, width)
-    filled = np.bincount(cell, minlength=total.size).reshape(-1, width) > 0
+    total = mix(total.reshape(-1, width) + np.arange(1, width + 1, dtype=np.uint64)[None, :])
+    filled = np.bincount(cell, minlength=len(sets) * width).reshape(-1, width) > 0
     poor = filled.sum(axis=1) <= k[sets]
-    sigs, ofs = [], []
-    for i, j in combinations(range(width), 2):
-        use = (j < parts[sets]) & (filled[:, i] | filled[:, j] | (poor & last))
-        own = sets[use]
-        both = mix(total[use, i] + U64(i + 1)) + mix(total[use, j] + U64(64 * (j + 1)))
-        sigs.append(mix(both + (level[own].astype(U64) << U64(40)) + salt))
-        ofs.append(own)
+    sigs, ofs = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for need in np.unique(k[sets]).tolist():
+        at = np.flatnonzero(k[sets] == need)
+        for chosen in combinations(range(need + int(_CHOSEN[need])), int(_CHOSEN[need])):
+            use = at[filled[at][:, chosen].any(axis=1) | (poor[at] & last)]
+            both = total[use][:, chosen].sum(axis=1, dtype=np.uint64) + U64(sum(1 << c for c in chosen))
+            sigs.append(mix(mix(both) + (level[sets[use]].astype(U64) << U64(40)) + salt))
+            ofs.append(sets[use])
     return np.concatenate(sigs), np.concatenate(ofs), (sets[poor] if not last else sets[:0])
 
 
@@ -293,30 +302,33 @@ def _classes(table: DataFrame, words: int, similarity: Fraction) -> DataFrame:
 
     info = shards.kept(shards.visit(table, info_schema, "node long, doc_id long, digest long, n long, need0 long, need1 long", describe), "sets_info")
     asked = shards.visit(table, shards.QUESTIONS, shards.ANSWERS, ask)
-    met = materialise(asked.groupBy("bucket").applyInArrow(_meet, "kind int, a long, b long"), "candidates")
+    met = materialise(asked.groupBy("bucket").applyInArrow(one_group(_meet), "kind int, a long, b long, c long"), "candidates")
 
+    # How many of a set's signatures are shared by many, on each of its two levels.
+    frequent = met.filter(f"kind IN ({_ROLE_0}, {_ROLE_1})").groupBy(F.col("b").alias("node")).agg(
+        F.count_if(F.col("kind") == _ROLE_0).alias("many0"), F.count_if(F.col("kind") == _ROLE_1).alias("many1"))
     same = info.filter("n > 0").groupBy("digest").agg(F.min("node").alias("rep"))
-    info = materialise(info.join(same, "digest", "left"), "sets_info")
-    reps = info.filter("n > 0").select("node", "rep", "n")
-
-    def pairs_of(raw: DataFrame) -> DataFrame:
-        """Pairs of class representatives whose sizes allow a link."""
-        a = reps.select(F.col("node").alias("a"), F.col("rep").alias("x"), F.col("n").alias("n_x"))
-        b = reps.select(F.col("node").alias("b"), F.col("rep").alias("y"), F.col("n").alias("n_y"))
-        p, q = similarity.numerator, similarity.denominator
-        return (raw.distinct().join(a, "a").join(b, "b").filter("x <> y")
-                .filter(F.least("n_x", "n_y") * q >= F.greatest("n_x", "n_y") * p)
-                .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-
-    pairs = materialise(pairs_of(met.filter("kind = 0").select("a", "b")), "pairs")
-    links = materialise(_verified(table, pairs, words, similarity), "links")
+    info = materialise(info.join(same, "digest", "left").join(frequent, "node", "left").fillna(0, ["many0", "many1"]), "sets_info")
+    few = materialise(met.filter(f"kind IN ({_BOTH_LOWER}, {_ADJACENT})").groupBy("kind", "a", "b").agg(F.sum("c").alias("c")), "counted")
+    held = materialise(met.filter(f"kind IN ({_ROLE_0}, {_ROLE_1})").groupBy(F.col("b").alias("node"), F.col("kind").alias("role")).agg(
+        F.collect_list("a").alias("sigs")), "frequent")
+    best = Window.partitionBy("b").orderBy(F.desc("c"), "a")
+    pairs = materialise(_possible(few, info, held, similarity).withColumn("place", F.row_number().over(best)), "pairs")
+
+    # First each set's likeliest partners and the hubs of its frequent signatures; what they
+    # don't join is looked at in full.
+    hubs = materialise(_hubs(met, info), "hubs")
+    near = pairs.filter(F.col("place") <= LIKELIEST).select("a", "b").union(
+        _possible(_counted(hubs), info, held, similarity).select("a", "b"))
+    near = materialise(near.distinct(), "pairs")
+    links = materialise(_verified(table, near, words, similarity), "links")
     joined = components(links)
-
-    more = _remaining(met, info, joined)
-    pairs_more = materialise(pairs_of(more).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not pairs_more.isEmpty():
-        links = links.union(_verified(table, pairs_more, words, similarity))
-        joined = components(links)
+    rest = materialise(_apart(pairs.filter(F.col("place") > LIKELIEST), joined), "pairs")
+    more = materialise(_dense_links(table, met, info, hubs, joined, words, similarity), "links")
+    found = links.union(more)
+    if not rest.isEmpty():
+        found = found.union(materialise(_verified(table, rest, words, similarity), "links"))
+    joined = components(found)
 
     # Components of representatives to least document ids; then every row takes its class's.
     placed = info.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
@@ -329,7 +341,13 @@ NEVER = 1 << 40  # small sets keep all their signatures
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Sets of one bucket that share a signature: kind 0 pairs, kind 1 + role rows of (signature, set)."""
+    """Sets of one bucket that share a signature.
+
+    Pairs (a, b) with the number ``c`` of infrequent signatures that they share here: ``_BOTH_LOWER`` for sets
+    of one band, ``_ADJACENT`` for a in the band below b's.  Two sets in the upper band of a
+    level aren't paired there; they meet on the next level.  Signatures of more than ``MANY``
+    sets give a line and a star of pairs, and rows (signature, set) named by the set's role.
+    """
     sigs, nodes, roles = [], [], []
     for blob in table["blob"].to_pylist():
         n = (len(blob) - 8) // 6
@@ -350,54 +368,195 @@ def _meet(table: pa.Table) -> pa.Table:
     starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
     size = np.diff(np.r_[starts, len(sig)])
     of = np.repeat(np.arange(len(starts)), size)
-    place = np.arange(len(sig)) - starts[of] if len(sig) else of
-    big = size[of] > MANY if len(sig) else np.zeros(0, bool)
+    place = np.arange(len(sig)) - np.repeat(starts, size)
+    big = np.repeat(size > MANY, size)
     left, right = [], []
     for step in range(1, MANY):
         at = np.flatnonzero(~big & (place >= step))
-        left.append(node[at - step])
-        right.append(node[at])
+        left.append(at - step)
+        right.append(at)
     at = np.flatnonzero(big & (place >= 1))
-    left += [node[at - 1], node[starts[of[at]]]] if len(at) else []
-    right += [node[at], node[at]] if len(at) else []
-    a = np.concatenate(left) if left else node[:0]
-    b = np.concatenate(right) if right else node[:0]
-    if len(a):
-        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
-        a, b = pair[:, 0], pair[:, 1]
+    i = np.concatenate([*left, at - 1, starts[of[at]]])
+    j = np.concatenate([*right, at, at])
+    use = ((role[i] == 0) | (role[j] == 0)) & (node[i] != node[j])
+    i, j = i[use], j[use]
+    turn = (role[i] == 1) | ((role[j] == 0) & (node[i] > node[j]))  # the lower band first, else the lesser node
+    i, j = np.where(turn, j, i), np.where(turn, i, j)
+    kind = np.where(role[j] == 1, _ADJACENT, _BOTH_LOWER)
+    if len(i):
+        pair, number = np.unique(np.stack([kind, node[i], node[j]], 1), axis=0, return_inverse=True)
+        count = np.bincount(number.ravel(), weights=~big[i], minlength=len(pair)).astype(np.int64)
+    else:
+        pair, count = np.zeros((0, 3), np.int64), i
     key = (int(table["bucket"][0].as_py()) << 32) + sig[big].astype(np.int64)
-    return pa.table({
-        "kind": pa.array(np.concatenate([np.zeros(len(a), np.int64), 1 + role[big]]), pa.int32()),
-        "a": pa.array(np.concatenate([a, key]), pa.int64()), "b": pa.array(np.concatenate([b, node[big]]), pa.int64())})
+    columns = {"kind": [pair[:, 0], np.where(role[big] == 0, _ROLE_0, _ROLE_1)], "a": [pair[:, 1], key], "b": [pair[:, 2], node[big]],
+               "c": [count, np.ones(len(key), np.int64)]}
+    kinds = {"kind": pa.int32()}
+    return pa.table({n: pa.array(np.concatenate(v), kinds.get(n, pa.int64())) for n, v in columns.items()})
+
+
+def _possible(counted: DataFrame, info: DataFrame, held: DataFrame, similarity: Fraction) -> DataFrame:
+    """Pairs (a, b, c) of class representatives that may be linked, from pairs (kind, a, b, c) of sets.
 
+    Their sizes must allow a link, and as at most ``k`` partitions differ, they must share all
+    but ``k`` of either's signatures of their level: ``c`` infrequent ones, and those that stand
+    in both lists of frequent ones.  A list is as long as a set has signatures at most.
+    """
+    info = info.filter("n > 0")
+    a = info.select(F.col("node").alias("a"), F.col("rep").alias("x"), F.col("n").alias("n_x"),
+                    F.col("need0").alias("need_a"), F.col("many0").alias("many_a"))
+    b = info.select(F.col("node").alias("b"), F.col("rep").alias("y"), F.col("n").alias("n_y"), "need0", "need1", "many0", "many1")
+    upper = F.col("kind") == _ADJACENT
+    joined = counted.join(a, "a").join(b, "b").withColumn(
+        "need", F.greatest("need_a", F.when(upper, F.col("need1")).otherwise(F.col("need0")))).withColumn(
+        "many_b", F.when(upper, F.col("many1")).otherwise(F.col("many0")))
+    p, q = similarity.numerator, similarity.denominator
+    near = joined.filter("x <> y").filter(F.least("n_x", "n_y") * q >= F.greatest("n_x", "n_y") * p).filter(
+        F.col("c") + F.least("many_a", "many_b") >= F.col("need")).select("a", "b", "x", "y", "c", "need", F.when(upper, _ROLE_1).otherwise(_ROLE_0).alias("role"))
+    lower = held.filter(f"role = {_ROLE_0}").select(F.col("node").alias("a"), F.col("sigs").alias("sigs_a"))
+    other = held.select(F.col("node").alias("b"), "role", F.col("sigs").alias("sigs_b"))
+    listed = near.join(lower, "a", "left").join(other, ["b", "role"], "left")
+    shared = F.col("c") + F.coalesce(F.size(F.array_intersect("sigs_a", "sigs_b")), F.lit(0))
+    return (listed.withColumn("shared", shared).filter("shared >= need")
+            .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("shared").alias("c")))
+
+
+def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components."""
+    a = joined.select(F.col("node").alias("a"), F.col("component").alias("p"))
+    b = joined.select(F.col("node").alias("b"), F.col("component").alias("q"))
+    placed = pairs.join(a, "a", "left").join(b, "b", "left")
+    return placed.filter(F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b").distinct()
 
-def _remaining(met: DataFrame, info: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs that may be linked only through a frequent signature and lie in different components.
+
+def _dense_links(table: DataFrame, met: DataFrame, info: DataFrame, hubs: DataFrame, joined: DataFrame, words: int,
+                 similarity: Fraction) -> DataFrame:
+    """Links (a, b) between components that may show only in frequent signatures.
 
     A set with more than ``k`` infrequent signatures on a level shares one of those with every
     similar set of the level, so its frequent ones add nothing; only sets without such a
-    reserve are looked at, and only where a signature holds more than one component.
+    reserve are looked at.  They are grouped by their first hub.  Groups that meet in a
+    signature are compared in blocks of about ``BLOCK`` sets: every set outside its group's
+    largest component with all of the other group, or all with all where the largest
+    components differ.  Rows grow with sets times blocks, not with pairs.
     """
-    rows = met.filter("kind > 0").select("kind", F.col("a").alias("sig"), F.col("b").alias("node"))
-    frequent = rows.groupBy("node", "kind").agg(F.count("*").alias("many"))
-    needy = frequent.join(info, "node").filter(
-        F.col("many") >= F.when(F.col("kind") == 1, F.col("need0")).otherwise(F.col("need1"))).select("node", "kind", "rep")
-    placed = rows.join(needy, ["node", "kind"]).select("sig", "rep").distinct().join(
-        joined.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
+    frequent = met.filter(f"kind IN ({_ROLE_0}, {_ROLE_1})").select("kind", F.col("a").alias("sig"), F.col("b").alias("node"))
+    needy = info.select("node", "rep", F.explode(F.array(
+        F.struct(F.lit(_ROLE_0).alias("kind"), (F.col("many0") >= F.col("need0")).alias("open"), F.col("many0").alias("many")),
+        F.struct(F.lit(_ROLE_1).alias("kind"), (F.col("many1") >= F.col("need1")).alias("open"), F.col("many1").alias("many")))).alias("r")).filter(
+        "r.open AND r.many > 0").select("node", "rep", "r.kind")
+    first_hub = hubs.groupBy(F.col("x").alias("node")).agg(F.max_by("y", F.struct("c", "y")).alias("group"))
+    placed = needy.join(first_hub, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    placed = materialise(placed, "needy")
+    met_groups = frequent.join(placed, ["node", "kind"]).select("sig", "group").distinct()
+    members = placed.groupBy("rep").agg(F.min("group").alias("group"))
+    # A class stands in one group; signatures of its other sets count for that group.
+    moved = placed.select("rep", F.col("group").alias("old")).join(members, "rep").select("old", "group").distinct()
+    met_groups = met_groups.join(moved.withColumnRenamed("group", "new"), met_groups["group"] == F.col("old")).select("sig", F.col("new").alias("group")).distinct()
+    members = members.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
         "component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("sig").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("sig")
-    open_rows = placed.join(mixed, "sig")
-    one = open_rows.select("sig", F.col("rep").alias("a"), F.col("component").alias("p"))
-    two = open_rows.select("sig", F.col("rep").alias("b"), F.col("component").alias("q"))
-    return one.join(two, "sig").filter("p < q").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-
-def _verified(table: DataFrame, pairs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
-    """The pairs of nodes whose sets are similar enough, by exact intersection.
+    shares = members.groupBy("group", "component").agg(F.count("*").alias("n"))
+    groups = shares.groupBy("group").agg(F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("major"),
+                                         F.count("*").alias("parts")).withColumn("blocks", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}"))
+    groups = materialise(groups, "groups")
+    members = materialise(members.join(groups, "group").select(
+        "rep", "group", "component", "major", F.expr("pmod(xxhash64(rep), blocks)").alias("block")), "members")
+
+    left = groups.select(F.col("group").alias("g"), F.col("major").alias("major_g"), F.col("parts").alias("parts_g"), F.col("blocks").alias("blocks_g"))
+    right = groups.select(F.col("group").alias("h"), F.col("major").alias("major_h"), F.col("parts").alias("parts_h"), F.col("blocks").alias("blocks_h"))
+    ends = met_groups.withColumnRenamed("group", "g").join(met_groups.withColumnRenamed("group", "h"), "sig").select("g", "h").distinct()
+    # (g, h) and (h, g) both stand in the list; where all meet all, one of them is enough.
+    same = F.col("major_g") == F.col("major_h")
+    tasks = ends.join(left, "g").join(right, "h").filter(
+        F.when(same, F.col("parts_g") > 1).otherwise(F.col("g") < F.col("h"))).select(
+        "g", "h", same.alias("minor"), "blocks_h",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks_g") - 1)).alias("p")).select(
+        "g", "h", "minor", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks_h") - 1)).alias("q"))
+    tasks = materialise(tasks, "tasks")
+    cell = ["g", "h", "p", "q"]
+    one = tasks.join(members.select(F.col("group").alias("g"), F.col("block").alias("p"), "rep", "component", "major"), ["g", "p"]).filter(
+        "NOT minor OR component <> major").select(*cell, "rep", "component")
+    two = tasks.join(members.select(F.col("group").alias("h"), F.col("block").alias("q"), "rep", "component"), ["h", "q"]).select(*cell, "rep", "component")
+    # Blocks without a set on the left send nothing.
+    two = two.join(one.select(*cell).distinct(), cell, "left_semi")
+    sets = materialise(_sets(table, members.select("rep").distinct().withColumnRenamed("rep", "node"), words).withColumnRenamed("node", "rep"), "elements")
+    p, q = similarity.numerator, similarity.denominator
 
-    Only the sets of candidates leave their shard; each is sent to its pairs.
+    def compare(left_sets: pa.Table, right_sets: pa.Table) -> pa.Table:
+        a, b = _block_links(left_sets, right_sets.rename_columns(left_sets.column_names), p, q)
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    ones = one.join(sets, "rep").select(*cell, "rep", "component", "elements")
+    twos = two.join(sets, "rep").select(*(F.col(c).alias(f"{c}_2") for c in ones.columns))
+    return ones.groupBy(*cell).cogroup(twos.groupBy(*(f"{c}_2" for c in cell))).applyInArrow(two_groups(compare), "a long, b long")
+
+
+def _block_links(left: pa.Table, right: pa.Table, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between two blocks of sets, one for each left set and right component."""
+    if not left.num_rows or not right.num_rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def unfolded(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = [np.frombuffer(x, "<u8") for x in t["elements"].to_pylist()]
+        sizes = np.array([len(x) for x in parts])
+        return np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes), sizes
+
+    values, of, sizes_l = unfolded(left)
+    other, other_of, sizes_r = unfolded(right)
+    order = np.argsort(other, kind="stable")
+    other, other_of = other[order], other_of[order]
+    begin, end = np.searchsorted(other, values, "left"), np.searchsorted(other, values, "right")
+    both = np.zeros(len(sizes_l) * len(sizes_r), np.int64)
+    hits = np.cumsum(end - begin)
+    at = 0
+    while at < len(values):  # a bounded number of meetings at a time
+        to = max(at + 1, int(np.searchsorted(hits, (hits[at - 1] if at else 0) + (1 << 20), "right")))
+        n = end[at:to] - begin[at:to]
+        cells = np.repeat(of[at:to], n) * len(sizes_r) + other_of[ragged(begin[at:to], n)]
+        both += np.bincount(cells, minlength=len(both))
+        at = to
+    both = both.reshape(len(sizes_l), len(sizes_r))
+    comp_l, comp_r = left["component"].to_numpy(), right["component"].to_numpy()
+    linked = (q * both >= p * (sizes_l[:, None] + sizes_r[None, :] - both)) & (comp_l[:, None] != comp_r[None, :])
+    i, j = np.nonzero(linked)
+    if len(i):
+        _, first = np.unique(np.stack([i, comp_r[j]], 1), axis=0, return_index=True)
+        i, j = i[first], j[first]
+    return left["rep"].to_numpy()[i], right["rep"].to_numpy()[j]
+
+
+def _counted(pairs: DataFrame) -> DataFrame:
+    """Rows (x, role_x, y, role_y) to pairs (kind, a, b, c), with no infrequent signature counted."""
+    upper_x, upper_y = F.col("role_x") == _ROLE_1, F.col("role_y") == _ROLE_1
+    turn = upper_x | (~upper_y & (F.col("x") > F.col("y")))
+    return pairs.groupBy(
+        F.when(upper_x | upper_y, _ADJACENT).otherwise(_BOTH_LOWER).alias("kind"),
+        F.when(turn, F.col("y")).otherwise(F.col("x")).alias("a"), F.when(turn, F.col("x")).otherwise(F.col("y")).alias("b")).agg(F.lit(0).cast("long").alias("c"))
+
+
+def _hubs(met: DataFrame, info: DataFrame) -> DataFrame:
+    """(x, role_x, y, role_y, c): sets without a reserve of infrequent signatures, with hubs of
+    their frequent ones, ``HUBS`` at most for each set.
+
+    In a group of near copies, the sets with the most frequent signatures are nearest to what
+    the group has in common, and similar to most of it.  One such set of each of ``HUBS`` parts
+    of a signature's members stands for it; each set keeps those that it meets most often.
     """
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    rows = met.filter(f"kind IN ({_ROLE_0}, {_ROLE_1})").select(F.col("kind").alias("role"), F.col("a").alias("sig"), F.col("b").alias("node"))
+    lower = rows.filter(f"role = {_ROLE_0}").join(info.select("node", "many0"), "node")
+    hubs = lower.groupBy("sig", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("part")).agg(
+        F.max_by("node", F.struct("many0", "node")).alias("y"))
+    met_hubs = rows.join(hubs, "sig").filter("node <> y").select(F.col("node").alias("x"), F.col("role").alias("role_x"), "y", F.lit(_ROLE_0).alias("role_y"))
+    poor = info.select(F.col("node").alias("x"), F.explode(F.array(
+        F.struct(F.lit(_ROLE_0).alias("role_x"), (F.col("many0") >= F.col("need0")).alias("open")),
+        F.struct(F.lit(_ROLE_1).alias("role_x"), (F.col("many1") >= F.col("need1")).alias("open")))).alias("r")).filter("r.open").select("x", "r.role_x")
+    counted = met_hubs.join(poor, ["x", "role_x"]).groupBy("x", "role_x", "y", "role_y").agg(F.count("*").alias("c"))
+    best = Window.partitionBy("x").orderBy(F.desc("c"), "y")
+    return counted.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= HUBS).drop("place")
+
+
+def _sets(table: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, elements) of the named sets, read from their shards."""
     def sets(shard: int, chunk: int, batch: pa.RecordBatch, known: dict) -> Iterator[dict]:
         picked = _picked(known)
         if not picked:
@@ -407,7 +566,16 @@ def _verified(table: DataFrame, pairs: DataFrame, words: int, similarity: Fracti
                "elements": [values[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]}
 
     schema = pa.schema([("node", pa.int64()), ("elements", pa.binary())])
-    found = shards.visit(table, schema, "node long, elements binary", sets, _wanted(wanted))
+    return shards.visit(table, schema, "node long, elements binary", sets, _wanted(nodes))
+
+
+def _verified(table: DataFrame, pairs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
+    """The pairs of nodes whose sets are similar enough, by exact intersection.
+
+    Only the sets of candidates leave their shard; each is sent to its pairs.
+    """
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    found = _sets(table, wanted, words)
     p, q = similarity.numerator, similarity.denominator
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,4 +589,4 @@ def _verified(table: DataFrame, pairs: DataFrame, words: int, similarity: Fracti
 
     right = pairs.join(found.select(F.col("node").alias("b"), F.col("elements").alias("right")), "b")
     whole = right.join(found.select(F.col("node").alias("a"), F.col("elements").alias("left")), "a")
-    return whole.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
+    return whole.select("a", "b", "left", "right").mapInArrow(lean(compare), "a long, b long")

@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notarium.llm.bpe import Encoder
+from notarium.llm.memory import lean
 from notarium.llm.shards import cut_batch
 from notarium.llm.words import texts_of
 from notarium.session import materialise
 
 SEQUENCE = 4096
 OPEN = 64
-MERGE = 64
+MERGE = 8
 END_ID = 2
 
 _FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
@@ -150,7 +151,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         return pa.Table.from_batches([out.batch()])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    placed = materialise(rows.mapInArrow(place, _DDL), "packed")
+    placed = materialise(rows.mapInArrow(lean(place), _DDL), "packed")
     left = placed.filter("sequence_id IS NULL").withColumn("group", F.expr(f"part div {merge}"))
     tail = left.groupBy("group").applyInArrow(lambda t: merged(t.drop_columns(["group"])), _DDL)
     return placed.filter("sequence_id IS NOT NULL").unionByName(tail)

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notarium.llm.memory import lean, one_group, two_groups
 from notarium.session import materialise, scratch_path
 
 CHUNK_BYTES = 1 << 20
@@ -82,7 +83,7 @@ def store(docs: DataFrame, label: str) -> DataFrame:
 
     table = f"{label}_{uuid.uuid4().hex}"
     buckets = TABLE_BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (docs.mapInArrow(chunks, "shard long, chunk int, payload binary")
+    (docs.mapInArrow(lean(chunks), "shard long, chunk int, payload binary")
      .write.format("parquet").option("compression", "uncompressed").option("path", scratch_path(spark, label))
      .bucketBy(buckets, "shard").saveAsTable(table))
     return spark.table(table)
@@ -124,7 +125,7 @@ def visit(table: DataFrame, schema: str | pa.Schema, ddl: str, work: Callable, a
                 for shard, chunk, payload in zip(*(batch[c].to_pylist() for c in ("shard", "chunk", "payload")), strict=True):
                     yield from frames(shard, [(chunk, payload)], {})
 
-        return table.mapInArrow(alone, ddl)
+        return table.mapInArrow(lean(alone), ddl)
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
         known: dict = {}
@@ -134,7 +135,7 @@ def visit(table: DataFrame, schema: str | pa.Schema, ddl: str, work: Callable, a
         shard = left["shard"][0].as_py() if left.num_rows else -1
         return pa.Table.from_batches(list(frames(shard, rows, known)), schema)
 
-    return table.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(together, ddl)
+    return table.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(two_groups(together), ddl)
 
 
 def questions(shard: int, chunk: int, kind: int, hashes: np.ndarray, buckets: int, blob_of: Callable) -> dict:
@@ -157,7 +158,7 @@ def answer(asked: DataFrame, decide: Callable[[list[bytes]], list[bytes | None]]
         return kept.set_column(kept.schema.get_field_index("blob"), "blob",
                                pa.array([replies[i] for i in keep], pa.binary()))
 
-    return asked.groupBy("bucket").applyInArrow(whole, ANSWERS)
+    return asked.groupBy("bucket").applyInArrow(one_group(whole), ANSWERS)
 
 
 def repeated(dtype: str) -> Callable[[list[bytes]], list[bytes | None]]:

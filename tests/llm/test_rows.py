@@ -120,3 +120,31 @@ def test_each_operator_is_registered(number):
     import __spark_entry__ as entry
 
     assert [n for n in entry.queries() if n.startswith(f"op{number}_")] and "pipeline" in entry.queries()
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, repeated rows, clashing names, an empty table."""
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    text = " ".join(f"the w{i} and" for i in range(60))
+    kind = "doc_id long, text string, lang string, source string, n_chars long, carried string, node long, kept boolean, `a b` int"
+    rows = [(None, None, None, None, None, None, None, None, None), (None, text, "en", "s", 1, "c", 2, True, 3), (1, text, "en", None, None, "c", 2, False, 3),
+            (1, text, "en", None, None, "c", 2, False, 3), (2, "", "en", "s", 0, None, None, None, None), (3, "é" * 9000, "fr", "s", 1, "x", 1, True, 1),
+            (4, text + " and more words", None, "s", 1, "x", 1, True, 1)]
+    odd = spark.createDataFrame(rows, kind)
+    for docs in (odd, odd.limit(0)):
+        kept = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, folder)
+            left = out.collect()
+            if name == "packing":
+                assert (len(left) > 0) == (docs.count() > 0)
+                break
+            assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
+            assert len(left) <= kept
+            docs = spark.createDataFrame(left, docs.schema)
+    # Each stage for itself on all rows.
+    ids = {name: sorted(str(r.doc_id) for r in stage(spark, odd, folder).collect()) for name, stage in corpus_pipeline.STAGES[:-1]}
+    assert ids["ngram_join"] == ["1", "2", "3", "None"] and "2" not in ids["language_id"] and "2" not in ids["quality_rules"]
+    assert ids["suffix_dedup"].count("1") == 2 and "2" in ids["suffix_dedup"]

@@ -133,12 +133,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, lang_pred, score, rejected[, carried]) for every row, from the text alone.
+    """(doc_id, lang_pred, score, rejected[, carried, text]) for every row, from the text alone.
 
     ``score`` is the cosine with the nearest direction, from 0 to 1.  A null text, and one
     without a letter, gives ``und``, 0 and is rejected.  ``rejected`` also marks texts farther
     from every direction than training texts are.  Rows stay where they are; repeated rows and
-    null ids are kept.  ``carry`` names columns to be handed through in the struct ``carried``.
+    null ids are kept.  ``carry`` names columns to be handed through in the struct ``carried``, beside ``text``.
     """
     chosen = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
     if carry:
@@ -148,8 +148,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     fields = [("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())]
     if carry:
         kind = rows.schema["carried"].dataType
-        out = out.add("carried", kind)
-        fields.append(("carried", to_arrow_type(kind)))
+        out = out.add("carried", kind).add("text", "string")
+        fields += [("carried", to_arrow_type(kind)), ("text", pa.string())]
     schema = pa.schema(fields)
     names = np.array([*model.languages, UNKNOWN], object)
 
@@ -167,7 +167,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 columns = [batch["doc_id"], pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(score)),
                            pa.array(np.concatenate(rejected))]
                 if carry:
-                    columns.append(batch["carried"])
+                    columns += [batch["carried"], batch["text"]]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return rows.mapInArrow(lean(run), out)

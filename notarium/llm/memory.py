@@ -11,6 +11,7 @@ import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 # Option numbers of the GNU C library's mallopt.
 _TRIM_THRESHOLD, _MMAP_THRESHOLD, _ARENA_MAX = -1, -3, -8
@@ -33,6 +34,11 @@ def hold_little() -> None:
         c.mallopt(_ARENA_MAX, 2)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of long texts go to Python a few at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def give_back() -> None:
     if (c := _library()) is not None:
         c.malloc_trim(0)

@@ -233,21 +233,21 @@ def first_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words all stay.  The chosen rows are read from where they are stored; no text is joined.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
-                       F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("carried"))
+                       F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("carried"))
     table = shards.store(rows, "sets")
     last = F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max))
     chosen = _classes(table, words, similarity).groupBy(F.coalesce("class", "node").alias("class")).agg(
         F.min(F.struct(last.alias("id"), "node")).alias("first")).select("first.node")
     kind = rows.schema["carried"].dataType
-    schema = pa.schema([("carried", to_arrow_type(kind))])
+    schema = pa.schema([("carried", to_arrow_type(kind)), ("text", pa.string())])
 
     def pick(shard: int, chunk: int, batch: pa.RecordBatch, known: dict) -> Iterator[dict]:
         picked = _picked(known)
         if picked:
-            yield {"carried": batch["carried"].take(pa.array(picked))}
+            yield {c: batch[c].take(pa.array(picked)) for c in ("carried", "text")}
 
-    kept = shards.visit(table, schema, T.StructType().add("carried", kind), pick, _wanted(chosen))
-    return kept.select(*(F.col(f"carried.`{c}`").alias(c) for c in docs.columns))
+    kept = shards.visit(table, schema, T.StructType().add("carried", kind).add("text", "string"), pick, _wanted(chosen))
+    return kept.select(*((F.col("text") if c == text_col else F.col(f"carried.`{c}`")).alias(c) for c in docs.columns))
 
 
 def _wanted(nodes: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notarium.llm import bpe, chat_format, embedding_dedup, language_id, license_scan, ngram_join, packing, quality_rules, substring_dedup, suffix_dedup
+from notarium.llm.memory import small_batches
 from notarium.session import tune
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return tune(spark).read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -195,8 +195,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte goes if a string of ``LENGTH`` bytes over it also starts in a document with a
     smaller id; strings are judged on the input.  ``kept`` is the remaining bytes; a cut may
     run through a character.  ``n_spans`` counts maximal removed runs.  ``carry`` names
-    columns to be handed through in the struct ``carried``, and adds ``text``: ``kept`` without
-    the bytes of characters that a cut runs through.  Anchors are told apart by 64-bit
+    columns to be handed through in the struct ``carried``, and adds ``text``: the text, after
+    a removal ``kept`` without the bytes of characters that a cut runs through.  Anchors are told apart by 64-bit
     hashes only to find candidates; windows are compared by their bytes.
 
     A null text is empty: zeros and empty ``kept``.  A text shorter than ``LENGTH`` stays
@@ -259,7 +259,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                "kept": [kept[a:b] for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]}
         if carry:
             row["carried"] = batch["carried"]
-            row["text"] = [b.decode("utf-8", "ignore") for b in row["kept"]]
+            # A text that stays whole is handed on as it was, null or not.
+            row["text"] = [b.decode("utf-8", "ignore") if n else t
+                           for b, n, t in zip(row["kept"], row["n_removed"].tolist(), batch["text"].to_pylist(), strict=True)]
         yield row
 
     asked = shards.visit(table, shards.QUESTIONS, shards.ANSWERS, ask_anchors)

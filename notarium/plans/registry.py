@@ -11,8 +11,8 @@ from notarium.functions.expressions import once
 from notarium.functions.svgpath import path_bbox
 from notarium.operators import control, keyboard, labels, notes, playback, routing, score
 from notarium.plans import standins
-from notarium.session import materialise, spread, tune
-from notarium.sources import midi, scores, svg
+from notarium.session import materialise, scratch_path, spread, tune
+from notarium.sources import midi, scores, svg, tables
 from notarium.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,13 @@ def label_lines(spark, d):
         "label_file", "ord", "line")
 
 
+def label_round_trip(spark, d):
+    """Labels written in bounded folders and read back typed, under the names of their label files."""
+    folder = scratch_path(spark, "labels")
+    tables.write_label_lines(labels.labels(_documents(spark, d)), folder)
+    return tables.read_label_lines(spark, folder)
+
+
 def label_summary(spark, d):
     return labels.label_summary(labels.labels(_documents(spark, d)))
 
@@ -211,6 +218,13 @@ def playable_by_hand(spark, d):
     )
 
 
+def note_round_trip(spark, d):
+    """Timed notes written in bounded folders and read back."""
+    folder = scratch_path(spark, "notes")
+    tables.write_note_events(steady_notes(spark, d), folder)
+    return spark.read.parquet(folder).select("song_id", "key_index", "velocity", "start_us", "dur_us", "hand")
+
+
 def song_durations(spark, d):
     songs = standins.table(spark, d, "customer").select(F.col("c_custkey").alias("song_id"))
     return notes.song_duration(songs, tempo_notes(spark, d))
@@ -369,9 +383,9 @@ def stream_route(spark, d):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        playable_by_hand, svg_labels, label_lines, label_summary, label_rejects, page_sizes, class_counts, path_boxes,
+        playable_by_hand, svg_labels, label_lines, label_round_trip, label_summary, label_rejects, page_sizes, class_counts, path_boxes,
         polyline_boxes, markup_tag_counts, route_inputs, render_manifest, manifest_status, label_target,
-        paired_notes, midi_notes, midi_rejects, score_notes, score_playable, tempo_segments, note_times, song_durations, key_usage, key_styles,
+        paired_notes, midi_notes, midi_rejects, score_notes, score_playable, tempo_segments, note_times, note_round_trip, song_durations, key_usage, key_styles,
         gate_events, sounding_intervals, note_state, seek_state, seek_positions, progress, note_rects,
         pressed_keys, frame_load, pressed_frames, drawn_frames, playback_clock, all_notes_off, sound_stream,
         clock_segments, replay_gates, stream_gates, stream_resets, stream_clock, stream_route,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from notarium.operators.labels import format_label
+from notarium.operators.routing import label_target
 
 LABEL_SCHEMA = "class_id int, norm_x double, norm_y double, norm_w double, norm_h double"
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -22,6 +23,8 @@ def read_labels(spark: SparkSession, folder: str) -> DataFrame:
 def write_labels(labels: DataFrame, folder: str) -> None:
     """Label lines in document order, one folder per page; pages without labels get none.
 
+    For exports of so few pages that a folder each is fine; see ``write_label_lines``.
+
     One page is one document, so hashing on the page keeps tasks even; pages are sorted
     inside their task, and one file per page is open at a time.
     """
@@ -29,6 +32,24 @@ def write_labels(labels: DataFrame, folder: str) -> None:
     lines.select("file", "line").write.partitionBy("file").text(folder)
 
 
+def write_label_lines(labels: DataFrame, folder: str, buckets: int = 64) -> None:
+    """Label lines of all pages in ``buckets`` folders: name of the label file, place, line.
+
+    For corpora whose pages are too many for a folder each; the name is that of
+    ``label_target``.  Lines stay where they are, nothing is shuffled.
+    """
+    named = label_target(format_label(labels)).select("label_file", "ord", "line")
+    named.withColumn("page_bucket", F.pmod(F.xxhash64("label_file"), F.lit(buckets)).cast("int")).write.partitionBy(
+        "page_bucket").parquet(folder)
+
+
+def read_label_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """What ``write_label_lines`` wrote, typed."""
+    fields = F.split("line", " ")
+    numbers = [fields[i + 1].cast("double").alias(n) for i, n in enumerate(("norm_x", "norm_y", "norm_w", "norm_h"))]
+    return spark.read.parquet(folder).select("label_file", "ord", fields[0].cast("int").alias("class_id"), *numbers)
+
+
 def write_note_events(notes: DataFrame, folder: str, buckets: int = 64, song_key: str = "song_id") -> None:
     """Timed notes as parquet, folders by a bounded hash of the song."""
     notes.withColumn("song_bucket", F.pmod(F.xxhash64(song_key), F.lit(buckets)).cast("int")).write.partitionBy(

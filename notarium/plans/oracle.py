@@ -210,6 +210,11 @@ ORACLE: dict[str, str] = {
     "label_lines": f"""WITH {_BOXES}
         SELECT replace(file, '.svg', '.txt') AS label_file, ord,
                printf('%d %.6f %.6f %.6f %.6f', class_id, norm_x, norm_y, norm_w, norm_h) AS line FROM labels_out""",
+    "label_round_trip": f"""WITH {_BOXES}
+        SELECT replace(file, '.svg', '.txt') AS label_file, ord, class_id, CAST(printf('%.6f', norm_x) AS DOUBLE) AS norm_x,
+               CAST(printf('%.6f', norm_y) AS DOUBLE) AS norm_y, CAST(printf('%.6f', norm_w) AS DOUBLE) AS norm_w,
+               CAST(printf('%.6f', norm_h) AS DOUBLE) AS norm_h FROM labels_out""",
+    "note_round_trip": f"WITH {_STEADY} SELECT song_id, key_index, velocity, start_us, dur_us, hand FROM notes",
     "label_summary": f"WITH {_BOXES} SELECT file, count(*) AS n_labels FROM labels_out GROUP BY file",
     "label_rejects": f"""WITH {_BOXES}
         SELECT file, CAST(o + 5 AS INTEGER) AS ord, 'path' AS tag, 'Note' AS cls, 'no usable geometry' AS reason FROM lines

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +96,7 @@ def test_packing(documents, pairs, size, windows):
     for r in rows:
         pieces.setdefault(r.doc_id, []).append(r)
         places.setdefault(r.sequence_id, []).append((r.offset, r.length))
-        assert r.ids_crc32 == __import__("zlib").crc32(r.tokens) and len(r.tokens) == 4 * r.length
+        assert r.ids_crc32 == zlib.crc32(r.tokens) and len(r.tokens) == 4 * r.length
     for i, text in pairs:
         want = np.array([*whole.encode(text or "", add_special_tokens=False).ids, packing.END_ID], "<u4").tobytes()
         mine = sorted(pieces[i], key=lambda r: r.start)

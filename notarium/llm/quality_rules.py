@@ -6,9 +6,8 @@ ratio is the sum of log(trusted / all) over its n-grams, divided by their number
 below ``THRESHOLD`` is rejected.
 
 Everything is built-in expressions.  The corpus counts are one aggregate of at most
-``BUCKETS`` rows; the weights travel as one row of ``BUCKETS`` numbers.  Trusted documents are
-at most ``TRUSTED`` labelled ones, so their ids are a table of bounded size.  What is needed
-more than once inside a row is bound by a higher-order function, and words, repeats and ratio
+``BUCKETS`` rows; the weights travel as one row of ``BUCKETS`` numbers.  All documents with a
+good label are trusted; their n-grams are written once.  What is needed more than once inside a row is bound by a higher-order function, and words, repeats and ratio
 never leave their row, however long the text.
 """
 
@@ -21,7 +20,6 @@ from notarium.functions.expressions import bind
 from notarium.session import materialise
 
 BUCKETS = 1 << 14
-TRUSTED = 20_000
 PRIOR = 16 * BUCKETS
 THRESHOLD = -0.1
 LEAST_WORDS = 50
@@ -106,22 +104,26 @@ def base_counts(text: Column, words: Column) -> dict[str, Column]:
     }
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """Ids of at most ``most`` labelled documents of good quality that aren't toxic, by a hash of the id."""
-    good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all labelled documents of good quality that aren't toxic."""
+    return labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct()
 
 
-def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row: the weight log(trusted / all) of every bucket.
+def trusted_grams(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(grams): buckets of each document with a trusted id.  Whether ids are broadcast is the optimizer's choice, by size."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.join(trusted, "doc_id", "left_semi").select(_buckets(words_of(F.col("text"))).alias("grams"))
+
+
+def weights(docs: DataFrame, good: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row: the weight log(trusted / all) of every bucket; ``good`` are the trusted n-grams.
 
     All documents count.  The trusted multinomial starts from ``PRIOR`` n-grams spread as in
     all documents, so few trusted ones give weights near 0, and none give 0.
     """
-    marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(
-        F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left")
-    grams = marked.select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(_buckets(words_of(F.col("text")))).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("everywhere"), F.sum("good").alias("trusted"))
+    every = docs.select(F.explode(_buckets(words_of(F.col(text_col)))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("everywhere"))
+    trusted = good.select(F.explode("grams").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("trusted"))
+    counts = every.join(F.broadcast(trusted), "bucket", "left")
     spark = docs.sparkSession
     all_buckets = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     filled = all_buckets.join(F.broadcast(counts), "bucket", "left").fillna(0)
@@ -152,7 +154,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     and null ids each give a row; a null id is never trusted.  No rows give no rows.
     ``carry`` names columns to be handed through in the struct ``carried``.
     """
-    row = materialise(weights(docs, trusted_ids(labels), id_col, text_col), "weights").withColumn("one", F.lit(1))
+    good = materialise(trusted_grams(docs, trusted_ids(labels), id_col, text_col), "trusted")
+    row = materialise(weights(docs, good, text_col), "weights").withColumn("one", F.lit(1))
     chosen = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(1).alias("one")]
     if carry:
         chosen.append(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried"))

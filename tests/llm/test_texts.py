@@ -152,6 +152,22 @@ def test_ratio_by_hand(spark):
     assert [len(g) for g in grams.values()] == [9, 3, 5, 0, 1]
 
 
+def test_every_trusted_document_counts(spark):
+    """More good labels than the 20 000 that once were the most: the one document that holds a word counts, whichever it is."""
+    ids = spark.range(21_000).select(F.col("id").alias("doc_id"))
+    docs = ids.select("doc_id", F.concat(F.lit("common w"), F.col("doc_id")).alias("text"))
+    labels = ids.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert quality_rules.trusted_ids(labels).count() == 21_000
+    grams = quality_rules.trusted_grams(docs, quality_rules.trusted_ids(labels))
+    assert grams.select(F.sum(F.size("grams"))).first()[0] == 3 * 21_000
+    every = np.zeros(quality_rules.BUCKETS)
+    for r in grams.select(F.explode("grams").alias("b")).groupBy("b").count().collect():
+        every[r.b] = r["count"]
+    share = (every + 1) / (every.sum() + quality_rules.BUCKETS)
+    want = np.log((every + quality_rules.PRIOR * share) / (every.sum() + quality_rules.PRIOR)) - np.log(share)
+    assert quality_rules.weights(docs, grams).first().weights == pytest.approx(want.tolist(), abs=1e-9)
+
+
 def test_quality_without_rows_or_labels(spark, documents):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_rules.quality(empty(spark), none).count() == 0

@@ -4,7 +4,10 @@ A text is the vector of its byte trigrams, hashed to ``FEATURES`` numbers, each
 root of its count times its inverse document frequency, scaled to length 1.  Trigrams run over
 letters; every other byte counts as a blank.  Each language has ``CENTROIDS`` directions, found
 by clustering its training vectors; a text gets the language of the direction with the largest
-cosine.  A text farther from all directions than nearly all training texts are is rejected.
+cosine.  A text farther from all directions than nearly all labelled texts of its length are is
+rejected: of every ``SPARE`` training texts one is left out of the clustering, and the bound is
+the ``LOW`` quantile of the cosines of its beginnings, for each language and each length of
+``LEVELS``.  Between two lengths the bound is interpolated, below the least it falls to 0.
 
 The classifier is fitted on at most ``SAMPLE`` labelled texts, spread evenly over at most
 ``LANGUAGES`` languages (the most frequent); everything else covers all rows.
@@ -17,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,14 +28,18 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from notarium.llm.memory import lean
 from notarium.llm.shards import cut_batch
-from notarium.llm.words import Texts, texts_of
+from notarium.llm.words import Texts, ragged, texts_of
 
 FEATURES = 4096
 CENTROIDS = 3
 SAMPLE = 4000
 LANGUAGES = 256
 ROUNDS = 10
-SLACK = 0.25  # share of the low training cosine below which a text is rejected
+SPARE = 3
+LOW = 0.01
+LEVELS = 16 << np.arange(10)  # bytes of a beginning
+LEAST_SPARE = 100  # beginnings that a bound needs; below it those of all languages count together
+SLACK = 0.25  # share of the low training cosine that is the bound where all languages have too few
 UNKNOWN = "und"
 
 _LETTER = np.zeros(256, np.uint8)
@@ -42,7 +50,7 @@ _LETTER[128:] = np.arange(128, 256)
 
 @dataclass
 class Model:
-    """Unit directions with their languages, feature weights, and the least cosine that counts."""
+    """Unit directions with their languages, feature weights, and the least cosine that counts, by direction and level."""
 
     languages: list[str]
     directions: np.ndarray
@@ -87,6 +95,34 @@ def _clusters(v: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
+def _beginning(texts: Texts, size: int) -> Texts:
+    """The first ``size`` bytes of those texts that have as many."""
+    starts = texts.offsets[:-1][np.diff(texts.offsets) >= size]
+    return Texts(texts.data[ragged(starts, np.full(len(starts), size))], np.arange(len(starts) + 1) * size)
+
+
+def _bounds(cosines: dict[str, list[np.ndarray]], names: list[str], fallback: np.ndarray) -> np.ndarray:
+    """(directions, levels): the low quantile of a language's spare cosines, or that of all languages."""
+    least = np.empty((len(names), len(LEVELS)))
+    for k in range(len(LEVELS)):
+        every = np.concatenate([c[k] for c in cosines.values()])
+        for i, lang in enumerate(names):
+            own = cosines[lang][k]
+            own = own if len(own) >= LEAST_SPARE else every
+            # Longer texts have higher cosines: where a level has too few, the one before is a lower bound.
+            least[i, k] = np.quantile(own, LOW, method="lower") if len(own) >= LEAST_SPARE else least[i, k - 1] if k else fallback[i]
+    return least
+
+
+def _least(model: Model, best: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The bound of each text of ``n`` trigrams whose nearest direction is ``best``."""
+    at = np.clip(np.log2(np.maximum(n, 1) / LEVELS[0]), 0, len(LEVELS) - 1)
+    low = np.minimum(at.astype(np.int64), len(LEVELS) - 2)
+    share = at - low
+    bound = (1 - share) * model.least[best, low] + share * model.least[best, low + 1]
+    return bound * np.minimum(1.0, n / LEVELS[0])
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """Fit on at most ``sample`` rows of ``labelled`` with a language, a text and an id.
@@ -99,7 +135,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         "lang IS NOT NULL AND id IS NOT NULL")
     counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
-        return Model([], np.zeros((0, FEATURES), np.float32), np.ones(FEATURES, np.float32), np.zeros(0))
+        return Model([], np.zeros((0, FEATURES), np.float32), np.ones(FEATURES, np.float32), np.zeros((0, len(LEVELS))))
     each = max(1, sample // len(counts))
     # Twice the wanted share by hash, then the exact number: the window sees a bounded table.
     shares = spark.createDataFrame([(r.lang, min(1.0, 2.0 * each / r.n + 20.0 / r.n)) for r in counts], "lang string, share double")
@@ -110,26 +146,50 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch["text"])
+            spare = batch["place"].to_numpy() % SPARE == 0
             for b, e in _groups(texts):
-                v = np.minimum(trigram_counts(texts.part(b, e)), 65535).astype("<u2")
-                yield pa.RecordBatch.from_arrays([batch["lang"].slice(b, e - b), pa.array([x.tobytes() for x in v], pa.binary())], ["lang", "v"])
-
-    got = placed.filter(F.col("place") <= each).select("lang", "text").mapInArrow(lean(vectors), "lang string, v binary").collect()
-    got.sort(key=lambda r: (r.lang, bytes(r.v)))
-    raw = np.array([np.frombuffer(r.v, "<u2") for r in got], np.float32).reshape(len(got), FEATURES)
-    filled = raw.any(axis=1)
-    raw, langs = raw[filled], np.array([r.lang for r in got], object)[filled]
+                whole = texts.part(b, e)
+                # Level -1 is a whole text; only spare texts are cut.
+                for level, size in enumerate([0, *LEVELS.tolist()], -1):
+                    long = np.diff(whole.offsets) >= size
+                    use = long & (spare[b:e] if level >= 0 else ~spare[b:e])
+                    v = trigram_counts(_beginning(whole, size) if level >= 0 else whole)[use[long]]
+                    v, use = np.minimum(v, 65535).astype("<u2"), np.flatnonzero(use)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch["lang"].slice(b, e - b).take(pa.array(use)), pa.array(np.full(len(use), level, np.int32)),
+                         pa.array([zstandard.compress(x.tobytes(), 1) for x in v], pa.binary())], ["lang", "level", "v"])
+
+    got = placed.filter(F.col("place") <= each).select("lang", "text", "place").mapInArrow(lean(vectors), "lang string, level int, v binary").collect()
+    got.sort(key=lambda r: (r.level, r.lang, bytes(r.v)))
+    raw, langs = _unpacked([r for r in got if r.level < 0])
     weights = (np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))) + 1).astype(np.float32)
     v = _unit(raw, weights)
-    names, directions, least = [], [], []
+    names, directions, fallback = [], [], []
     for lang in sorted(set(langs)):
         own = v[langs == lang]
         c = _clusters(own, centroids)
-        low = SLACK * float(np.quantile(np.max(own @ c.T, axis=1), 0.001))
         names += [lang] * len(c)
         directions.append(c)
-        least += [low] * len(c)
-    return Model(names, np.concatenate(directions).astype(np.float32) if names else np.zeros((0, FEATURES), np.float32), weights, np.array(least))
+        fallback += [SLACK * float(np.quantile(np.max(own @ c.T, axis=1), 0.001))] * len(c)
+    if not names:
+        return Model([], np.zeros((0, FEATURES), np.float32), weights, np.zeros((0, len(LEVELS))))
+    toward = np.concatenate(directions).astype(np.float32)
+    cosines = {lang: [] for lang in sorted(set(names))}
+    for level, size in enumerate(LEVELS.tolist()):
+        raw, langs = _unpacked([r for r in got if r.level == level])
+        # A beginning of digits and signs is as short as its trigrams are few.
+        lettered = raw.sum(axis=1) >= size / 2
+        best = np.max(_unit(raw, weights) @ toward.T, axis=1)
+        for lang, found in cosines.items():
+            found.append(best[lettered & (langs == lang)])
+    return Model(names, toward, weights, _bounds(cosines, names, np.array(fallback)))
+
+
+def _unpacked(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and languages of the rows that have a trigram."""
+    raw = np.array([np.frombuffer(zstandard.decompress(r.v), "<u2") for r in rows], np.float32).reshape(len(rows), FEATURES)
+    filled = raw.any(axis=1)
+    return raw[filled], np.array([r.lang for r in rows], object)[filled]
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -137,7 +197,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     ``score`` is the cosine with the nearest direction, from 0 to 1.  A null text, and one
     without a letter, gives ``und``, 0 and is rejected.  ``rejected`` also marks texts farther
-    from every direction than training texts are.  Rows stay where they are; repeated rows and
+    from every direction than nearly all labelled texts of that length are.  Rows stay where they are; repeated rows and
     null ids are kept.  ``carry`` names columns to be handed through in the struct ``carried``, beside ``text``.
     """
     chosen = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
@@ -183,8 +243,9 @@ def _nearest(texts: Texts, model: Model) -> tuple[np.ndarray, np.ndarray, np.nda
     unknown = np.full(n, len(model.languages))
     if not model.languages:
         return unknown, np.zeros(n), np.ones(n, bool)
-    cosines = _unit(trigram_counts(texts), model.weights) @ model.directions.T
+    counts = trigram_counts(texts)
+    cosines = _unit(counts, model.weights) @ model.directions.T
     best = np.argmax(cosines, axis=1)
     score = np.clip(cosines[np.arange(n), best].astype(np.float64), 0.0, 1.0)
-    far = score < model.least[best]
+    far = score < _least(model, best, counts.sum(axis=1))
     return np.where(some, best, unknown), np.where(some, score, 0.0), far | ~some

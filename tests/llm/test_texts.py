@@ -338,3 +338,25 @@ def test_digests_of_queries(spark):
         decoded = whole.decode(ids, skip_special_tokens=False)
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (
             len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+
+
+def test_language_id_rejects_what_it_was_not_fitted_on(spark):
+    """A language left out of the fit and random letters are far; held-out texts of known languages, short ones too, are not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(5)
+
+    def letters(n):
+        return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(n))
+
+    odd = spark.createDataFrame([(i, letters(n)) for i, n in enumerate([20, 50, 200, 1000] * 10)], "doc_id long, text string")
+    model = language_id.fit(docs.filter("lang <> 'de' AND doc_id % 3 <> 1"))
+    assert "de" not in model.languages
+
+    def rejected(rows):
+        got = [r.rejected for r in language_id.predict(rows, model).collect()]
+        return sum(got) / len(got)
+
+    other = docs.filter("lang = 'de' AND length(text) > 200")
+    known = docs.filter("lang <> 'de' AND doc_id % 3 = 1 AND length(text) > 200")
+    assert rejected(odd) == 1.0 and rejected(other) > 0.9
+    assert rejected(known) < 0.05 and rejected(known.withColumn("text", F.substring("text", 1, 60))) < 0.05

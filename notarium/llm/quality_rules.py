@@ -2,8 +2,11 @@
 
 Words and pairs of neighbouring words fall into ``BUCKETS`` hash buckets.  Two multinomials
 over the buckets are counted: one over all documents, one over trusted documents.  A text's
-ratio is the sum of log(trusted / all) over its n-grams, divided by their number; a text
-below ``THRESHOLD`` is rejected.
+ratio is the sum of log(trusted / all) over its n-grams, divided by their number.  A text is
+rejected below the ``LOW`` quantile of the ratios that trusted documents have when those of
+their own ``FOLDS``th part aren't counted as trusted, so the verdict doesn't depend on how many are trusted.
+(With their own counted, few trusted documents have far higher ratios than good ones unseen.)
+Fewer than ``LEAST_TRUSTED`` give no quantile; then the bound is ``THRESHOLD``.
 
 Everything is built-in expressions.  The corpus counts are one aggregate of at most
 ``BUCKETS`` rows; the weights travel as one row of ``BUCKETS`` numbers.  All documents with a
@@ -22,6 +25,10 @@ from notarium.session import materialise
 BUCKETS = 1 << 14
 PRIOR = 16 * BUCKETS
 THRESHOLD = -0.1
+LOW = 0.005
+LEAST_TRUSTED = 20
+FOLDS = 10
+STEPS = 10_000  # bins of a unit of the ratio
 LEAST_WORDS = 50
 PLACE_BITS = 20
 
@@ -110,52 +117,108 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def trusted_grams(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(grams): buckets of each document with a trusted id.  Whether ids are broadcast is the optimizer's choice, by size."""
+    """(grams, fold): buckets of each document with a trusted id, and its part.  Whether ids are broadcast is the optimizer's choice, by size."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.join(trusted, "doc_id", "left_semi").select(_buckets(words_of(F.col("text"))).alias("grams"))
+    return texts.join(trusted, "doc_id", "left_semi").select(_buckets(words_of(F.col("text"))).alias("grams"), fold_of(F.col("text")).alias("fold"))
 
 
-def weights(docs: DataFrame, good: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row: the weight log(trusted / all) of every bucket; ``good`` are the trusted n-grams.
+def mean_weight(grams: Column, w: Column) -> Column:
+    """Mean of the weights ``w`` over ``grams``; 0 without n-grams."""
+    return F.when(F.size(grams) > 0, F.aggregate(grams, F.lit(0.0), lambda total, b: total + F.get(w, b)) / F.size(grams)).otherwise(0.0)
 
-    All documents count.  The trusted multinomial starts from ``PRIOR`` n-grams spread as in
-    all documents, so few trusted ones give weights near 0, and none give 0.
+
+def fold_of(text: Column) -> Column:
+    """The part of the trusted documents that a document belongs to; copies share it."""
+    return F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")
+
+
+def fold_weights(counts: DataFrame) -> DataFrame:
+    """(fold, w): the weights without the trusted documents of each fold; ``FOLDS`` rows."""
+    def weight(x: Column, n: Column, fold: Column) -> Column:
+        share = (x["everywhere"] + 1) / (n["e"] + BUCKETS)
+        return F.log(x["trusted"] - F.get(x["parts"], fold) + PRIOR * share) - F.log(n["t"] - F.get(n["parts"], fold) + PRIOR) - F.log(share)
+
+    rows = counts.select("c", "n", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))).alias("fold"))
+    return rows.select("fold", F.transform("c", lambda x: weight(x, F.col("n"), F.col("fold"))).alias("w"))
+
+
+def derived_threshold(good: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row: the lower edge of the bin with the ``LOW`` quantile of the ratios without the own fold.
+
+    All trusted documents of ``LEAST_WORDS`` words count, in bins of a fixed width, so the
+    last step sees a table of bounded size and the result is the same on every run.
     """
+    long = good.filter(F.size("grams") >= 2 * LEAST_WORDS - 1)
+    ratio = mean_weight(F.col("grams"), F.col("w"))
+    folds = materialise(fold_weights(counts), "folds")
+    bins = long.join(F.broadcast(folds), "fold").select(F.floor(ratio * STEPS).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+    row = bins.agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("b"))
+    total = F.aggregate("b", F.lit(0).cast("long"), lambda t, x: t + x["n"])
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("bin"))
+
+    def step(s: Column, x: Column) -> Column:
+        seen = s["seen"] + x["n"]
+        return F.struct(seen.alias("seen"), F.coalesce(s["bin"], F.when(seen > LOW * total, x["bin"])).alias("bin"))
+
+    at = F.aggregate("b", start, step, lambda s: s["bin"])
+    return row.select(F.when(total >= LEAST_TRUSTED, at / STEPS).otherwise(THRESHOLD).alias("threshold"))
+
+
+def corpus_counts(docs: DataFrame, good: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row: ``c``, the counts of every bucket, and their sums ``n``; ``good`` are the trusted n-grams."""
     every = docs.select(F.explode(_buckets(words_of(F.col(text_col)))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("everywhere"))
-    trusted = good.select(F.explode("grams").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("trusted"))
+    parts = good.select("fold", F.explode("grams").alias("bucket")).groupBy("bucket", "fold").agg(F.count("*").alias("n"))
+    trusted = parts.groupBy("bucket").agg(
+        F.sum("n").alias("trusted"), *(F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0)).alias(f"part{k}") for k in range(FOLDS)))
     counts = every.join(F.broadcast(trusted), "bucket", "left")
     spark = docs.sparkSession
     all_buckets = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     filled = all_buckets.join(F.broadcast(counts), "bucket", "left").fillna(0)
-    row = filled.agg(F.sort_array(F.collect_list(F.struct("bucket", "everywhere", "trusted"))).alias("c"))
+    row = filled.agg(F.sort_array(F.collect_list(F.struct(
+        "bucket", "everywhere", "trusted", F.array(*(f"part{k}" for k in range(FOLDS))).alias("parts")))).alias("c"))
 
-    def ratio(c: Column) -> Column:
-        def total(name: str) -> Column:
-            return F.aggregate(c, F.lit(0).cast("long"), lambda t, x: t + x[name])
+    def total(of) -> Column:
+        return F.aggregate("c", F.lit(0).cast("long"), lambda t, x: t + of(x))
 
-        def weight(x: Column, n: Column) -> Column:
-            share = (x["everywhere"] + 1) / (n["e"] + BUCKETS)
-            return F.log((x["trusted"] + PRIOR * share) / (n["t"] + PRIOR)) - F.log(share)
+    parts = F.array(*(total(lambda x, k=k: F.get(x["parts"], F.lit(k))) for k in range(FOLDS)))
+    return row.select("c", F.struct(
+        total(lambda x: x["trusted"]).alias("t"), total(lambda x: x["everywhere"]).alias("e"), parts.alias("parts")).alias("n"))
+
+
+def weights(docs: DataFrame, good: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row: the weight log(trusted / all) of every bucket; ``good`` are the trusted n-grams."""
+    return weights_of(corpus_counts(docs, good, text_col))
 
-        return bind(F.struct(total("trusted").alias("t"), total("everywhere").alias("e")),
-                    lambda n: F.transform(c, lambda x: weight(x, n)))
 
-    return row.select(bind(F.col("c"), ratio).alias("weights"))
+def weights_of(counts: DataFrame) -> DataFrame:
+    """The weights by ``corpus_counts``.
+
+    All documents count.  The trusted multinomial starts from ``PRIOR`` n-grams spread as in
+    all documents, so few trusted ones give weights near 0, and none give 0.
+    """
+    def weight(x: Column, n: Column) -> Column:
+        share = (x["everywhere"] + 1) / (n["e"] + BUCKETS)
+        return F.log((x["trusted"] + PRIOR * share) / (n["t"] + PRIOR)) - F.log(share)
+
+    return counts.select(bind(F.struct("c", "n"), lambda s: F.transform(s["c"], lambda x: weight(x, s["n"]))).alias("weights"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float | None = None,
             carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept[, carried]).
 
     ``base_failed``: fewer than ``LEAST_WORDS`` words, or more than half of them in repeated
-    windows.  ``kept``: not failed, and ``ratio`` not below ``threshold``.
+    windows.  ``kept``: not failed, and ``ratio`` not below ``threshold``; by default
+    that is derived from the trusted documents.
 
     A null or blank text has no words, fails the base rules and has ratio 0.  Repeated rows
     and null ids each give a row; a null id is never trusted.  No rows give no rows.
     ``carry`` names columns to be handed through in the struct ``carried``.
     """
     good = materialise(trusted_grams(docs, trusted_ids(labels), id_col, text_col), "trusted")
-    row = materialise(weights(docs, good, text_col), "weights").withColumn("one", F.lit(1))
+    counts = materialise(corpus_counts(docs, good, text_col), "counts")
+    least = derived_threshold(good, counts) if threshold is None else docs.sparkSession.range(1).select(F.lit(threshold).alias("threshold"))
+    row = materialise(weights_of(counts).join(F.broadcast(least)), "weights").withColumn("one", F.lit(1))
     chosen = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(1).alias("one")]
     if carry:
         chosen.append(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried"))
@@ -163,14 +226,13 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     w = F.col("weights")
 
     def facts(words: Column) -> Column:
-        grams = bind(_buckets(words), lambda g: F.when(F.size(g) > 0, F.aggregate(
-            g, F.lit(0.0), lambda total, b: total + F.get(w, b)) / F.size(g)).otherwise(0.0))
+        grams = bind(_buckets(words), lambda g: mean_weight(g, w))
         columns = [c.alias(n) for n, c in base_counts(F.col("text"), words).items()]
         return F.struct(*columns, grams.alias("ratio"))
 
-    kept = ["doc_id", *(["carried"] if carry else [])]
+    kept = ["doc_id", "threshold", *(["carried"] if carry else [])]
     rows = joined.select(*kept, F.explode(F.array(bind(words_of(F.col("text")), facts))).alias("f"))
     failed = (F.col("f.n_words") < LEAST_WORDS) | (100 * F.col("f.n_repeat_words") > 50 * F.col("f.n_words"))
-    out = rows.select("doc_id", "f.n_words", "f.word_chars", "f.n_symbols", "f.n_dup_lines", "f.n_repeat_words",
-                      failed.alias("base_failed"), "f.ratio", *kept[1:])
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold))
+    verdict = ~failed & (F.col("f.ratio") >= F.col("threshold"))
+    return rows.select("doc_id", "f.n_words", "f.word_chars", "f.n_symbols", "f.n_dup_lines", "f.n_repeat_words",
+                      failed.alias("base_failed"), "f.ratio", *kept[2:], verdict.alias("kept"))

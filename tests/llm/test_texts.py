@@ -168,6 +168,36 @@ def test_every_trusted_document_counts(spark):
     assert quality_rules.weights(docs, grams).first().weights == pytest.approx(want.tolist(), abs=1e-9)
 
 
+def test_fold_weights_by_hand(spark):
+    """The weights without each fold, in Python."""
+    docs = spark.createDataFrame([(i, f"a b c{i} a b") for i in range(30)], "doc_id long, text string")
+    good = quality_rules.trusted_grams(docs, docs.filter("doc_id < 20").select("doc_id"))
+    counts = quality_rules.corpus_counts(docs, good)
+    c = counts.first().c
+    every = np.array([x.everywhere for x in c])
+    share = (every + 1) / (every.sum() + quality_rules.BUCKETS)
+    members = good.collect()
+    got = {r.fold: r.w for r in quality_rules.fold_weights(counts).collect()}
+    assert sorted(got) == list(range(quality_rules.FOLDS))
+    for fold, w in got.items():
+        left = np.bincount(sum((r.grams for r in members if r.fold != fold), []), minlength=quality_rules.BUCKETS)
+        want = np.log((left + quality_rules.PRIOR * share) / (left.sum() + quality_rules.PRIOR)) - np.log(share)
+        assert w == pytest.approx(want.tolist(), abs=1e-9)
+
+
+def test_verdict_does_not_hang_on_the_number_of_trusted(spark):
+    """Junk goes and unseen good documents stay, with few trusted documents as with many."""
+    rng = random.Random(8)
+    good, bad = [f"g{i}" for i in range(300)], [f"j{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choices(good if i < 1000 else bad, k=80))) for i in range(1400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (30, 800):
+        labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+        got = {r.doc_id: r.kept for r in quality_rules.quality(docs, labels).collect()}
+        assert sum(got[i] for i in range(1000, 1400)) == 0, n
+        assert sum(got[i] for i in range(900, 1000)) >= 90, n
+
+
 def test_quality_without_rows_or_labels(spark, documents):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_rules.quality(empty(spark), none).count() == 0

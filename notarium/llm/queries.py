@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notarium.llm import bpe, chat_format, embedding_dedup, language_id, license_scan, ngram_join, packing, quality_rules, substring_dedup, suffix_dedup
+from notarium.functions.expressions import bind
+from notarium.llm import (
+    bpe,
+    chat_format,
+    embedding_dedup,
+    filter_audit,
+    language_id,
+    license_scan,
+    ngram_join,
+    packing,
+    periodic_runs,
+    quality_rules,
+    sharding,
+    substring_dedup,
+    suffix_dedup,
+)
 from notarium.llm.memory import small_batches
 from notarium.session import tune
 
@@ -81,6 +96,45 @@ def op10_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
     return embedding_dedup.link_vectors(table(spark, d, "embeddings"))
 
 
+def looped(doc_id: Column, text: Column) -> Column:
+    """The text that the query of runs looks at: for an id in ten, words from a place on repeat a stretch."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("bigint")
+    words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w).cast("bigint")
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))).cast("bigint")
+        place = lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.get(w, place(i))), " ")
+
+    return F.when((F.pmod(h, F.lit(10)) == 0) & text.rlike(r"[^\x20\x09-\x0D]"), bind(words, repeated)).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", looped(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs.find_runs(docs)
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    longest = found.withColumns({"best": best, "lines": lines})
+    length, period = F.col("best")["length"], -F.col("best")["col3"]
+    return longest.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best")["col2"]).alias("start"), length.alias("length"),
+        period.alias("period"), F.call_function("div", 1000 * length, period).alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op12_rendezvous_sharding(spark: SparkSession, d: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, d, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op13_filter_audit(spark: SparkSession, d: str) -> DataFrame:
+    return filter_audit.audit(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -92,12 +146,27 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_rendezvous_sharding": op12_rendezvous_sharding,
+    "op13_filter_audit": op13_filter_audit,
 }
 # Where SQL can express an operator over whole tables in fair time.  The others are tested
 # against plain versions: the tokenizer (op1, op7), hashed n-grams (op2), MinHash retrieval (op4)
 # and the language model (op6) have no SQL form, and repeated byte strings (op8) take too long in SQL.
 _WORDS = r"""regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"""
 
+# CRC-32 of a list of byte values by a table that a rule fills; ``crc_table`` has one row, the list ``t``.
+_CRC_TABLE = """crc_steps AS (SELECT range AS i, range AS c, 0 AS k FROM range(256)
+          UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM crc_steps WHERE k < 8),
+        crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc_steps WHERE k = 8)"""
+
+
+def _crc32(text: str) -> str:
+    """SQL of the CRC-32 of a text's bytes, beside ``crc_table``."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"""xor(4294967295, list_reduce({octets}, lambda c, b: xor(c // 256, t[CAST(xor(c % 256, b) AS INT) + 1]), 4294967295))"""
+
+
 ORACLE: dict[str, str] = {
     "op3_ngram_join": f"""WITH RECURSIVE lowered AS (
           SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
@@ -143,4 +212,53 @@ ORACLE: dict[str, str] = {
         counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
         SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
         FROM embeddings LEFT JOIN counts USING (vec_id) JOIN least USING (vec_id)""",
+    "op11_periodic_runs": f"""WITH RECURSIVE {_CRC_TABLE},
+        hashed AS (SELECT doc_id, {_WORDS} AS w, {_crc32("CAST(doc_id AS VARCHAR)")} AS h FROM documents, crc_table),
+        places AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM hashed),
+        steps AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM places),
+        lists AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0
+                    THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM steps),
+        items AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM lists),
+        same AS (SELECT l.doc_id, l.i, r.i - l.i AS q FROM items l JOIN items r ON l.doc_id = r.doc_id AND l.x = r.x AND l.i < r.i),
+        islands AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS m
+                    FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM same) GROUP BY doc_id, q, k),
+        runs AS (SELECT doc_id, s, m, min(q) AS q FROM islands WHERE m >= 2 * q AND m >= 12 GROUP BY doc_id, s, m),
+        totals AS (SELECT doc_id, count(*) AS n_runs, max_by({{'s': s, 'm': m, 'q': q}}, [m, -s, -q]) AS b,
+                     string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, m, q) AS t FROM runs GROUP BY doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + m)) AS i FROM runs),
+        kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS c FROM items ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.m AS length, b.q AS period, 1000 * b.m // b.q AS exponent_milli,
+               sha256(coalesce(t, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+        FROM documents d LEFT JOIN totals USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op12_rendezvous_sharding": f"""WITH RECURSIVE {_CRC_TABLE},
+        sized AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size,
+                    {_crc32("coalesce(text, '')")} AS text_crc32 FROM documents, crc_table),
+        draws AS (SELECT *, list_transform(range(17), lambda s: -ln((CAST('0x' || substr(md5(k || ':' || s), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)) AS c FROM sized),
+        dealt AS (SELECT *, CAST(list_position(c, list_min(c[1:16])) - 1 AS INT) AS shard, CAST(list_position(c, list_min(c)) - 1 AS INT) AS grown_shard FROM draws),
+        points AS (SELECT *, CAST('0x' || substr(md5(concat_ws(':', k, size, text_crc32, shard, grown_shard)), 1, 13) AS BIGINT) AS point FROM dealt)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+               row_number() OVER (PARTITION BY shard ORDER BY point, doc_id, size, text_crc32) - 1 AS slot FROM points""",
+    "op13_filter_audit": f"""WITH read AS (SELECT coalesce(source, '') AS part, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+        firsts AS (SELECT text, min(doc_id) AS first FROM read GROUP BY text),
+        failed AS (SELECT part, (quality IS NOT DISTINCT FROM 1) AS good, (l.toxic IS NOT DISTINCT FROM 1) AS toxic,
+                     {{'A': len(w) < 50, 'B': 100 * len(list_distinct(w)) < 65 * len(w),
+                       'C': 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text),
+                       'D': regexp_matches(text, '[#$%&*|]'), 'E': r.doc_id > first}} AS x
+                   FROM read r JOIN firsts USING (text) LEFT JOIN labels l ON l.doc_id = r.doc_id),
+        masks AS (SELECT part, good, toxic, concat(CASE WHEN x.A THEN 'A' END, CASE WHEN x.B THEN 'B' END, CASE WHEN x.C THEN 'C' END,
+                    CASE WHEN x.D THEN 'D' END, CASE WHEN x.E THEN 'E' END) AS m, count(*) AS n FROM failed GROUP BY ALL),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+        orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS o FROM letters a, letters b, letters c, letters d, letters e
+                   WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+        steps AS (SELECT o, k, substr(o, k, 1) AS f, substr(o, 1, k - 1) AS earlier FROM orders, (SELECT unnest(range(1, 6)) AS k)),
+        hits AS (SELECT part, o, k, f, n, good, toxic, contains(m, f) AS fails, m = f AS only_this,
+                   len(list_filter(string_split(m, ''), lambda c: c <> '' AND contains(earlier, c))) > 0 AS gone FROM masks, steps),
+        counted AS (SELECT part, o, k, f, coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0) AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS removed,
+                   coalesce(sum(n) FILTER (fails AND gone), 0) AS redundant, coalesce(sum(n) FILTER (only_this), 0) AS unique_fails,
+                   coalesce(sum(n) FILTER (fails AND NOT gone AND good), 0) AS good_lost, coalesce(sum(n) FILTER (fails AND NOT gone AND toxic), 0) AS toxic_lost
+                   FROM hits GROUP BY ALL),
+        shares AS (SELECT part, f, sum(removed) AS shapley FROM counted GROUP BY ALL)
+        SELECT part, o AS filter_order, CAST(k AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+               CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(shapley AS BIGINT) AS shapley FROM counted JOIN shares USING (part, f)""",
 }

@@ -33,17 +33,18 @@ def draw(*values: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, DRAW_BITS // 4), 16, 10).cast("bigint")
 
 
-def cost(key: Column, shard: int, weight: float) -> Column:
+def cost(key: Column, shard: Column, weight: Column) -> Column:
     """What a shard asks for a key: exponential with the shard's weight as its rate."""
-    return -F.log((draw(key, F.lit(shard)) + 0.5) / float(1 << DRAW_BITS)) / F.lit(float(weight))
+    return -F.log((draw(key, shard) + 0.5) / float(1 << DRAW_BITS)) / weight
 
 
 def choose(key: Column, weights: Mapping[int, float]) -> Column:
     """The shard that asks least for a key; the lower number where two ask the same."""
     if not weights or min(weights.values()) <= 0:
         raise ValueError("shards need weights above 0")
-    offers = [F.struct(cost(key, s, w).alias("cost"), F.lit(s).alias("shard")) for s, w in sorted(weights.items())]
-    return (F.least(*offers) if len(offers) > 1 else offers[0])["shard"]
+    shards = F.array(*[F.struct(F.lit(s).alias("shard"), F.lit(float(w)).alias("weight")) for s, w in sorted(weights.items())])
+    offers = F.transform(shards, lambda s: F.struct(cost(key, s["shard"], s["weight"]).alias("cost"), s["shard"].alias("shard")))
+    return F.array_min(offers)["shard"]
 
 
 def assign(rows: DataFrame, key: Column, weights: Mapping[int, float], name: str = "shard") -> DataFrame:

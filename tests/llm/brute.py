@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import itertools
 import re
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -85,3 +86,51 @@ def base_counts(text):
     again = {i + k for i in range(len(w) - 2) if seen[tuple(w[i:i + 3])] > 1 for k in range(3)}
     lines = [x for x in t.split("\n") if WORD.search(x)]
     return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again))
+
+
+def plain_runs(w, least=12):
+    """(start, length, period) of every run of a list, by start, then period."""
+    found = {}
+    for q in range(1, len(w) // 2 + 1):
+        i = 0
+        while i + q < len(w):
+            s = i
+            while i + q < len(w) and w[i] == w[i + q]:
+                i += 1
+            if i - s >= q and i - s + q >= least:
+                found.setdefault((s, i - s + q), q)
+            i += i == s
+    return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def plain_audit(rows, labels):
+    """{(part, order, step): (kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley)} by removing filter after filter."""
+    good, toxic = {i for i, q, _ in labels if i is not None and q == 1}, {i for i, _, t in labels if i is not None and t == 1}
+    first = {}
+    for i, t, _ in rows:
+        if i is not None:
+            first[t or ""] = min(first.get(t or "", i), i)
+    parts = collections.defaultdict(list)
+    for i, t, source in rows:
+        t = t or ""
+        w = words(t)
+        fails = {f for f, hit in {
+            "A": len(w) < 50, "B": 100 * len(set(w)) < 65 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 5 * len(t),
+            "D": re.search(r"[#$%&*|]", t), "E": i is not None and i > first[t]}.items() if hit}
+        parts[source or ""].append((fails, i in good, i in toxic))
+    out = {}
+    for part, docs in parts.items():
+        share = collections.Counter()
+        for order in itertools.permutations("ABCDE"):
+            left = docs
+            for step, f in enumerate(order, 1):
+                lost = [d for d in left if f in d[0]]
+                left = [d for d in left if f not in d[0]]
+                share[f] += len(lost)
+                failing = sum(f in d[0] for d in docs)
+                out[part, "".join(order), step] = [len(left), len(lost), failing - len(lost), sum(d[0] == {f} for d in docs),
+                                                   sum(d[1] for d in lost), sum(d[2] for d in lost)]
+        for (p, order, step), row in out.items():
+            if p == part:
+                row.append(share[order[step - 1]])
+    return {k: tuple(v) for k, v in out.items()}

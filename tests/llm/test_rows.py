@@ -115,7 +115,7 @@ def test_pipeline(spark):
     assert pieces.select("doc_id").distinct().count() == counts[-1]
 
 
-@pytest.mark.parametrize("number", range(1, 11))
+@pytest.mark.parametrize("number", range(1, 14))
 def test_each_operator_is_registered(number):
     import __spark_entry__ as entry
 

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notarium.operators import scan
+from notarium.session import materialise
 
 DRAW_BITS = 52  # whole numbers that a double holds exactly
 PIECE_BITS = 12  # a shard is numbered in 2^12 stretches
@@ -88,4 +89,5 @@ def shard_documents(docs: DataFrame, shards: int = 16, weights: Mapping[int, flo
         "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     key = F.col("doc_id")
     grown = weights | {max(weights) + 1: 1.0}
-    return slots(assign(assign(rows, key, weights), key, grown, "grown_shard"))
+    # The texts are read once; both levels of slots read what is left of them.
+    return slots(materialise(assign(assign(rows, key, weights), key, grown, "grown_shard"), "shards"))

@@ -419,7 +419,10 @@ ORACLE: dict[str, str] = {
         SELECT * FROM routed""",
 }
 ORACLE["stream_gates"] = ORACLE["gate_events"]
-ORACLE["stream_clock"] = ORACLE["playback_clock"]
+ORACLE["late_gates"] = ORACLE["gate_events"]
+# Rows of a session are numbered from 0.
+ORACLE["stream_clock"] = f"""WITH {_LOG}
+    SELECT session, row_number() OVER (PARTITION BY session ORDER BY seq) - 1 AS seq, kind, paused, segment, clock_us FROM clock"""
 ORACLE["stream_resets"] = f"""WITH {_STEADY}, {_LOG},
     seeks AS (SELECT DISTINCT session AS song_id, value_us AS r FROM log WHERE kind = 'seek'),
     numbered AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY r) AS epoch FROM seeks),

@@ -354,25 +354,50 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
-def stream_gates(spark, d):
-    tick_notes = standins.tick_notes_of(_stream(spark, d, "lineitem"))
+def _edges(tick_notes: DataFrame, since: bool = False) -> DataFrame:
     timed = notes.timed_notes(notes.steady_times(tick_notes))
-    edges = playback.note_edges(playback.trigger_times(timed), ["song_id", "key_index"])
-    return live.run_available(live.stream_gates(edges), "gates")
+    return playback.note_edges(playback.trigger_times(timed), ["song_id", "key_index"], since=since)
+
+
+def stream_gates(spark, d):
+    edges = _edges(standins.tick_notes_of(_stream(spark, d, "lineitem")))
+    return live.settled(live.run_available(live.stream_gates(edges), "gates"))
+
+
+def late_gates(spark, d):
+    """Gates of edges that come in 113 files, one a batch, many of them after their time has been sent.
+
+    The last file brings an edge of no song, by which the watermark passes all others.
+    """
+    edges = _edges(standins.tick_notes(spark, d))
+    closing = edges.limit(1).select(*[
+        {"song_id": F.lit(-1), "t_us": F.lit(10**9)}.get(c, F.col(c)).cast(t).alias(c) for c, t in edges.dtypes])
+    last = standins.STRETCHES * standins.SONG_GROUPS
+    turn = F.when(F.col("song_id") < 0, last).otherwise(standins.arrival_turn())
+    stream = standins.in_turn(edges.unionByName(closing), turn, "edges")
+    log = live.run_available(live.stream_gates(stream, delay="16 seconds", keep="64 seconds"), "late")
+    return live.settled(log)
 
 
 def stream_resets(spark, d):
-    """Gates of a song under seeks, which clear every key; ends of cleared notes go by."""
-    timed = notes.timed_notes(notes.steady_times(standins.tick_notes_of(_stream(spark, d, "lineitem"))))
-    edges = playback.note_edges(playback.trigger_times(timed), ["song_id", "key_index"], since=True)
-    log = standins.control_log_of(_stream(spark, d, "events"))
+    """Gates of a song under seeks, which clear every key; ends of cleared notes go by.
+
+    Edges and seeks come in eight files each, in no order of time.
+    """
+    edges = _edges(standins.tick_notes(spark, d), since=True)
+    log = standins.control_log(spark, d)
     seeks = log.filter(F.col("kind") == "seek").select(F.col("session").alias("song_id"), F.col("value_us").alias("t_us"))
-    return live.run_available(live.stream_gates(live.with_resets(edges, seeks)), "resets")
+    stretch = F.floor(F.greatest(F.col("t_us"), F.lit(0)) / 32_000_000)
+    turn = F.least(F.pmod(F.xxhash64("song_id", "t_us"), F.lit(16)).isin(0, 1).cast("int") + stretch, F.lit(7))
+    both = live.with_resets(standins.in_turn(edges, turn, "edges"), standins.in_turn(seeks, turn, "seeks"))
+    return live.settled(live.run_available(live.stream_gates(both, keep="1 hour", idle="2 hours"), "resets"))
 
 
 def stream_clock(spark, d):
-    log = standins.control_log_of(_stream(spark, d, "events"))
-    return live.run_available(live.stream_clock(log), "clock")
+    """The clock of control logs whose rows come in ten files in no order."""
+    log = standins.numbered_log(spark, d)
+    stream = standins.in_turn(log, F.pmod(F.xxhash64("session", "seq"), F.lit(10)), "log")
+    return live.run_available(live.stream_clock(stream), "clock", empty_batches=False).drop("late")
 
 
 def stream_route(spark, d):
@@ -388,7 +413,7 @@ QUERIES: dict[str, Query] = {
         paired_notes, midi_notes, midi_rejects, score_notes, score_playable, tempo_segments, note_times, note_round_trip, song_durations, key_usage, key_styles,
         gate_events, sounding_intervals, note_state, seek_state, seek_positions, progress, note_rects,
         pressed_keys, frame_load, pressed_frames, drawn_frames, playback_clock, all_notes_off, sound_stream,
-        clock_segments, replay_gates, stream_gates, stream_resets, stream_clock, stream_route,
+        clock_segments, replay_gates, stream_gates, late_gates, stream_resets, stream_clock, stream_route,
     )
 }
 

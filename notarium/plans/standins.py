@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from notarium.session import spread
+from notarium.session import scratch_path, spread
 
 # File kinds in turn, chosen by key.
 INPUT_SUFFIXES = (".png", ".JPG", ".pdf", ".xml", ".mxl", ".mid", ".midi", ".jpeg", ".XML")
@@ -218,3 +219,41 @@ def score_documents(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("</measure></part></score-partwise>"),
     )
     return line.select(document_id().alias("file"), F.encode(xml, "UTF-8").alias("content"))
+
+
+def in_turn(rows: DataFrame, turn: Column, label: str) -> DataFrame:
+    """A stream that takes the rows one file at a time, in the order of ``turn``.
+
+    Each turn is written as one file; the files' times follow the turns, which is the order that
+    a file stream goes by.
+    """
+    spark = rows.sparkSession
+    folder = scratch_path(spark, label)
+    rows.withColumn("_turn", turn.cast("int")).repartition("_turn").write.partitionBy("_turn").parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for entry in files.listStatus(path(folder)):
+        if entry.isDirectory() and entry.getPath().getName().startswith("_turn="):
+            number = int(entry.getPath().getName().removeprefix("_turn="))
+            for file in files.listStatus(entry.getPath()):
+                files.setTimes(file.getPath(), 1_700_000_000_000 + 1000 * number, -1)
+    schema = StructType(rows.schema.fields).add("_turn", "integer")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return stream.drop("_turn")
+
+
+def numbered_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The control log with the rows of each session numbered from 0."""
+    place = F.row_number().over(Window.partitionBy("session").orderBy("seq")) - 1
+    return control_log(spark, folder).withColumn("seq", place.cast("bigint"))
+
+
+# Arrival of edges: song groups in turn, one stretch of time after the other.
+STRETCH_US, STRETCHES, SONG_GROUPS = 16_000_000, 14, 8
+
+
+def arrival_turn(late_by: int = 2) -> Column:
+    """The file that brings an edge: by its stretch of time and its song; one note in sixteen comes ``late_by`` stretches later."""
+    stretch = F.greatest(F.lit(0), F.floor(F.col("t_us") / STRETCH_US))
+    shifted = stretch + F.when(F.pmod(F.xxhash64("song_id", "key_index", "t_us"), F.lit(16)) == 0, late_by).otherwise(0)
+    return F.least(shifted, F.lit(STRETCHES - 1)) * SONG_GROUPS + F.pmod(F.col("song_id"), F.lit(SONG_GROUPS))

@@ -143,49 +143,42 @@ def _rounded_us(num: Column, ppq: Column | int) -> Column:
     return trunc_div(num + trunc_div(ppq, 2), ppq)
 
 
-def tick_times(ticks: DataFrame, segments: DataFrame, song_keys: Sequence[str] = ("song_id",),
-               ppq: int = 480, default_us: int = DEFAULT_US_PER_QUARTER) -> DataFrame:
-    """Time of each distinct tick: the last tempo change at or before it (as-of join).
+def _as_of(points: DataFrame, segments: DataFrame, keys: list[str], ppq: int, default_us: int) -> DataFrame:
+    """Add ``us``, the time of each point's ``tick``, by the last tempo change at or before it.
 
-    Ticks and segments meet in one union ordered by tick, so there is one sort and no range
-    join.  ``ticks`` needs the song keys, ``tick`` and, where it varies, ``ppq``.
+    Points and changes meet in one union ordered by tick, so there is one sort and no range join.
     """
-    keys = list(song_keys)
-    per_row = "ppq" in ticks.columns
-    resolution = ["ppq"] if per_row else []
-    points = ticks.select(*keys, "tick", *resolution).distinct().select(
-        *keys, "tick", F.lit(1).alias("is_point"),
-        F.lit(None).cast("struct<tick:bigint,us_per_quarter:bigint,base_num:bigint>").alias("seg"),
-        (F.col("ppq") if per_row else F.lit(ppq)).cast("int").alias("ppq"),
-    )
-    changes = segments.select(
-        *keys, "tick", F.lit(0).alias("is_point"),
-        F.struct("tick", "us_per_quarter", "base_num").alias("seg"),
-        F.lit(None).cast("int").alias("ppq"),
-    )
-    rows = points.unionByName(changes).withColumn(scan.BUCKET, scan.bucket("tick", scan.TICK_BITS))
-    local = rows.withColumn("_seg", F.last("seg", ignorenulls=True).over(scan.upto(keys, "tick", "is_point")))
+    columns = points.columns
+    marked = points.select("*", F.lit(1).alias("_is_point"), F.lit(None).cast("struct<tick:bigint,us_per_quarter:bigint,base_num:bigint>").alias("_change"))
+    changes = segments.select(*keys, "tick", F.lit(0).alias("_is_point"), F.struct("tick", "us_per_quarter", "base_num").alias("_change"))
+    rows = marked.unionByName(changes, allowMissingColumns=True).withColumn(scan.BUCKET, scan.bucket("tick", scan.TICK_BITS))
+    local = rows.withColumn("_near", F.last("_change", ignorenulls=True).over(scan.upto(keys, "tick", "_is_point")))
     place = scan.bucket("tick", scan.TICK_BITS).alias(scan.BUCKET)
     fields = ("tick", "us_per_quarter", "base_num")
     buckets = (
-        ticks.select(*keys, place, *[F.lit(None).cast("bigint").alias(f) for f in fields])
+        points.select(*keys, place, *[F.lit(None).cast("bigint").alias(f) for f in fields])
         .unionByName(segments.select(*keys, place, *fields))
         .groupBy(*keys, scan.BUCKET)
         .agg(F.max("tick").alias("tick"), *[F.max_by(f, "tick").alias(f) for f in fields[1:]])
     )
     last = F.when(F.col("tick").isNotNull(), F.struct(*fields))
     carry = buckets.select(
-        *keys, scan.BUCKET, F.last(last, ignorenulls=True).over(scan.earlier_buckets(keys)).alias("_seg_in"),
-    )
-    found = scan.with_carry(local.filter(F.col("is_point") == 1), carry, keys).withColumn(
-        "_use", F.coalesce("_seg", "_seg_in")
+        *keys, scan.BUCKET, F.last(last, ignorenulls=True).over(scan.earlier_buckets(keys)).alias("_earlier"),
     )
+    found = scan.with_carry(local.filter(F.col("_is_point") == 1), carry, keys).withColumn("_use", F.coalesce("_near", "_earlier"))
     numerator = F.coalesce(
         F.col("_use.base_num") + (F.col("tick") - F.col("_use.tick")) * F.col("_use.us_per_quarter"),
         F.col("tick") * F.lit(default_us),
     )
-    kept = [*keys, "tick", *(["ppq"] if per_row else [])]
-    return found.select(*kept, _rounded_us(numerator, F.col("ppq")).alias("us"))
+    return found.select(*columns, _rounded_us(numerator, F.col("ppq") if "ppq" in columns else ppq).alias("us"))
+
+
+def tick_times(ticks: DataFrame, segments: DataFrame, song_keys: Sequence[str] = ("song_id",),
+               ppq: int = 480, default_us: int = DEFAULT_US_PER_QUARTER) -> DataFrame:
+    """Time of each distinct tick (as-of join).  ``ticks`` needs the song keys, ``tick`` and, where it varies, ``ppq``."""
+    keys = list(song_keys)
+    kept = [*keys, "tick", *(["ppq"] if "ppq" in ticks.columns else [])]
+    return _as_of(ticks.select(*kept).distinct(), segments, keys, ppq, default_us)
 
 
 def ticks_to_us(df: DataFrame, tick_col: str, segments: DataFrame, out: str,
@@ -199,26 +192,24 @@ def ticks_to_us(df: DataFrame, tick_col: str, segments: DataFrame, out: str,
     return df.join(times.withColumnsRenamed({"tick": tick_col, "us": out}), on, "left")
 
 
-def note_times(notes: DataFrame, segments: DataFrame, song_keys: Sequence[str] = ("song_id",), ppq: int = 480) -> DataFrame:
+def note_times(notes: DataFrame, segments: DataFrame, song_keys: Sequence[str] = ("song_id",), ppq: int = 480,
+               default_us: int = DEFAULT_US_PER_QUARTER) -> DataFrame:
     """Add ``start_us`` and ``dur_us``; a tempo change inside a note counts.
 
-    Both ends of all notes are resolved in one pass over their distinct ticks.
+    Both ends of a note go into one as-of union together with the note, and meet again by one
+    aggregate over it; nothing is joined back.  Equal notes are told apart again by their number.
     """
     keys = list(song_keys)
     per_row = ["ppq"] if "ppq" in notes.columns else []
-    ended = notes.withColumn("_end_tick", F.col("start_tick") + F.col("len_ticks"))
-    ticks = ended.select(
-        *keys, *per_row, F.explode(F.array("start_tick", "_end_tick")).alias("tick")
-    )
-    times = tick_times(ticks, segments, keys, ppq)
-    starts = times.withColumnsRenamed({"tick": "start_tick", "us": "start_us"})
-    ends = times.withColumnsRenamed({"tick": "_end_tick", "us": "_end_us"})
-    return (
-        ended.join(starts, [*keys, *per_row, "start_tick"])
-        .join(ends, [*keys, *per_row, "_end_tick"])
-        .withColumn("dur_us", F.col("_end_us") - F.col("start_us"))
-        .drop("_end_tick", "_end_us")
-    )
+    own = [c for c in notes.columns if c not in ("start_us", "dur_us")]
+    ends = notes.select(
+        *keys, *per_row, F.struct(*own).alias("_note"),
+        F.posexplode(F.array("start_tick", F.col("start_tick") + F.col("len_ticks"))).alias("_end", "tick"))
+    times = _as_of(ends, segments, keys, ppq, default_us)
+    at = lambda end: F.max(F.when(F.col("_end") == end, F.col("us")))
+    met = times.groupBy("_note").agg(
+        at(0).alias("start_us"), (at(1) - at(0)).alias("dur_us"), F.count_if(F.col("_end") == 0).cast("int").alias("_copies"))
+    return met.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select("_note.*", "start_us", "dur_us")
 
 
 def steady_times(notes: DataFrame, us_per_quarter: int = DEFAULT_US_PER_QUARTER, ppq: int = 480) -> DataFrame:

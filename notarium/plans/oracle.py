@@ -435,3 +435,13 @@ ORACLE["stream_resets"] = f"""WITH {_STEADY}, {_LOG},
       SELECT song_id, key_index, eb, b, 0, 1, 0, NULL FROM ended WHERE dur_us > 0 AND ea = eb),
     {_gates("edges", "song_id, key_index, epoch")}
     SELECT song_id, key_index, {_GATE_COLUMNS} FROM gates"""
+ORACLE["label_files"] = """WITH symbols AS (
+      SELECT l_suppkey, CAST(l_partkey % 10 AS INTEGER) AS c, l_partkey % 1000 AS x, 100 + l_orderkey % 1500 AS y FROM lineitem)
+    SELECT 'book.txt_' || l_suppkey || '.txt' AS file, c AS class_id, CAST(printf('%.6f', (x + 7.5::DOUBLE) / 1000) AS DOUBLE) AS norm_x,
+           CAST(printf('%.6f', CASE WHEN c = 5 THEN y + 60 ELSE y - 15 END / 2000.0::DOUBLE) AS DOUBLE) AS norm_y, 0.015::DOUBLE AS norm_w,
+           CASE WHEN c = 5 THEN 0.06::DOUBLE ELSE 0.015::DOUBLE END AS norm_h
+    FROM symbols WHERE c < 8"""
+ORACLE["arrivals_once"] = f"""WITH named AS (SELECT p_partkey, p_name, {_SUFFIXES}[p_partkey % 9 + 1] AS suffix FROM part)
+    SELECT 'part_' || p_partkey || suffix AS file, CAST(octet_length(encode(p_name)) AS BIGINT) AS length, lower(suffix) AS ext,
+           CASE WHEN lower(suffix) IN ('.png', '.jpg', '.pdf') THEN 'recognise' WHEN lower(suffix) IN ('.xml', '.mxl') THEN 'convert'
+                WHEN lower(suffix) IN ('.mid', '.midi') THEN 'as_is' ELSE 'fallthrough' END AS route FROM named"""

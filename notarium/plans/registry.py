@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notarium.functions import paths
 from notarium.functions.expressions import once
 from notarium.functions.svgpath import path_bbox
 from notarium.operators import control, keyboard, labels, notes, playback, routing, score
 from notarium.plans import standins
 from notarium.session import materialise, scratch_path, spread, tune
-from notarium.sources import midi, scores, svg, tables
+from notarium.sources import midi, named_text, scores, svg, tables
 from notarium.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +73,29 @@ def label_round_trip(spark, d):
     return tables.read_label_lines(spark, folder)
 
 
+def label_files(spark, d):
+    """Long pages as named files, read, labelled, written as one named label file a page, and read back typed."""
+    pages, out = scratch_path(spark, "pages"), scratch_path(spark, "label_files")
+    named_text.write_named(standins.page_books(spark, d), pages)
+    tables.write_label_files(labels.labels(svg.parse_pages(svg.read_svg_corpus(spark, pages))), out)
+    return tables.read_labels(spark, out).withColumn("file", paths.base_name("file"))
+
+
+def arrivals_once(spark, d):
+    """Files that arrive by two routes, each routed and delivered once; the job is stopped and goes on."""
+    inbox, out = scratch_path(spark, "inbox"), scratch_path(spark, "arrivals")
+    named_text.write_named(standins.part_files(spark, d), inbox)
+    a_few = -(-standins.table(spark, d, "part").count() // 4)
+    both = tables.stream_files(spark, inbox, a_few).unionByName(tables.stream_files(spark, inbox, a_few + 1))
+    delivered = live.stream_route(live.first_arrivals(both)).select(paths.base_name("path").alias("file"), "length", "ext", "route")
+    first = live.sink_once(delivered, out, f"{out}/state").start()
+    while first.isActive and not first.recentProgress:
+        first.awaitTermination(1)
+    first.stop()
+    live.sink_once(delivered, out, f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return live.read_once(spark, out, delivered.schema).drop("batch")
+
+
 def label_summary(spark, d):
     return labels.label_summary(labels.labels(_documents(spark, d)))
 
@@ -130,8 +154,8 @@ def route_inputs(spark, d):
 
 
 def _score_list(spark, d):
-    paths = routing.path_parts(standins.inputs(spark, d))
-    return paths.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"))
+    listed = routing.path_parts(standins.inputs(spark, d))
+    return listed.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"))
 
 
 def render_manifest(spark, d):
@@ -401,19 +425,19 @@ def stream_clock(spark, d):
 
 
 def stream_route(spark, d):
-    paths = standins.page_paths(_stream(spark, d, "pages"))
-    return live.run_available(live.stream_route(paths), "route")
+    arrived = standins.page_paths(_stream(spark, d, "pages"))
+    return live.run_available(live.stream_route(arrived), "route")
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        playable_by_hand, svg_labels, label_lines, label_round_trip, label_summary, label_rejects, page_sizes, class_counts, path_boxes,
+        playable_by_hand, svg_labels, label_lines, label_round_trip, label_files, label_summary, label_rejects, page_sizes, class_counts, path_boxes,
         polyline_boxes, markup_tag_counts, route_inputs, render_manifest, manifest_status, label_target,
         paired_notes, midi_notes, midi_rejects, score_notes, score_playable, tempo_segments, note_times, note_round_trip, song_durations, key_usage, key_styles,
         gate_events, sounding_intervals, note_state, seek_state, seek_positions, progress, note_rects,
         pressed_keys, frame_load, pressed_frames, drawn_frames, playback_clock, all_notes_off, sound_stream,
-        clock_segments, replay_gates, stream_gates, late_gates, stream_resets, stream_clock, stream_route,
+        clock_segments, replay_gates, stream_gates, late_gates, stream_resets, stream_clock, stream_route, arrivals_once,
     )
 }
 

@@ -257,3 +257,27 @@ def arrival_turn(late_by: int = 2) -> Column:
     stretch = F.greatest(F.lit(0), F.floor(F.col("t_us") / STRETCH_US))
     shifted = stretch + F.when(F.pmod(F.xxhash64("song_id", "key_index", "t_us"), F.lit(16)) == 0, late_by).otherwise(0)
     return F.least(shifted, F.lit(STRETCHES - 1)) * SONG_GROUPS + F.pmod(F.col("song_id"), F.lit(SONG_GROUPS))
+
+
+def page_books(spark: SparkSession, folder: str) -> DataFrame:
+    """One long page per supplier as lines of a named file: an outline and a symbol for each order line."""
+    line = table(spark, folder, "lineitem")
+    names = F.array(*[F.lit(c) for c in ELEMENT_CLASSES])
+    symbol = F.concat(
+        F.lit('<use class="'), F.element_at(names, (F.col("l_partkey") % 10).cast("int") + 1), F.lit('" x="'), F.col("l_partkey") % 1000,
+        F.lit('" y="'), 100 + F.col("l_orderkey") % 1500, F.lit('"/>'))
+    name = F.concat(F.lit("book.svg_"), F.col("l_suppkey"), F.lit(".svg"))
+    body = line.select(name.alias("name"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"), symbol.alias("line"))
+    ends = line.select(name.alias("name")).distinct().select("name", F.explode(F.array(
+        F.struct(F.lit(-1).cast("bigint").alias("ord"),
+                 F.lit('<svg xmlns="http://www.w3.org/2000/svg"><path d="M0,0 L1000,0 L1000,2000 L0,2000 Z"/>').alias("line")),
+        F.struct(F.lit((1 << 62)).alias("ord"), F.lit("</svg>").alias("line")))).alias("e")).select("name", "e.*")
+    return body.unionByName(ends)
+
+
+def part_files(spark: SparkSession, folder: str) -> DataFrame:
+    """One short named file per part, of each input kind in turn."""
+    part = table(spark, folder, "part")
+    suffixes = F.array(*[F.lit(s) for s in INPUT_SUFFIXES])
+    name = F.concat(F.lit("part_"), F.col("p_partkey"), F.element_at(suffixes, (F.col("p_partkey") % 9).cast("int") + 1))
+    return part.select(name.alias("name"), F.lit(0).cast("bigint").alias("ord"), F.col("p_name").alias("line"))

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from notarium.functions.paths import base_name
 from notarium.operators.labels import format_label
 from notarium.operators.routing import label_target
+from notarium.sources.named_text import write_named
 
 LABEL_SCHEMA = "class_id int, norm_x double, norm_y double, norm_w double, norm_h double"
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -32,6 +34,13 @@ def write_labels(labels: DataFrame, folder: str) -> None:
     lines.select("file", "line").write.partitionBy("file").text(folder)
 
 
+def write_label_files(labels: DataFrame, folder: str) -> None:
+    """One label file a page under its own name (see ``label_target``), lines in document order,
+    no newline at the end; a page without labels gets none."""
+    named = label_target(format_label(labels)).select(base_name("label_file").alias("name"), "ord", "line")
+    write_named(named, folder)
+
+
 def write_label_lines(labels: DataFrame, folder: str, buckets: int = 64) -> None:
     """Label lines of all pages in ``buckets`` folders: name of the label file, place, line.
 

@@ -31,6 +31,7 @@ FOLDS = 10
 STEPS = 10_000  # bins of a unit of the ratio
 LEAST_WORDS = 50
 PLACE_BITS = 20
+MOST_RANGES = 1 << 14  # bitmaps of 4 KB that are broadcast at most
 
 _BLANKS = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]"
@@ -116,10 +117,33 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct()
 
 
+def id_bitmaps(ids: DataFrame) -> DataFrame:
+    """(range, bits): ids as one bitmap of 4 KB for each range of 32 768 that holds any."""
+    return ids.groupBy(F.bitmap_bucket_number("doc_id").alias("range")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("doc_id")).alias("bits"))
+
+
+def has_bit(bits: Column, place: Column) -> Column:
+    """Whether a bitmap holds a place, counted from 0."""
+    octet = F.conv(F.hex(F.substring(bits, F.call_function("div", place, F.lit(8)).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.call_function("getbit", octet, (place % 8).cast("int")) == 1
+
+
 def trusted_grams(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(grams, fold): buckets of each document with a trusted id, and its part.  Whether ids are broadcast is the optimizer's choice, by size."""
+    """(grams, fold): buckets of each document with a trusted id, and its part.
+
+    Trusted ids come as bitmaps, which are broadcast where they are counted to be at most
+    ``MOST_RANGES`` (64 MB: ids up to some 500 million if they lie close); no text moves then.
+    Beyond that texts and ids meet by a shuffle, with the same result.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.join(trusted, "doc_id", "left_semi").select(_buckets(words_of(F.col("text"))).alias("grams"), fold_of(F.col("text")).alias("fold"))
+    bitmaps = materialise(id_bitmaps(trusted), "bitmaps")
+    if bitmaps.count() <= MOST_RANGES:
+        near = F.col("range") == F.bitmap_bucket_number("doc_id")
+        chosen = texts.join(F.broadcast(bitmaps), near).filter(has_bit(F.col("bits"), F.bitmap_bit_position("doc_id")))
+    else:
+        chosen = texts.join(trusted.hint("merge"), "doc_id", "left_semi")
+    return chosen.select(_buckets(words_of(F.col("text"))).alias("grams"), fold_of(F.col("text")).alias("fold"))
 
 
 def mean_weight(grams: Column, w: Column) -> Column:

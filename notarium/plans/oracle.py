@@ -307,15 +307,16 @@ ORACLE: dict[str, str] = {
     "score_playable": f"""WITH docs AS (
           SELECT {_DOC} AS file, CAST(l_quantity AS BIGINT) AS q, [1, 2, 4, 8][l_partkey % 4 + 1] AS v,
                  2 + l_linenumber % 5 AS oct, [0, 2, 4, 5, 7, 9, 11][l_orderkey % 7 + 1] AS semitone,
-                 CAST(round(60000000 / (60 + l_orderkey % 90)::DOUBLE) AS BIGINT) AS us FROM lineitem),
+                 CAST(round(60000000 / (60 + l_orderkey % 90)::DOUBLE) AS BIGINT) AS us,
+                 CASE WHEN l_linenumber % 2 = 0 THEN 89 ELSE 44 END AS loud FROM lineitem),
         struck AS (
-          SELECT file, (oct + 1) * 12 + semitone + 1 AS pitch, 0 AS s, (q * 480 // v) * 500000 AS e FROM docs
-          UNION ALL SELECT file, (oct + 1) * 12 + 4, 0, (q * 480 // v) * 500000 FROM docs
-          UNION ALL SELECT file, 47, 0, ((q + 1) * 480 // v) * 500000 FROM docs
-          UNION ALL SELECT file, 71, ((q + 2) * 480 // v) * 500000, ((q + 2) * 480 // v) * 500000 + 1200 * us FROM docs),
-        timed AS (SELECT file, CASE WHEN pitch >= 60 THEN 'upper' ELSE 'lower' END AS hand, (s + 240) // 480 AS a, (e + 240) // 480 AS b FROM struck)
+          SELECT file, (oct + 1) * 12 + semitone + 1 AS pitch, 0 AS s, (q * 480 // v) * 500000 AS e, 90 AS velocity FROM docs
+          UNION ALL SELECT file, (oct + 1) * 12 + 4, 0, (q * 480 // v) * 500000, 90 FROM docs
+          UNION ALL SELECT file, 47, 0, ((q + 1) * 480 // v) * 500000, 90 FROM docs
+          UNION ALL SELECT file, 71, ((q + 2) * 480 // v) * 500000, ((q + 2) * 480 // v) * 500000 + 1200 * us, loud FROM docs),
+        timed AS (SELECT file, velocity, CASE WHEN pitch >= 60 THEN 'upper' ELSE 'lower' END AS hand, (s + 240) // 480 AS a, (e + 240) // 480 AS b FROM struck)
         SELECT file, hand, count(*) AS n_notes, CAST(sum(b - a) AS BIGINT) AS sounding_us, CAST(max(b) AS BIGINT) AS end_us,
-               CAST(90 AS INTEGER) AS velocity, CAST(0 AS BIGINT) AS n_flagged FROM timed GROUP BY file, hand""",
+               min(velocity) AS velocity, max(velocity) AS loudest, CAST(0 AS BIGINT) AS n_flagged FROM timed GROUP BY file, hand""",
     "score_notes": f"""WITH docs AS (
           SELECT {_DOC} AS file, CAST(l_quantity AS BIGINT) AS q, [1, 2, 4, 8][l_partkey % 4 + 1] AS v,
                  2 + l_linenumber % 5 AS oct, [0, 2, 4, 5, 7, 9, 11][l_orderkey % 7 + 1] AS semitone FROM lineitem),

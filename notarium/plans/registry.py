@@ -210,13 +210,14 @@ def score_notes(spark, d):
 
 def score_playable(spark, d):
     """Score documents to the notes that each hand plays: ties, tempo marks, velocity, times."""
-    rows = score.drop_repeats(materialise(scores.decode_scores(standins.score_documents(spark, d)), "scores"))
-    struck = score.merge_ties(score.score_notes(rows, whole_parts=True)).withColumn("velocity", F.lit(score.VELOCITY))
-    segments = notes.tempo_segments(score.score_tempo(rows, whole_parts=True).drop("part"), ["file"])
+    rows = score.drop_repeats(scores.decode_scores(standins.score_documents(spark, d)))
+    placed = materialise(score.place_score(rows, whole_parts=True), "placed")
+    struck = score.with_velocity(score.merge_ties(score.placed_notes(placed)), score.placed_loudness(placed))
+    segments = notes.tempo_segments(score.placed_tempo(placed).drop("part"), ["file"])
     timed = notes.reset_flags(notes.timed_notes(notes.note_times(struck, segments, ["file"]), ["file"]))
     return timed.groupBy("file", "hand").agg(
         F.count("*").alias("n_notes"), F.sum("dur_us").alias("sounding_us"),
-        F.max(F.col("start_us") + F.col("dur_us")).alias("end_us"), F.min("velocity").alias("velocity"),
+        F.max(F.col("start_us") + F.col("dur_us")).alias("end_us"), F.min("velocity").alias("velocity"), F.max("velocity").alias("loudest"),
         F.count_if(F.col("is_playing") | F.col("has_played")).alias("n_flagged"))
 
 

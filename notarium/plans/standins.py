@@ -189,7 +189,8 @@ def broken_midi_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def score_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """One small score per order line: two voices, a chord, a rest, repeats, changing divisions, a tempo, a tie."""
+    """One small score per order line: two voices, a chord, a rest, repeats, changing
+    divisions, a tempo, a loudness, a tie; some in the time-wise layout."""
     line = spread(table(spark, folder, "lineitem"))
     q, octave = F.col("l_quantity").cast("bigint"), 2 + F.col("l_linenumber") % 5
     divisions = F.element_at(F.array(*[F.lit(d) for d in (1, 2, 4, 8)]), (F.col("l_partkey") % 4).cast("int") + 1)
@@ -203,21 +204,31 @@ def score_documents(spark: SparkSession, folder: str) -> DataFrame:
         return F.concat(F.lit("<pitch><step>"), name, F.lit(f"</step><alter>{alter}</alter><octave>"), oct_,
                         F.lit("</octave></pitch>"))
 
-    xml = F.concat(
-        F.when(F.col("l_linenumber") == 2, '<score-partwise xmlns="urn:score">').otherwise("<score-partwise>"), F.lit('<part id="P1"><measure number="1"><attributes><divisions>'), divisions,
+    first = F.concat(
+        F.lit("<attributes><divisions>"), divisions,
         F.lit('</divisions></attributes><barline><repeat direction="forward"/></barline>'),
         note(pitched(step, 1, octave), q), note(pitched(F.lit("E"), 0, octave), q, "<chord/>"),
         note(F.lit("<rest/>"), F.lit(2)),
         F.lit("<backup><duration>"), q + 2, F.lit("</duration></backup>"),
         note(pitched(F.lit("C"), -1, F.lit(3)), q + 1),
-        F.lit('<direction><direction-type><segno/></direction-type></direction></measure><measure number="2">'),
-        F.lit('<attributes><divisions>2</divisions></attributes><direction><sound tempo="'), 60 + F.col("l_orderkey") % 90,
-        F.lit('"/></direction>'),
+        F.lit("<direction><direction-type><segno/></direction-type></direction>"),
+    )
+    loud = F.when(F.col("l_linenumber") % 2 == 0, "<f/>").otherwise("<p/>")
+    second = F.concat(
+        F.lit("<attributes><divisions>2</divisions></attributes><direction><direction-type><dynamics>"), loud,
+        F.lit('</dynamics></direction-type><sound tempo="'), 60 + F.col("l_orderkey") % 90, F.lit('"/></direction>'),
         note(pitched(F.lit("B"), 0, F.lit(4)), F.lit(3), '<tie type="start"/>'),
-        F.lit('</measure><measure number="3">'),
-        note(pitched(F.lit("B"), 0, F.lit(4)), F.lit(2), '<tie type="stop"/>'),
-        F.lit("</measure></part></score-partwise>"),
     )
+    third = note(pitched(F.lit("B"), 0, F.lit(4)), F.lit(2), '<tie type="stop"/>')
+    bars = [(1, first), (2, second), (3, third)]
+    by_part = F.concat(
+        F.when(F.col("l_linenumber") == 2, '<score-partwise xmlns="urn:score">').otherwise("<score-partwise>"), F.lit('<part id="P1">'),
+        *[x for n, bar in bars for x in (F.lit(f'<measure number="{n}">'), bar, F.lit("</measure>"))], F.lit("</part></score-partwise>"))
+    by_time = F.concat(
+        F.lit("<score-timewise>"),
+        *[x for n, bar in bars for x in (F.lit(f'<measure number="{n}"><part id="P1">'), bar, F.lit("</part></measure>"))],
+        F.lit("</score-timewise>"))
+    xml = F.when(F.col("l_linenumber") == 5, by_time).otherwise(by_part)
     return line.select(document_id().alias("file"), F.encode(xml, "UTF-8").alias("content"))
 
 

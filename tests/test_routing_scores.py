@@ -71,7 +71,7 @@ def test_score(spark, tmp_path, request, narrow):
 
 def test_divisions_carry_over_buckets(spark, small_buckets):
     data = [("f", "p", i, "1", i // 7, "note", "C", 0, 4, 3, 2 if i == 0 else (6 if i == 9 else None), i % 7 % 4 == 3, False, False, False, None) for i in range(20)]
-    df = spark.createDataFrame(data, scores.SCORE_SCHEMA)
+    df = spark.createDataFrame([(*r, None) for r in data], scores.SCORE_SCHEMA)
     cursor, expected, div, last = 0, [], 1, 0  # one voice: measures follow on without a gap
     for i in range(20):
         div = 2 if i == 0 else 6 if i == 9 else div

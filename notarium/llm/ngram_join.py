@@ -17,8 +17,11 @@ Candidates are verified by exact intersection.  Sets that are equal are one clas
 start.  In a large group of near copies, each set is verified with its likeliest partners and
 with a few hubs near what the group has in common.  Other pairs are verified where their ends
 aren't in one component yet: those that infrequent signatures show one by one, those that
-only frequent ones can show in blocks, without comparing a group's largest component with
-itself.  So no link between components is lost, and no group of copies is squared.
+only frequent ones can show in blocks.  Before that, sets are asked which of their elements
+another component holds too (see ``_linkable``): a set with too few of them can't be linked
+any further and goes, so documents that merely share a passage never meet, and of a
+component's sets that share the same elements with others only the smallest stays.  So no link
+between components is lost, and the blocks hold only sets of which 80 % lie in other components.
 """
 
 from __future__ import annotations
@@ -50,7 +53,8 @@ SUBSETS_UP_TO = 6
 _CHOSEN = np.array([2, 3, 4, 3, 3, 3, 3])  # partitions in a signature, by k; as many as k allows at a fair number of subsets
 FUNCTIONS = 5
 
-_SIGNATURES, _WANTED = 1, 2
+_SIGNATURES, _WANTED, _HELD = 1, 2, 3
+_SEVERAL = -1  # an element that several components of one chunk hold
 _BOTH_LOWER, _ROLE_0, _ROLE_1, _ADJACENT = 0, 1, 2, 3
 _SALT = [U64(x) for x in (0, 0x8F1BBCDC2A5D1C93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x9FB21C651E98DF25)]
 
@@ -250,10 +254,11 @@ def first_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return kept.select(*((F.col("text") if c == text_col else F.col(f"carried.`{c}`")).alias(c) for c in docs.columns))
 
 
-def _wanted(nodes: DataFrame) -> DataFrame:
+def _wanted(nodes: DataFrame, with_column: str | None = None) -> DataFrame:
     """Node numbers as answers for the shards that hold them; a chunk has at most 2^15 nodes."""
+    number = F.expr("cast(node & 65535 as string)")
     lists = nodes.groupBy(F.shiftright("node", 36).alias("shard"), F.expr("cast(shiftright(node, 16) & 1048575 as int)").alias("chunk")).agg(
-        F.array_join(F.collect_list(F.expr("cast(node & 65535 as string)")), ",").cast("binary").alias("blob"))
+        F.array_join(F.collect_list(F.concat_ws(":", number, with_column) if with_column else number), ",").cast("binary").alias("blob"))
     return lists.select("shard", F.lit(0).alias("bucket"), "chunk", F.lit(_WANTED).alias("kind"), "blob")
 
 
@@ -435,10 +440,10 @@ def _dense_links(table: DataFrame, met: DataFrame, info: DataFrame, hubs: DataFr
 
     A set with more than ``k`` infrequent signatures on a level shares one of those with every
     similar set of the level, so its frequent ones add nothing; only sets without such a
-    reserve are looked at.  They are grouped by their first hub.  Groups that meet in a
-    signature are compared in blocks of about ``BLOCK`` sets: every set outside its group's
-    largest component with all of the other group, or all with all where the largest
-    components differ.  Rows grow with sets times blocks, not with pairs.
+    reserve are looked at, and of those only the ones that ``_linkable`` leaves.  They are
+    grouped by their first hub.  Groups that meet in a signature are compared in blocks of
+    about ``BLOCK`` sets: the sets outside their group's largest component, in blocks of
+    their own, with all of the other group, or all with all where the largest components differ.
     """
     frequent = met.filter(f"kind IN ({_ROLE_0}, {_ROLE_1})").select("kind", F.col("a").alias("sig"), F.col("b").alias("node"))
     needy = info.select("node", "rep", F.explode(F.array(
@@ -446,9 +451,18 @@ def _dense_links(table: DataFrame, met: DataFrame, info: DataFrame, hubs: DataFr
         F.struct(F.lit(_ROLE_1).alias("kind"), (F.col("many1") >= F.col("need1")).alias("open"), F.col("many1").alias("many")))).alias("r")).filter(
         "r.open AND r.many > 0").select("node", "rep", "r.kind")
     first_hub = hubs.groupBy(F.col("x").alias("node")).agg(F.max_by("y", F.struct("c", "y")).alias("group"))
-    placed = needy.join(first_hub, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    placed = materialise(placed, "needy")
-    met_groups = frequent.join(placed, ["node", "kind"]).select("sig", "group").distinct()
+    placed = needy.join(first_hub, "node", "left").withColumn("group", F.coalesce("group", "node")).join(
+        joined.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    met_sets = frequent.join(placed, ["node", "kind"])
+    # Only signatures that several components share can show a link between components.
+    several = met_sets.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("sig")
+    met_sets = materialise(met_sets.join(several, "sig").select("sig", "rep", "group", "component").distinct(), "needy")
+    able = _linkable(table, met_sets.select("rep", "component").distinct(), words, similarity)
+    if able.isEmpty():
+        return able.select(F.col("rep").alias("a"), F.col("component").alias("b"))
+    met_sets = met_sets.join(able.select("rep"), "rep")
+    met_groups = met_sets.select("sig", "group").distinct()
+    placed = met_sets.select("rep", "group").distinct()
     members = placed.groupBy("rep").agg(F.min("group").alias("group"))
     # A class stands in one group; signatures of its other sets count for that group.
     moved = placed.select("rep", F.col("group").alias("old")).join(members, "rep").select("old", "group").distinct()
@@ -457,25 +471,29 @@ def _dense_links(table: DataFrame, met: DataFrame, info: DataFrame, hubs: DataFr
         "component", F.coalesce("component", "rep"))
     shares = members.groupBy("group", "component").agg(F.count("*").alias("n"))
     groups = shares.groupBy("group").agg(F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("major"),
-                                         F.count("*").alias("parts")).withColumn("blocks", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}"))
+                                         F.count("*").alias("parts"), F.max("n").alias("most")).withColumn(
+        "blocks", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}")).withColumn("few_blocks", F.expr(f"(n - most + {BLOCK - 1}) div {BLOCK}"))
     groups = materialise(groups, "groups")
     members = materialise(members.join(groups, "group").select(
-        "rep", "group", "component", "major", F.expr("pmod(xxhash64(rep), blocks)").alias("block")), "members")
+        "rep", "group", "component", "major", F.expr("pmod(xxhash64(rep), blocks)").alias("block"),
+        F.expr("IF(component <> major, pmod(xxhash64(rep), few_blocks), NULL)").alias("few_block")), "members")
 
-    left = groups.select(F.col("group").alias("g"), F.col("major").alias("major_g"), F.col("parts").alias("parts_g"), F.col("blocks").alias("blocks_g"))
-    right = groups.select(F.col("group").alias("h"), F.col("major").alias("major_h"), F.col("parts").alias("parts_h"), F.col("blocks").alias("blocks_h"))
+    left = groups.select(F.col("group").alias("g"), F.col("major").alias("major_g"), F.col("parts").alias("parts_g"), F.col("blocks").alias("blocks_g"),
+                         F.col("few_blocks").alias("few_g"))
+    right = groups.select(F.col("group").alias("h"), F.col("major").alias("major_h"), F.col("blocks").alias("blocks_h"))
     ends = met_groups.withColumnRenamed("group", "g").join(met_groups.withColumnRenamed("group", "h"), "sig").select("g", "h").distinct()
     # (g, h) and (h, g) both stand in the list; where all meet all, one of them is enough.
     same = F.col("major_g") == F.col("major_h")
     tasks = ends.join(left, "g").join(right, "h").filter(
         F.when(same, F.col("parts_g") > 1).otherwise(F.col("g") < F.col("h"))).select(
         "g", "h", same.alias("minor"), "blocks_h",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks_g") - 1)).alias("p")).select(
+        F.explode(F.sequence(F.lit(0).cast("long"), F.when(same, F.col("few_g")).otherwise(F.col("blocks_g")) - 1)).alias("p")).select(
         "g", "h", "minor", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks_h") - 1)).alias("q"))
     tasks = materialise(tasks, "tasks")
     cell = ["g", "h", "p", "q"]
-    one = tasks.join(members.select(F.col("group").alias("g"), F.col("block").alias("p"), "rep", "component", "major"), ["g", "p"]).filter(
-        "NOT minor OR component <> major").select(*cell, "rep", "component")
+    few, every = (members.select(F.col("group").alias("g"), F.col(c).alias("p"), "rep", "component") for c in ("few_block", "block"))
+    one = tasks.filter("minor").join(few.filter("p IS NOT NULL"), ["g", "p"]).select(*cell, "rep", "component").union(
+        tasks.filter("NOT minor").join(every, ["g", "p"]).select(*cell, "rep", "component"))
     two = tasks.join(members.select(F.col("group").alias("h"), F.col("block").alias("q"), "rep", "component"), ["h", "q"]).select(*cell, "rep", "component")
     # Blocks without a set on the left send nothing.
     two = two.join(one.select(*cell).distinct(), cell, "left_semi")
@@ -491,6 +509,78 @@ def _dense_links(table: DataFrame, met: DataFrame, info: DataFrame, hubs: DataFr
     return ones.groupBy(*cell).cogroup(twos.groupBy(*(f"{c}_2" for c in cell))).applyInArrow(two_groups(compare), "a long, b long")
 
 
+def _linkable(table: DataFrame, members: DataFrame, words: int, similarity: Fraction) -> DataFrame:
+    """(rep, component): the members that may be linked with a member of another component.
+
+    A member can only have in common with one of another component what it shares with any:
+    unless that is ``similarity`` of its set, it goes.  Of a component's members that share the
+    same elements the smallest stays, for whatever is linked with another of them is linked
+    with it.  What goes shares nothing any more, so the question is put again until it takes
+    away less than a tenth.  Every chunk sends an element once, whichever sets hold it.
+    """
+    buckets = shards.bucket_count(table)
+    p, q = similarity.numerator, similarity.denominator
+
+    def chosen(batch: pa.RecordBatch, known: dict) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+        """Members of the chunk, their components, elements and offsets."""
+        pairs = sorted(tuple(map(int, x.split(":"))) for x in known[_WANTED, 0].decode().split(","))
+        picked = [i for i, _ in pairs]
+        return picked, np.array([c for _, c in pairs], np.int64), *shingle_sets(batch.take(pa.array(picked)), words)
+
+    def ask(shard: int, chunk: int, batch: pa.RecordBatch, known: dict) -> Iterator[dict]:
+        if (_WANTED, 0) not in known:
+            return
+        _, component, values, offsets = chosen(batch, known)
+        held, owner = _owners(values, np.repeat(component, np.diff(offsets)))
+        yield shards.questions(shard, chunk, _HELD, held, buckets, lambda b, e: held[b:e].tobytes() + owner[b:e].tobytes())
+
+    def decide(blobs: list[bytes]) -> list[bytes | None]:
+        sizes = [len(x) // 16 for x in blobs]
+        values = np.concatenate([np.frombuffer(x, "<u8", n) for x, n in zip(blobs, sizes, strict=True)])
+        component = np.concatenate([np.frombuffer(x, "<i8", n, 8 * n) for x, n in zip(blobs, sizes, strict=True)])
+        held, owner = _owners(values, component)
+        hit = owner[np.searchsorted(held, values)] == _SEVERAL
+        edges = np.cumsum([0, *sizes])
+        return [np.packbits(hit[a:b]).tobytes() if hit[a:b].any() else None for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def describe(shard: int, chunk: int, batch: pa.RecordBatch, known: dict) -> Iterator[dict]:
+        if (_WANTED, 0) not in known:
+            return
+        picked, component, values, offsets = chosen(batch, known)
+        held = np.unique(values)
+        shared = shards.answered(held, buckets, known, _HELD)[np.searchsorted(held, values)]
+        ends = np.r_[0, np.cumsum(shared)][offsets]
+        sizes = np.diff(offsets)
+        use = q * np.diff(ends) >= p * sizes
+        yield {"rep": (_node(shard, chunk) + np.array(picked))[use], "component": component[use], "n": sizes[use],
+               "digest": set_digests(values[shared], ends)[use]}
+
+    schema = pa.schema([("rep", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("digest", pa.int64())])
+    now, count = materialise(members.select("rep", "component"), "linkable"), members.count()
+    while count:
+        wanted = shards.kept(_wanted(now.withColumnRenamed("rep", "node"), "component"), "wanted")
+        asked = shards.visit(table, shards.QUESTIONS, shards.ANSWERS, ask, wanted)
+        answers = shards.union_answers(wanted, shards.answer(asked, decide))
+        found = shards.visit(table, schema, "rep long, component long, n long, digest long", describe, answers)
+        now = materialise(found.groupBy("component", "digest").agg(F.min_by("rep", F.struct("n", "rep")).alias("rep")).select(
+            "rep", "component"), "linkable")
+        before, count = count, now.count()
+        if 10 * count > 9 * before:
+            break
+    return now
+
+
+def _owners(values: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct elements, each with the component that holds it or ``_SEVERAL``."""
+    if not len(values):
+        return values, component
+    order = np.argsort(values, kind="stable")
+    values, component = values[order], component[order]
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    low, high = np.minimum.reduceat(component, starts), np.maximum.reduceat(component, starts)
+    return values[starts], np.where(low == high, low, _SEVERAL)
+
+
 def _block_links(left: pa.Table, right: pa.Table, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between two blocks of sets, one for each left set and right component."""
     if not left.num_rows or not right.num_rows:

@@ -233,6 +233,45 @@ def test_join_of_a_large_near_group(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_documents(df).collect()} == jaccard_components(rows)
 
 
+def _around(rng, passage, own, edits, tag):
+    """A passage with some words replaced, and words of its own after it."""
+    w = list(passage)
+    for i in rng.sample(range(len(w)), edits):
+        w[i] = f"e{rng.randrange(40)}"
+    return " ".join([*w, *(f"{tag}_{k}" for k in range(own))])
+
+
+@pytest.mark.parametrize("block", [4, 128])
+def test_join_of_groups_beyond_blocks(spark, monkeypatch, block):
+    """Groups of more sets than a block: near copies, unlinked documents around one passage, and
+    documents between two groups that hang on single links."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(5)
+    one, two = [f"a{i}" for i in range(90)], [f"b{i}" for i in range(70)]
+    texts = [_around(rng, one, rng.randrange(0, 40), rng.randrange(0, 4), f"o{i}") for i in range(170)]
+    texts += [_around(rng, one + two[:20], rng.randrange(0, 25), rng.randrange(0, 3), f"p{i}") for i in range(140)]
+    texts += [_around(rng, two, rng.randrange(10, 30), 1, f"q{i}") for i in range(60)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = jaccard_components(rows)
+    assert 20 < len({c for _, c in want.values()}) < 300
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_documents(df).collect()} == want
+
+
+def test_sharers_of_a_passage_meet_nowhere(spark, monkeypatch):
+    """Documents that hold one passage, but not four fifths of it, leave nothing to compare."""
+    left = []
+    whole = ngram_join._linkable
+    monkeypatch.setattr(ngram_join, "_linkable", lambda *a: left.append((a[1].count(), (out := whole(*a)).count())) or out)
+    passage = [f"p{i}" for i in range(60)]
+    for n in (100, 400):
+        rows = [(i, " ".join([*passage, *(f"z{i}_{k}" for k in range(30))])) for i in range(n)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert all(r.component_id == r.doc_id for r in ngram_join.link_documents(df).collect())
+    assert [b for _, b in left] == [0, 0] and left[1][0] > 100
+
+
 def test_signatures_meet_for_all_similar_sets():
     """Any two sets within the similarity share a signature on a common level."""
     rng, levels = np.random.default_rng(2), ngram_join.Levels()

@@ -20,6 +20,7 @@ AUDIO_OFFSET_US = 55_000
 US_PER_PIXEL = 5_000  # 200 pixels a second
 SCREEN_HEIGHT = 720
 FRAME_RATE = 144
+FRAMES_PER_PIECE = 1 << 12  # frames of a span that are listed at once
 SLIDER_X, SLIDER_Y, SLIDER_WIDTH, SLIDER_HEIGHT = 100, 20, 1080, 10
 SLIDER_MARGIN = 10
 
@@ -263,15 +264,24 @@ def frame_spans(notes: DataFrame, fps: int = FRAME_RATE) -> DataFrame:
     })
 
 
+def _list_frames(spans: DataFrame, first: str, last: str) -> DataFrame:
+    """One row per frame of each span, as ``frame``.
+
+    A span is cut into pieces of ``FRAMES_PER_PIECE`` before its frames are listed, so that a
+    broken note of many hours never makes one array of all its frames.
+    """
+    piece = F.lit(FRAMES_PER_PIECE).cast("bigint")
+    pieces = spans.withColumn("_piece", F.explode(F.sequence(first, last, piece)))
+    return pieces.withColumn("frame", F.explode(F.sequence(F.col("_piece"), F.least(F.col(last), F.col("_piece") + piece - 1)))).drop("_piece")
+
+
 def pressed_frames(notes: DataFrame, fps: int = FRAME_RATE) -> DataFrame:
     """One row per note and frame in which the note presses its key.
 
     The rows come from ``explode(sequence(..))`` inside each row: no join and no shuffle.
     """
     spans = frame_spans(notes, fps).filter(F.col("pressed_from") <= F.col("pressed_to"))
-    return spans.withColumn("frame", F.explode(F.sequence("pressed_from", "pressed_to"))).drop(
-        "pressed_from", "pressed_to", "drawn_to"
-    )
+    return _list_frames(spans, "pressed_from", "pressed_to").drop("pressed_from", "pressed_to", "drawn_to")
 
 
 def drawn_frames(notes: DataFrame, fps: int = FRAME_RATE, visible_only: bool = True) -> DataFrame:
@@ -282,10 +292,7 @@ def drawn_frames(notes: DataFrame, fps: int = FRAME_RATE, visible_only: bool = T
     # The lower edge reaches pixel 0 once fewer than HIT_LINE + 1 pixels are left to fall.
     entry = floor_div((F.col("start_us") - (HIT_LINE + 1) * US_PER_PIXEL) * fps, 1_000_000) + 1
     first = F.greatest(F.lit(0).cast("bigint"), entry) if visible_only else F.lit(0).cast("bigint")
-    rows = (
-        spans.withColumn("_from", first).filter(F.col("_from") <= F.col("drawn_to"))
-        .withColumn("frame", F.explode(F.sequence("_from", "drawn_to")))
-    )
+    rows = _list_frames(spans.withColumn("_from", first).filter(F.col("_from") <= F.col("drawn_to")), "_from", "drawn_to")
     # Clock of a frame in units of 1/fps microseconds, so that no rounding comes in.
     distance = trunc_div(F.col("start_us") * fps - F.col("frame") * 1_000_000, US_PER_PIXEL * fps)
     height = trunc_div(F.col("dur_us"), US_PER_PIXEL)
@@ -326,7 +333,8 @@ def frame_load(notes: DataFrame, fps: int = FRAME_RATE, song_keys: Sequence[str]
     local = frames.withColumns({
         "_d": F.sum("d").over(upto), "_p": F.sum("p").over(upto), "_next": F.lead("frame_from").over(near),
     })
-    totals = edges.groupBy(*keys, scan.BUCKET).agg(
+    # From the summed frames, whose shuffle both branches then share, not from the edges.
+    totals = frames.groupBy(*keys, scan.BUCKET).agg(
         F.sum("d").alias("_dt"), F.sum("p").alias("_pt"), F.min("frame_from").alias("_first"))
     earlier = scan.earlier_buckets(keys)
     carry = totals.select(

@@ -82,6 +82,19 @@ def silence_points(clock: DataFrame) -> DataFrame:
     return clock.filter((F.col("kind") == "seek") | ((F.col("kind") == "pause") & F.col("paused")))
 
 
+def opening_points(log: DataFrame, keys: Sequence[str] = ("session",), offset_us: int = AUDIO_OFFSET_US) -> DataFrame:
+    """Two more points of each session at which everything is silenced: ``start`` of the program, and
+    ``load`` of its song.
+
+    They have sequence numbers before the session's first row and the earliest time that a note can
+    trigger at, so that they come before every gate.  Columns: keys, ``seq``, ``kind``, ``clock_us``.
+    """
+    points = F.array(*[F.struct(F.lit(back).alias("back"), F.lit(kind).alias("kind")) for back, kind in ((2, "start"), (1, "load"))])
+    first = log.groupBy(*keys).agg(F.min("seq").alias("_first")).withColumn("_point", F.explode(points))
+    return first.select(*keys, (F.col("_first") - F.col("_point.back")).alias("seq"), F.col("_point.kind").alias("kind"),
+                        F.lit(-offset_us).cast("bigint").alias("clock_us"))
+
+
 def clock_segments(clock: DataFrame, keys: Sequence[str] = ("session",)) -> DataFrame:
     """First and last clock value of each stretch between seeks."""
     return clock.groupBy(*keys, "segment").agg(

@@ -18,7 +18,7 @@ UPPER_HAND_KEY = 39
 
 
 def pair_notes(events: DataFrame, track_keys: Sequence[str] = ("file", "track"), whole_tracks: bool = False,
-               seq_bits: int = scan.SEQ_BITS) -> DataFrame:
+               stretches: int | None = None) -> DataFrame:
     """Note-on and note-off rows to notes: the first open note of a pitch takes the next off.
 
     ``events``: the track keys, ``seq`` (unique and rising inside a track), ``tick``,
@@ -27,9 +27,10 @@ def pair_notes(events: DataFrame, track_keys: Sequence[str] = ("file", "track"),
     events carry ``ppq``, the ticks per quarter of their file, the notes carry it on.
 
     ``whole_tracks`` says that a track fits into one task, as it does where a decoder has
-    just held its whole file; then nothing is carried.  Otherwise rows are scanned in
-    stretches of 2^``seq_bits`` sequence numbers; sparse numbers want more bits, so that a
-    stretch holds many rows.
+    just held its whole file; then nothing is carried.  Otherwise all rows are dealt out by
+    ranges of (lane, ``seq``) that hold about equally many rows, however sparse the numbers are and
+    however large one lane is; what a lane has in one range is a stretch.  ``stretches`` is the
+    number of ranges, by default the session's number of shuffle partitions.
 
     The k-th on of a pitch meets the k-th off that found an open note.  With ``level`` the
     running sum of +1/-1, an off found nothing exactly when it takes ``level`` to a new
@@ -43,8 +44,9 @@ def pair_notes(events: DataFrame, track_keys: Sequence[str] = ("file", "track"),
     rows = (
         events.filter(F.col("kind").isin("on", "off"))
         .select(*lane, "seq", "tick", "velocity", F.when(is_on, 1).otherwise(0).alias("on"), *resolution)
-        .withColumn(scan.BUCKET, scan.bucket("seq", seq_bits))
     )
+    if not whole_tracks:
+        rows = scan.ranged(rows, [*lane, "seq"], stretches)
     upto = scan.upto(lane, "seq", whole=whole_tracks)
     stepped = rows.withColumns({
         "ons": F.sum("on").over(upto),

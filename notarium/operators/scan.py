@@ -20,10 +20,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from notarium.session import materialise
+
 # Widths of one bucket, as powers of two.
 CLOCK_BITS = 24  # microseconds: about 17 seconds
 TICK_BITS = 20  # MIDI ticks
-SEQ_BITS = 20  # sequence numbers
+SEQ_BITS = 20  # sequence numbers of a control log
 BUCKET = "_bucket"
 
 
@@ -59,6 +61,17 @@ def earlier_buckets(keys: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def ranged(rows: DataFrame, order: Sequence[str], parts: int | None = None) -> DataFrame:
+    """Rows with a bucket by ranges of ``order``, which hold about equally many rows each.
+
+    For orders whose values may lie anywhere, so that no fixed width suits them.  Ranges are
+    drawn from a sample, which another run of the same plan may draw differently; the
+    rows are therefore written with their bucket once, and every branch reads that.
+    """
+    parted = rows.repartitionByRange(*order) if parts is None else rows.repartitionByRange(parts, *order)
+    return materialise(parted.withColumn(BUCKET, F.spark_partition_id()), "ranges")
+
+
 def with_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Attach the values carried into each bucket to the rows of that bucket."""
     return rows.join(carry, [*keys, BUCKET], "left")

@@ -446,3 +446,11 @@ ORACLE["arrivals_once"] = f"""WITH named AS (SELECT p_partkey, p_name, {_SUFFIXE
     SELECT 'part_' || p_partkey || suffix AS file, CAST(octet_length(encode(p_name)) AS BIGINT) AS length, lower(suffix) AS ext,
            CASE WHEN lower(suffix) IN ('.png', '.jpg', '.pdf') THEN 'recognise' WHEN lower(suffix) IN ('.xml', '.mxl') THEN 'convert'
                 WHEN lower(suffix) IN ('.mid', '.midi') THEN 'as_is' ELSE 'fallthrough' END AS route FROM named"""
+ORACLE["listed_scores"] = f"""SELECT 'part_' || p_partkey || suffix AS file
+    FROM (SELECT p_partkey, {_SUFFIXES}[p_partkey % 9 + 1] AS suffix FROM part) WHERE suffix IN ('.xml', '.mxl')"""
+ORACLE["delivered_gates"] = ORACLE["gate_events"]
+ORACLE["silencing"] = f"""WITH {_LOG},
+    points AS (SELECT session, seq, kind, clock_us FROM clock WHERE kind = 'seek' OR (kind = 'pause' AND paused)
+               UNION ALL SELECT session, min(seq) - back, cause, -55000 FROM log, (VALUES (2, 'start'), (1, 'load')) v(back, cause)
+               GROUP BY session, back, cause)
+    SELECT points.*, CAST(p AS INTEGER) AS pitch FROM points, generate_series(21, 108) g(p)"""

@@ -96,6 +96,13 @@ def arrivals_once(spark, d):
     return live.read_once(spark, out, delivered.schema).drop("batch")
 
 
+def listed_scores(spark, d):
+    """Scores among files of all kinds in one folder, by name; no bytes are read."""
+    inbox = scratch_path(spark, "inbox")
+    named_text.write_named(standins.part_files(spark, d), inbox)
+    return scores.list_scores(spark, inbox)
+
+
 def label_summary(spark, d):
     return labels.label_summary(labels.labels(_documents(spark, d)))
 
@@ -182,8 +189,7 @@ def label_target(spark, d):
 
 
 def paired_notes(spark, d):
-    # These sequence numbers hold the tick from bit 45 on: 2^15 ticks make a stretch.
-    paired = notes.pair_notes(standins.midi_events(spark, d), seq_bits=60)
+    paired = notes.pair_notes(standins.midi_events(spark, d))
     return paired.select("file", "pitch", "start_tick", "len_ticks", "velocity")
 
 
@@ -354,6 +360,13 @@ def all_notes_off(spark, d):
     return _bursts(spark, d)
 
 
+def silencing(spark, d):
+    """Every burst of note-offs: start of the program, load of the song, seeks, pauses."""
+    log = standins.control_log(spark, d)
+    points = control.silence_points(control.playback_clock(log)).select("session", "seq", "kind", "clock_us")
+    return playback.all_notes_off(control.opening_points(log).unionByName(points))
+
+
 def sound_stream(spark, d):
     return playback.sound_stream(playback.gate_events(steady_notes(spark, d)), _bursts(spark, d))
 
@@ -389,6 +402,15 @@ def stream_gates(spark, d):
     return live.settled(live.run_available(live.stream_gates(edges), "gates"))
 
 
+def delivered_gates(spark, d):
+    """Gates of a stream sent to files; a second start from the same checkpoint delivers nothing again."""
+    events = live.stream_gates(_edges(standins.tick_notes_of(_stream(spark, d, "lineitem"))))
+    folder, state = scratch_path(spark, "sounds"), scratch_path(spark, "state")
+    for _ in range(2):
+        tables.sink_sound_events(events, folder, state).trigger(availableNow=True).start().awaitTermination()
+    return live.settled(spark.read.schema(events.schema).parquet(folder))
+
+
 def late_gates(spark, d):
     """Gates of edges that come in 113 files, one a batch, many of them after their time has been sent.
 
@@ -437,8 +459,8 @@ QUERIES: dict[str, Query] = {
         polyline_boxes, markup_tag_counts, route_inputs, render_manifest, manifest_status, label_target,
         paired_notes, midi_notes, midi_rejects, score_notes, score_playable, tempo_segments, note_times, note_round_trip, song_durations, key_usage, key_styles,
         gate_events, sounding_intervals, note_state, seek_state, seek_positions, progress, note_rects,
-        pressed_keys, frame_load, pressed_frames, drawn_frames, playback_clock, all_notes_off, sound_stream,
-        clock_segments, replay_gates, stream_gates, late_gates, stream_resets, stream_clock, stream_route, arrivals_once,
+        pressed_keys, frame_load, pressed_frames, drawn_frames, playback_clock, all_notes_off, silencing, sound_stream,
+        clock_segments, replay_gates, stream_gates, late_gates, stream_resets, stream_clock, stream_route, arrivals_once, listed_scores, delivered_gates,
     )
 }
 

@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from notarium.operators import notes
+from notarium.operators import notes, scan
 from notarium.sources import midi
 
 
@@ -78,8 +78,25 @@ def test_pairing_against_queue(spark, request, narrow):
                 tick += rng.randrange(4)
                 events.append((file, track, seq, tick, rng.choice(["on", "off"]), 0, rng.choice([60, 61, 62]),
                                rng.choice([0, 10, 20, 30])))
-    paired = notes.pair_notes(spark.createDataFrame(events, EVENTS))
+    for stretches in (None, 1, 40):
+        paired = notes.pair_notes(spark.createDataFrame(events, EVENTS), stretches=stretches)
+        assert rows(paired, "file", "track", "pitch", "start_tick", "len_ticks", "velocity") == queue_pairs(events)
+
+
+def test_sparse_lane_in_even_stretches(spark):
+    """One lane of numbers far apart, most of them in a small part of their range."""
+    rng = random.Random(8)
+    numbers = sorted({rng.randrange(1 << 20) if rng.random() < 0.9 else rng.randrange(1 << 61) for _ in range(3000)})
+    events = [("a", 0, s, i, rng.choice(["on", "off"]), 0, 60, 1 + i % 90) for i, s in enumerate(numbers)]
+    df = spark.createDataFrame(events, EVENTS)
+    paired = notes.pair_notes(df, stretches=16)
     assert rows(paired, "file", "track", "pitch", "start_tick", "len_ticks", "velocity") == queue_pairs(events)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small ranges would be put together
+    try:
+        sizes = [r.n for r in scan.ranged(df, ["file", "seq"], 16).groupBy(scan.BUCKET).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) == 16 and max(sizes) <= 2 * len(events) / 16
 
 
 def test_midi_bytes(spark):

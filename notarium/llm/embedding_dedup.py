@@ -5,6 +5,11 @@ other, as one number, and sorts by it within a label.  Near vectors agree in mos
 often in the leading ones, so they come to stand close together; a vector is compared with
 at least ``WINDOW`` successors of each pass.  Links found in the passes are joined.
 
+The larger a label, the more leading signs a pair must share to stand close together: a pass puts
+a pair with cosine c into one block of n vectors with a chance of about a^log2(n / ``BLOCK``), where
+a = 1 - arccos(c) / pi is the chance of one sign.  The number of passes follows from that and from the
+counted size of the largest label, so that ``RECALL`` of the pairs at the bound are found at every size.
+
 Equal vectors are one class from the start, however many there are.  Where a window is full
 of links up to its end, more near vectors follow than it holds; such stretches are compared
 further on, over distances that double until no window ends full.  So a dense group larger
@@ -13,6 +18,7 @@ than a window loses nothing.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +31,8 @@ from notarium.llm.components import components
 from notarium.session import materialise
 
 COSINE = 0.93
-PASSES = 8
+PASSES = 8  # at least
+RECALL = 0.99  # of pairs at the bound
 BITS = 60
 BLOCK = 512
 WINDOW = 256
@@ -36,6 +43,13 @@ _OUT = "kind int, a long, b long"
 _OUT_SCHEMA = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
+def passes_for(largest: int, cosine: float = COSINE, block: int = BLOCK, recall: float = RECALL) -> int:
+    """Passes that find ``recall`` of the pairs at ``cosine`` in a label of ``largest`` vectors."""
+    sign = 1 - math.acos(cosine) / math.pi
+    hit = sign ** max(0.0, math.log2(max(largest, 1) / block))
+    return PASSES if hit >= 1 else max(PASSES, math.ceil(math.log(1 - recall) / math.log1p(-hit)))
+
+
 def directions(dim: int, passes: int, bits: int = BITS) -> np.ndarray:
     """Random directions of all passes; the same for every task."""
     return np.random.Generator(np.random.PCG64([SEED, dim])).standard_normal((dim, passes * bits))
@@ -59,12 +73,13 @@ def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def link_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-                 cosine: float = COSINE, passes: int = PASSES, block: int = BLOCK, window: int = WINDOW) -> DataFrame:
+                 cosine: float = COSINE, passes: int | None = None, block: int = BLOCK, window: int = WINDOW,
+                 recall: float = RECALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
     Vectors of the same label and length are linked where their cosine in double precision is
     at least ``cosine``; only pairs that some pass puts within a window are looked at, and none
-    below is linked.  A null label, and a vector that is null, empty, zero or holds a null or
+    below is linked.  ``passes`` is by default what ``recall`` needs for the largest label.  A null label, and a vector that is null, empty, zero or holds a null or
     non-finite number, links with nothing.  Repeated rows are vectors of their own, linked with
     each other.  A null id counts in ``n_links`` of others, is never a ``component_id`` of others
     and isn't ``kept``.  No rows give no rows.  Other columns aren't read.
@@ -82,6 +97,10 @@ def link_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     classes = base.filter("node IS NOT NULL").groupBy("node").agg(
         F.any_value("label").alias("label"), F.any_value("vector").alias("vector"), F.count("*").alias("size"))
     classes = materialise(classes, "classes")
+    if passes is None:
+        # One number, however many labels there are.
+        largest = classes.groupBy("label", F.size("vector")).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n
+        passes = passes_for(largest or 0, cosine, block, recall)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

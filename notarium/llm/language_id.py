@@ -7,7 +7,9 @@ by clustering its training vectors; a text gets the language of the direction wi
 cosine.  A text farther from all directions than nearly all labelled texts of its length are is
 rejected: of every ``SPARE`` training texts one is left out of the clustering, and the bound is
 the ``LOW`` quantile of the cosines of its beginnings, for each language and each length of
-``LEVELS``.  Between two lengths the bound is interpolated, below the least it falls to 0.
+``LEVELS``.  That quantile is averaged with the one of all languages, which weighs as much as ``FIRM``
+beginnings, and that with the bound of the length before, the first with ``SLACK`` of the least
+training cosine; so few beginnings move a bound little, by one rule for any number.  Between two lengths the bound is interpolated, below the least it falls to 0.
 
 The classifier is fitted on at most ``SAMPLE`` labelled texts, spread evenly over at most
 ``LANGUAGES`` languages (the most frequent); everything else covers all rows.
@@ -38,8 +40,8 @@ ROUNDS = 10
 SPARE = 3
 LOW = 0.01
 LEVELS = 16 << np.arange(10)  # bytes of a beginning
-LEAST_SPARE = 100  # beginnings that a bound needs; below it those of all languages count together
-SLACK = 0.25  # share of the low training cosine that is the bound where all languages have too few
+FIRM = 100  # beginnings that a wider quantile weighs as much as
+SLACK = 0.25  # share of the low training cosine that bounds where there are no spare beginnings
 UNKNOWN = "und"
 
 _LETTER = np.zeros(256, np.uint8)
@@ -101,16 +103,21 @@ def _beginning(texts: Texts, size: int) -> Texts:
     return Texts(texts.data[ragged(starts, np.full(len(starts), size))], np.arange(len(starts) + 1) * size)
 
 
-def _bounds(cosines: dict[str, list[np.ndarray]], names: list[str], fallback: np.ndarray) -> np.ndarray:
-    """(directions, levels): the low quantile of a language's spare cosines, or that of all languages."""
+def _drawn(cosines: np.ndarray, toward: float) -> float:
+    """The low quantile, averaged with ``toward`` as if ``FIRM`` cosines stood there."""
+    low = np.quantile(cosines, LOW, method="lower") if len(cosines) else 0.0
+    return (len(cosines) * low + FIRM * toward) / (len(cosines) + FIRM)
+
+
+def _bounds(cosines: dict[str, list[np.ndarray]], names: list[str], first: np.ndarray) -> np.ndarray:
+    """(directions, levels): the low quantile of a language's spare cosines, drawn towards that of all languages."""
     least = np.empty((len(names), len(LEVELS)))
     for k in range(len(LEVELS)):
         every = np.concatenate([c[k] for c in cosines.values()])
         for i, lang in enumerate(names):
-            own = cosines[lang][k]
-            own = own if len(own) >= LEAST_SPARE else every
-            # Longer texts have higher cosines: where a level has too few, the one before is a lower bound.
-            least[i, k] = np.quantile(own, LOW, method="lower") if len(own) >= LEAST_SPARE else least[i, k - 1] if k else fallback[i]
+            # Longer texts have higher cosines: the level before is a lower bound.
+            shorter = least[i, k - 1] if k else first[i]
+            least[i, k] = _drawn(cosines[lang][k], _drawn(every, shorter))
     return least
 
 
@@ -164,13 +171,13 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     raw, langs = _unpacked([r for r in got if r.level < 0])
     weights = (np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))) + 1).astype(np.float32)
     v = _unit(raw, weights)
-    names, directions, fallback = [], [], []
+    names, directions, first = [], [], []
     for lang in sorted(set(langs)):
         own = v[langs == lang]
         c = _clusters(own, centroids)
         names += [lang] * len(c)
         directions.append(c)
-        fallback += [SLACK * float(np.quantile(np.max(own @ c.T, axis=1), 0.001))] * len(c)
+        first += [SLACK * float(np.quantile(np.max(own @ c.T, axis=1), 0.001))] * len(c)
     if not names:
         return Model([], np.zeros((0, FEATURES), np.float32), weights, np.zeros((0, len(LEVELS))))
     toward = np.concatenate(directions).astype(np.float32)
@@ -182,7 +189,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         best = np.max(_unit(raw, weights) @ toward.T, axis=1)
         for lang, found in cosines.items():
             found.append(best[lettered & (langs == lang)])
-    return Model(names, toward, weights, _bounds(cosines, names, np.array(fallback)))
+    return Model(names, toward, weights, _bounds(cosines, names, np.array(first)))
 
 
 def _unpacked(rows: list) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,8 @@ ratio is the sum of log(trusted / all) over its n-grams, divided by their number
 rejected below the ``LOW`` quantile of the ratios that trusted documents have when those of
 their own ``FOLDS``th part aren't counted as trusted, so the verdict doesn't depend on how many are trusted.
 (With their own counted, few trusted documents have far higher ratios than good ones unseen.)
-Fewer than ``LEAST_TRUSTED`` give no quantile; then the bound is ``THRESHOLD``.
+The quantile is averaged with the ratio of a text that has nothing in common with trusted ones, which weighs
+as much as ``FIRM`` documents; so none reject nothing and few are followed, by one rule for any number.
 
 Everything is built-in expressions.  The corpus counts are one aggregate of at most
 ``BUCKETS`` rows; the weights travel as one row of ``BUCKETS`` numbers.  All documents with a
@@ -24,11 +25,11 @@ from notarium.session import materialise
 
 BUCKETS = 1 << 14
 PRIOR = 16 * BUCKETS
-THRESHOLD = -0.1
 LOW = 0.005
-LEAST_TRUSTED = 20
+FIRM = 1
 FOLDS = 10
 STEPS = 10_000  # bins of a unit of the ratio
+NEAR = 1e-9  # ratios this little below the bound are at it
 LEAST_WORDS = 50
 PLACE_BITS = 20
 MOST_RANGES = 1 << 14  # bitmaps of 4 KB that are broadcast at most
@@ -167,7 +168,8 @@ def fold_weights(counts: DataFrame) -> DataFrame:
 
 
 def derived_threshold(good: DataFrame, counts: DataFrame) -> DataFrame:
-    """One row: the lower edge of the bin with the ``LOW`` quantile of the ratios without the own fold.
+    """One row: the lower edge of the bin with the ``LOW`` quantile of the ratios without the own fold,
+    averaged with the least ratio there can be by the number of ratios and ``FIRM``.
 
     All trusted documents of ``LEAST_WORDS`` words count, in bins of a fixed width, so the
     last step sees a table of bounded size and the result is the same on every run.
@@ -185,7 +187,10 @@ def derived_threshold(good: DataFrame, counts: DataFrame) -> DataFrame:
         return F.struct(seen.alias("seen"), F.coalesce(s["bin"], F.when(seen > LOW * total, x["bin"])).alias("bin"))
 
     at = F.aggregate("b", start, step, lambda s: s["bin"])
-    return row.select(F.when(total >= LEAST_TRUSTED, at / STEPS).otherwise(THRESHOLD).alias("threshold"))
+    low = F.coalesce(at / STEPS, F.lit(0.0))  # without ratios its share is 0
+    least = F.log(F.lit(float(PRIOR))) - F.log(F.col("t") + PRIOR)
+    return row.join(F.broadcast(counts.select(F.col("n.t").alias("t")))).select(
+        ((total * low + FIRM * least) / (total + FIRM) - NEAR).alias("threshold"))
 
 
 def corpus_counts(docs: DataFrame, good: DataFrame, text_col: str = "text") -> DataFrame:

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import collections
 import itertools
+import math
 import re
+import struct
+
+import xxhash
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -134,3 +138,52 @@ def plain_audit(rows, labels):
             if p == part:
                 row.append(share[order[step - 1]])
     return {k: tuple(v) for k, v in out.items()}
+
+
+def _hash(data, seed=42):
+    return xxhash.xxh64(data, seed=seed).intdigest()
+
+
+def _grams(text, buckets):
+    h = [_hash(w.encode()) for w in words(text)]
+    pairs = [_hash(struct.pack("<Q", y), _hash(struct.pack("<Q", x))) for x, y in itertools.pairwise(h)]
+    return [x % buckets for x in h + pairs]
+
+
+def plain_quality(rows, trusted, buckets=1 << 14, prior=16 << 14, firm=1, low=0.005, steps=10_000):
+    """(threshold, {id: (ratio, kept)}) of the log-likelihood ratio of hashed n-grams.
+
+    ``rows``: (id, text); ``trusted``: ids.  A trusted document's own ratio leaves out the trusted
+    documents of its tenth.
+    """
+    grams = {i: _grams(t, buckets) for i, t in rows}
+    tenth = {}
+    for i, t in rows:
+        h = 42 if t is None else _hash(t.encode())
+        tenth[i] = (h - (1 << 64) if h >> 63 else h) % 10
+    every, good = collections.Counter(), [collections.Counter() for _ in range(10)]
+    for i, g in grams.items():
+        every.update(g)
+        if i in trusted:
+            good[tenth[i]].update(g)
+    n_every, n_good = sum(every.values()), [sum(c.values()) for c in good]
+
+    def ratio(g, without=None):
+        left = [k for k in range(10) if k != without]
+        n = sum(n_good[k] for k in left) + prior
+        total = 0.0
+        for b in g:
+            share = (every[b] + 1) / (n_every + buckets)
+            total += math.log(sum(good[k][b] for k in left) + prior * share) - math.log(n) - math.log(share)
+        return total / len(g) if g else 0.0
+
+    bins = sorted(math.floor(ratio(grams[i], tenth[i]) * steps) for i in grams if i in trusted and len(grams[i]) >= 99)
+    at = next((b for k, b in enumerate(bins, 1) if k > low * len(bins)), 0) / steps
+    nothing = math.log(prior / (sum(n_good) + prior))
+    threshold = (len(bins) * at + firm * nothing) / (len(bins) + firm) - 1e-9
+    out = {}
+    for i, t in rows:
+        n, *_, repeated = base_counts(t)
+        r = ratio(grams[i])
+        out[i] = r, n >= 50 and 100 * repeated <= 50 * n and r >= threshold
+    return threshold, out

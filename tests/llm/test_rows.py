@@ -148,3 +148,22 @@ def test_stages_on_odd_rows(spark):
     ids = {name: sorted(str(r.doc_id) for r in stage(spark, odd, folder).collect()) for name, stage in corpus_pipeline.STAGES[:-1]}
     assert ids["ngram_join"] == ["1", "2", "3", "None"] and "2" not in ids["language_id"] and "2" not in ids["quality_rules"]
     assert ids["suffix_dedup"].count("1") == 2 and "2" in ids["suffix_dedup"]
+
+
+def test_passes_by_size():
+    """More passes for larger labels, so that a stated recall holds; none fewer than the least."""
+    sizes = [embedding_dedup.passes_for(n) for n in (0, 512, 50_000, 300_000, 1_000_000, 10**9)]
+    assert sizes[0] == sizes[1] == embedding_dedup.PASSES and sizes == sorted(sizes) and sizes[4] == 17 and sizes[-1] < 100
+
+
+def test_large_label_recall(spark):
+    """Pairs at the bound planted among 20 000 vectors of one label, in small blocks."""
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((20_000, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    other = rng.standard_normal((500, 32))
+    other -= (other * v[:500]).sum(1, keepdims=True) * v[:500]
+    v[500:1000] = 0.932 * v[:500] + (1 - 0.932**2) ** 0.5 * other / np.linalg.norm(other, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.link_vectors(df, block=128, window=64).filter("vec_id < 1000").collect()}
+    assert sum(n > 0 for n in got.values()) >= 0.97 * 1000

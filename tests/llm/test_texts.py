@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import base_counts, earlier_strings, jaccard_components, repeated_windows, words
+from brute import base_counts, earlier_strings, jaccard_components, plain_quality, repeated_windows, words
 from pyspark.sql import functions as F
 
 from notarium.llm import (bpe, components, language_id, license_scan, ngram_join, packing, quality_rules, shards, substring_dedup,
@@ -118,8 +118,11 @@ def test_packing_odd_rows(spark, odd_rows):
 # ---------------------------------------------------------------- op2
 
 
-def test_base_counts_and_verdict(spark, documents, pairs):
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(20, 40)] + [(None, 1, 0), (41, 1, None)], "doc_id long, quality int, toxic int")
+@pytest.mark.parametrize("trusted", [set(), {20, 25, 41}, set(range(20, 40)), set(range(0, 2000, 2))])
+def test_base_counts_and_verdict(spark, documents, pairs, trusted):
+    """All counts, the ratio and the verdict against a plain version, with no, few and many trusted documents."""
+    labels = spark.createDataFrame([(i, 1, None if i == 41 else 0) for i in trusted] + [(None, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    threshold, plain = plain_quality(pairs, trusted)
     rows = quality_rules.quality(documents, labels, carry=("kept", "n_chars")).collect()
     texts = dict(pairs)
     assert len(rows) == len(pairs)
@@ -127,7 +130,8 @@ def test_base_counts_and_verdict(spark, documents, pairs):
         want = base_counts(texts[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
-        assert r.kept == (not r.base_failed and r.ratio >= quality_rules.THRESHOLD) and r.carried.kept == "k"
+        assert r.ratio == pytest.approx(plain[r.doc_id][0], abs=1e-9) and r.carried.kept == "k"
+        assert r.kept == plain[r.doc_id][1] or abs(r.ratio - threshold) < 1e-9
 
 
 def test_repeats_of_very_long_texts_take_the_other_path(spark, monkeypatch):

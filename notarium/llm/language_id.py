@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from notarium.llm.memory import lean
+from notarium.llm.memory import give_back, hold_little, lean
 from notarium.llm.shards import cut_batch
 from notarium.llm.words import Texts, ragged, texts_of
 
@@ -167,6 +167,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                          pa.array([zstandard.compress(x.tobytes(), 1) for x in v], pa.binary())], ["lang", "level", "v"])
 
     got = placed.filter(F.col("place") <= each).select("lang", "text", "place").mapInArrow(lean(vectors), "lang string, level int, v binary").collect()
+    hold_little()
     got.sort(key=lambda r: (r.level, r.lang, bytes(r.v)))
     raw, langs = _unpacked([r for r in got if r.level < 0])
     weights = (np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))) + 1).astype(np.float32)
@@ -189,6 +190,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         best = np.max(_unit(raw, weights) @ toward.T, axis=1)
         for lang, found in cosines.items():
             found.append(best[lettered & (langs == lang)])
+    del got, raw, v
+    give_back()  # the driver's own, too
     return Model(names, toward, weights, _bounds(cosines, names, np.array(first)))
 
 

@@ -42,9 +42,11 @@ def tempo(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def midi_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Note-on and note-off rows; ``seq`` rises with the tick, offs before ons."""
+    """Note-on and note-off rows; ``seq`` rises with the tick, offs before ons, ons of one tick by velocity."""
     line = table(spark, folder, "lineitem")
-    place = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("place")
+    # The velocity is the order key's remainder by 127, so that key is whole in remainder and quotient.
+    key = F.col("l_orderkey")
+    place = ((key % 127) * F.lit(1 << 37) + F.call_function("div", key, F.lit(127)) * 8 + F.col("l_linenumber")).alias("place")
     notes = line.select("*", place).select(
         F.col("l_suppkey").alias("file"),
         (F.col("l_partkey") % 128).cast("int").alias("pitch"),

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notarium.operators import notes, scan
+from notarium.plans import registry
 from notarium.sources import midi
 
 
@@ -184,3 +185,13 @@ def test_building_queries_starts_no_job(spark):
         assert all(len(tracker.getStageInfo(s).name) and tracker.getStageInfo(s).numTasks == 1 for j in spans for s in j.stageIds)
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_ons_of_one_tick_are_struck_by_velocity(spark, tmp_path):
+    """Order 200000 starts at the tick of order 0 and later in the log, but its velocity is the lower one: 1 + 101 < 1 + 126."""
+    schema = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double"
+    lines = [(126, 60, 1, 1, 3.0), (200_126, 60, 1, 1, 5.0)]
+    assert 1 + 200_126 % 127 < 1 + 126 % 127
+    spark.createDataFrame(lines, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = registry.paired_notes(spark, str(tmp_path)).collect()
+    assert sorted((r.len_ticks, r.velocity) for r in got) == [(144, 1 + 200_126 % 127), (240, 127)]

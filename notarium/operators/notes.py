@@ -24,7 +24,8 @@ def pair_notes(events: DataFrame, track_keys: Sequence[str] = ("file", "track"),
     ``events``: the track keys, ``seq`` (unique and rising inside a track), ``tick``,
     ``kind`` (``on``/``off``), ``channel``, ``pitch``, ``velocity``.  An on with velocity 0
     is an off.  An off with nothing open is ignored; a note never closed is dropped.  Where
-    events carry ``ppq``, the ticks per quarter of their file, the notes carry it on.
+    events carry ``ppq``, the ticks per quarter of their file, the notes carry it on; where they
+    carry ``us``, their time (see ``event_times``), notes get ``start_us`` and ``dur_us``.
 
     ``whole_tracks`` says that a track fits into one task, as it does where a decoder has
     just held its whole file; then nothing is carried.  Otherwise all rows are dealt out by
@@ -40,10 +41,11 @@ def pair_notes(events: DataFrame, track_keys: Sequence[str] = ("file", "track"),
     """
     lane = [*track_keys, "channel", "pitch"]
     resolution = ["ppq"] if "ppq" in events.columns else []
+    times = ["us"] if "us" in events.columns else []
     is_on = (F.col("kind") == "on") & (F.col("velocity") > 0)
     rows = (
         events.filter(F.col("kind").isin("on", "off"))
-        .select(*lane, "seq", "tick", "velocity", F.when(is_on, 1).otherwise(0).alias("on"), *resolution)
+        .select(*lane, "seq", "tick", "velocity", F.when(is_on, 1).otherwise(0).alias("on"), *resolution, *times)
     )
     if not whole_tracks:
         rows = scan.ranged(rows, [*lane, "seq"], stretches)
@@ -75,7 +77,7 @@ def pair_notes(events: DataFrame, track_keys: Sequence[str] = ("file", "track"),
     level = F.col("level_in") + F.col("level")
     floor = F.least(F.lit(0), F.col("low_in"), F.col("level_in") + F.col("low"))
     numbered = carried.select(
-        *lane, "tick", "velocity", "on", *resolution,
+        *lane, "tick", "velocity", "on", *resolution, *times,
         (F.col("ons_in") + F.col("ons")).alias("ons"),
         level.alias("level"),
         floor.alias("floor"),
@@ -90,10 +92,13 @@ def pair_notes(events: DataFrame, track_keys: Sequence[str] = ("file", "track"),
         F.max(F.when(F.col("on") == 1, F.col("velocity"))).alias("velocity"),
         F.min(F.when(F.col("on") == 0, F.col("tick"))).alias("off_tick"),
         *[F.max(c).alias(c) for c in resolution],
+        *[F.max(F.when(F.col("on") == 1, F.col(c))).alias("start_us") for c in times],
+        *[F.min(F.when(F.col("on") == 0, F.col(c))).alias("end_us") for c in times],
     )
     return per_note.filter(F.col("start_tick").isNotNull() & F.col("off_tick").isNotNull()).select(
         *track_keys, "channel", "pitch", "start_tick",
         (F.col("off_tick") - F.col("start_tick")).alias("len_ticks"), "velocity", *resolution,
+        *["start_us" for _ in times], *[(F.col("end_us") - F.col("start_us")).alias("dur_us") for _ in times],
     )
 
 
@@ -175,6 +180,25 @@ def _as_of(points: DataFrame, segments: DataFrame, keys: list[str], ppq: int, de
     return found.select(*columns, _rounded_us(numerator, F.col("ppq") if "ppq" in columns else ppq).alias("us"))
 
 
+def event_times(rows: DataFrame, song_keys: Sequence[str] = ("file",), order: Sequence[str] = ("track", "seq"), ppq: int = 480,
+                default_us: int = DEFAULT_US_PER_QUARTER) -> DataFrame:
+    """Add ``us``, the time of each row, for songs that fit into one task, as they do where a decoder has just held their files.
+
+    ``rows``: the song keys, ``tick``, ``us_per_quarter`` on tempo changes and NULL elsewhere, the
+    columns of ``order``, of which the last change of one tick is the one that counts, and, where
+    it varies, ``ppq``.  Changes and notes are one table here, so a song's rows are dealt out once, by
+    the song; later steps on it move nothing.  See ``tempo_segments`` and ``note_times`` for
+    songs of any length.
+    """
+    is_change = F.col("us_per_quarter").isNotNull()
+    place = Window.partitionBy(*song_keys).orderBy("tick", F.when(is_change, 0).otherwise(1), *order)
+    earlier = place.rowsBetween(Window.unboundedPreceding, -1)
+    in_force = F.coalesce(F.last("us_per_quarter", ignorenulls=True).over(earlier).cast("bigint"), F.lit(default_us).cast("bigint"))
+    stepped = rows.withColumn("_step", (F.col("tick") - F.coalesce(F.lag("tick").over(place), F.lit(0))) * in_force)
+    summed = F.sum("_step").over(place.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return stepped.withColumn("us", _rounded_us(summed, F.col("ppq") if "ppq" in rows.columns else ppq)).drop("_step")
+
+
 def tick_times(ticks: DataFrame, segments: DataFrame, song_keys: Sequence[str] = ("song_id",),
                ppq: int = 480, default_us: int = DEFAULT_US_PER_QUARTER) -> DataFrame:
     """Time of each distinct tick (as-of join).  ``ticks`` needs the song keys, ``tick`` and, where it varies, ``ppq``."""

@@ -11,7 +11,8 @@ def _col(path: Column | str) -> Column:
 
 
 def base_name(path: Column | str) -> Column:
-    return F.regexp_extract(_col(path), r"([^/\\]*)$", 1)
+    """What follows the last separator; a pattern bound to the end would try every place of a long path."""
+    return F.substring_index(F.substring_index(_col(path), "/", -1), "\\", -1)
 
 
 def parent_folder(path: Column | str) -> Column:

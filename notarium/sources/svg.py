@@ -19,9 +19,9 @@ _ELEMENT = T.StructType(
 
 
 def read_svg_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """``file, svg`` for every name ending in ``.svg``, each page one row."""
+    """``file, svg`` for every name ending in ``.svg`` in a folder and below it, each page one row."""
     return (
-        spark.read.text(folder, wholetext=True, pathGlobFilter="*.svg")
+        spark.read.text(folder, wholetext=True, pathGlobFilter="*.svg", recursiveFileLookup=True)
         .select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("svg"))
     )
 

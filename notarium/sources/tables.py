@@ -34,11 +34,11 @@ def write_labels(labels: DataFrame, folder: str) -> None:
     lines.select("file", "line").write.partitionBy("file").text(folder)
 
 
-def write_label_files(labels: DataFrame, folder: str) -> None:
+def write_label_files(labels: DataFrame, folder: str, per_folder: int = 0) -> None:
     """One label file a page under its own name (see ``label_target``), lines in document order,
-    no newline at the end; a page without labels gets none."""
+    no newline at the end; a page without labels gets none.  ``per_folder`` as in ``write_named``."""
     named = label_target(format_label(labels)).select(base_name("label_file").alias("name"), "ord", "line")
-    write_named(named, folder)
+    write_named(named, folder, per_folder)
 
 
 def write_label_lines(labels: DataFrame, folder: str, buckets: int = 64) -> None:

@@ -1,11 +1,14 @@
 """Very many files: written to folders of bounded size, listed by tasks, streamed by lists."""
 
 import os
+import re
 from collections import Counter
 
 import pytest
 
-from notarium.sources import listing, named_text, scores
+from notarium.functions import paths
+from notarium.operators import labels
+from notarium.sources import listing, named_text, scores, svg, tables
 from notarium.streaming import live
 
 KIND = "name string, ord int, line string"
@@ -51,3 +54,21 @@ def test_a_stream_keeps_account_of_lists_not_of_files(spark, tmp_path):
     got = live.run_available(live.first_arrivals(routes[0].unionByName(routes[1])), "listed")
     assert sorted(r.path for r in got.collect()) == sorted(found(tmp_path / "in").values())
     assert listing.list_count(spark, str(tmp_path / "lists")) < 100
+
+
+def test_label_files_in_folders(spark, tmp_path):
+    """Pages and their label files in folders of a bounded number of files, under their own names."""
+    page = '<svg xmlns="http://www.w3.org/2000/svg"><path d="M0,0 L1000,0 L1000,2000 Z"/><use class="Note" x="{}" y="100"/></svg>'
+    pages = spark.createDataFrame([(f"p{n}.svg", 0, page.format(n)) for n in range(60)], KIND)
+    named_text.write_named(pages, str(tmp_path / "in"), per_folder=4)
+    out = labels.labels(svg.parse_pages(svg.read_svg_corpus(spark, str(tmp_path / "in"))))
+    tables.write_label_files(out, str(tmp_path / "out"), per_folder=5)
+    assert sorted(found(tmp_path / "out")) == sorted(f"p{n}.txt" for n in range(60))
+    back = tables.read_labels(spark, str(tmp_path / "out")).withColumn("file", paths.base_name("file")).collect()
+    assert sorted((r.file, r.norm_x) for r in back) == sorted((f"p{n}.txt", round((n + 7.5) / 1000, 6)) for n in range(60))
+
+
+def test_base_names(spark):
+    names = ["", "/", "a", "/a", "a/", "a/b.c", "a\\b", "a/b\\c", "a\\b/c d", "file:///x/y/z.txt", "\\\\s\\t", None]
+    got = spark.createDataFrame([(n,) for n in names], "path string").select("path", paths.base_name("path").alias("b")).collect()
+    assert {r.path: r.b for r in got} == {n: None if n is None else re.split(r"[/\\]", n)[-1] for n in names}

@@ -51,20 +51,19 @@ def _case(*branches: tuple[str, str], default: str | None = None) -> str:
 def _steps(d: str) -> str:
     """``array<struct<kind, rel, args, n>>``, one entry per drawn piece, in order.
 
-    ``n`` is the number of arguments the kind takes; a step with another number is broken.
+    ``kind`` is the code of the command's capital letter (``upper`` would go over its whole text),
+    ``n`` the number of arguments the kind takes; a step with another number is broken.
     """
     sizes = ", ".join(str(_ARITY.get(chr(c), 0)) for c in range(ord("A"), ord("Z") + 1))
 
-    def arity(kind: str) -> str:
-        return f"get(array({sizes}), ascii({kind}) - 65)"
-
+    kind = "(ascii(cmd) & 223)"
     numbers = f"CAST(regexp_extract_all(substring(cmd, 2), '{_NUMBER}', 0) AS ARRAY<DOUBLE>)"
-    command = f"named_struct('kind', upper(left(cmd, 1)), 'rel', ascii(cmd) >= 97, 'args', {numbers}, 'n', {arity('upper(cmd)')})"
+    command = f"named_struct('kind', {kind}, 'rel', ascii(cmd) >= 97, 'args', {numbers}, 'n', get(array({sizes}), {kind} - 65))"
     commands = f"transform(regexp_extract_all({d}, '[{_LETTERS}][^{_LETTERS}]*', 0), cmd -> {command})"
     # Most commands carry one group and are steps as they stand; only repeated groups are split.
     pieces = (
         "transform(sequence(1, size(w.args), w.n), i -> named_struct("
-        "'kind', IF(w.kind = 'M' AND i > 1, 'L', w.kind), 'rel', w.rel, 'args', slice(w.args, i, w.n), 'n', w.n))"
+        f"'kind', IF(w.kind = {ord('M')} AND i > 1, {ord('L')}, w.kind), 'rel', w.rel, 'args', slice(w.args, i, w.n), 'n', w.n))"
     )
     split = f"flatten(transform(cs, w -> IF(w.n > 0 AND size(w.args) > w.n, {pieces}, array(w))))"
     steps = f"IF(exists(cs, c -> c.n > 0 AND size(c.args) > c.n), {split}, cs)"
@@ -234,15 +233,15 @@ def _advance() -> str:
     mx, my = mirrored(2, "x"), mirrored(2, "y")
     return _case(
         ("NOT a.ok OR size(s.args) <> s.n", _FAILED),
-        ("s.kind = 'L'", _line(x(0), y(1))),
-        ("s.kind = 'C'", _curve(3, x(0), y(1), x(2), y(3), x(4), y(5))),
-        ("s.kind = 'M'", opened),
-        ("s.kind = 'Z'", closed),
-        ("s.kind = 'H'", _line(x(0), "a.y")),
-        ("s.kind = 'V'", _line("a.x", y(0))),
-        ("s.kind = 'S'", _curve(3, mirrored(3, "x"), mirrored(3, "y"), x(0), y(1), x(2), y(3))),
-        ("s.kind = 'Q'", _curve(2, x(0), y(1), x(0), y(1), x(2), y(3))),
-        ("s.kind = 'T'", _curve(2, mx, my, mx, my, x(0), y(1))),
+        (f"s.kind = {ord('L')}", _line(x(0), y(1))),
+        (f"s.kind = {ord('C')}", _curve(3, x(0), y(1), x(2), y(3), x(4), y(5))),
+        (f"s.kind = {ord('M')}", opened),
+        (f"s.kind = {ord('Z')}", closed),
+        (f"s.kind = {ord('H')}", _line(x(0), "a.y")),
+        (f"s.kind = {ord('V')}", _line("a.x", y(0))),
+        (f"s.kind = {ord('S')}", _curve(3, mirrored(3, "x"), mirrored(3, "y"), x(0), y(1), x(2), y(3))),
+        (f"s.kind = {ord('Q')}", _curve(2, x(0), y(1), x(0), y(1), x(2), y(3))),
+        (f"s.kind = {ord('T')}", _curve(2, mx, my, mx, my, x(0), y(1))),
         default=arc,
     )
 

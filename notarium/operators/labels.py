@@ -26,6 +26,8 @@ MIN_LINE_WIDTH, LINE_PADDING = 1, 5
 _TRANSLATE = r"translate\(([-\d.]+)[,\s]+([-\d.]+)\)"
 
 BROADCAST_NAMES = 10_000
+# What boxes are made from, without polylines and an element's own transform.
+BOX_FIELDS = ("tag", "cls", "d", "x", "y", "ancestor_transforms")
 
 
 def vocabulary(spark: SparkSession, class_ids: dict[str, int] | None = None) -> DataFrame:
@@ -160,13 +162,10 @@ def element_boxes(elements: DataFrame, include_polyline: bool = False, own_trans
     element's own translate, which the default leaves out.
     """
     tag = F.col("tag")
-    polyline = polyline_bbox(F.col("points")) if include_polyline else F.lit(None).cast(
-        "struct<xmin:double,xmax:double,ymin:double,ymax:double>")
-    raw = (
-        F.when((tag == "path") & (F.col("d") != ""), path_bbox("d"))
-        .when(tag == "use", use_bbox(F.col("x"), F.col("y"), F.col("cls")))
-        .when((tag == "polyline") & (F.col("points") != ""), polyline)
-    )
+    raw = F.when((tag == "path") & (F.col("d") != ""), path_bbox("d")).when(
+        tag == "use", use_bbox(F.col("x"), F.col("y"), F.col("cls")))
+    if include_polyline:
+        raw = raw.when((tag == "polyline") & (F.col("points") != ""), polyline_bbox(F.col("points")))
     transforms = F.col("ancestor_transforms")
     if own_transform:
         own = F.when(F.col("transform") != "", F.array("transform")).otherwise(F.array().cast("array<string>"))

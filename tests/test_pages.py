@@ -238,3 +238,15 @@ def test_page_of_size_zero_is_rejected(spark):
     docs = pages.parse_pages(spark.createDataFrame([("a.svg", svg)], "file string, svg string"))
     assert labels.labels(docs).count() == 0
     assert [r.reason for r in labels.label_rejects(docs).collect()] == ["page of size zero"]
+
+
+def test_only_wanted_members_are_handed_on(spark):
+    df = spark.createDataFrame([("p0.svg", PAGE), ("p1.svg", "<svg"), ("p2.svg", PAGE)], "file string, svg string")
+    whole = svg.parse_pages(df)
+    for fields in (("tag", "cls"), labels.BOX_FIELDS):
+        some = svg.parse_pages(df, fields=fields)
+        assert some.schema["elements"].dataType.elementType.names == ["ord", *fields]
+        assert some.select("file", "page_d", "error").collect() == whole.select("file", "page_d", "error").collect()
+        chosen = labels.page_elements(whole).select("file", "ord", *fields)
+        assert labels.page_elements(some).collect() == chosen.collect()
+    assert lines(labels.labels(some.filter("file = 'p2.svg'"))) == EXPECTED

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from notarium.functions.expressions import bind, once, parse_double, six_decimals
-from notarium.functions.svgpath import path_bbox
+from notarium.functions.pathbox import BOX, CORNERS, box_array, path_bbox, path_boxes
 
 # Class vocabulary, fallback page size, symbol box sizes, translate pattern.
 CLASS_IDS = {
@@ -25,9 +32,17 @@ MIN_LINE_WIDTH, LINE_PADDING = 1, 5
 
 _TRANSLATE = r"translate\(([-\d.]+)[,\s]+([-\d.]+)\)"
 
+# The same texts inside tasks: a number of a few digits, any plain number, its names, blanks around them.
+_SHORT = r"^-?[0-9]{1,15}(\.[0-9]{1,15})?$"
+_TRANSLATION = re.compile(_TRANSLATE, re.ASCII)
+_BLANKS = "".join(map(chr, range(33)))
+_PLAIN = re.compile(r"[\x00-\x20]*[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?[\x00-\x20]*")
+_NAMED = {sign + name: float(sign + name) for sign in ("", "+", "-") for name in ("inf", "infinity", "nan") if name != "nan" or not sign}
+
 BROADCAST_NAMES = 10_000
 # What boxes are made from, without polylines and an element's own transform.
 BOX_FIELDS = ("tag", "cls", "d", "x", "y", "ancestor_transforms")
+_GEOMETRY, _LINE = ("d", "x", "y", "points", "transform", "ancestor_transforms"), "_line"
 
 
 def vocabulary(spark: SparkSession, class_ids: dict[str, int] | None = None) -> DataFrame:
@@ -59,18 +74,16 @@ def page_size(elements: DataFrame) -> DataFrame:
     """
     outline = F.when((F.col("tag") == "path") & F.col("cls").isNull(), F.col("ord"))
     pages = elements.groupBy("file").agg(F.min_by(F.struct("d"), outline).alias("first"))
-    return once(pages, "page", _page_struct("first.d")).select("file", "page.*")
+    return _sized(pages, "first.d").select("file", "page_w", "page_h")
 
 
-def _page_struct(d: str) -> Column:
-    def size(box: Column) -> Column:
-        w, h = DEFAULT_PAGE
-        return F.struct(
-            F.coalesce(box.xmax - box.xmin, F.lit(w)).alias("page_w"),
-            F.coalesce(box.ymax - box.ymin, F.lit(h)).alias("page_h"),
-        )
-
-    return bind(path_bbox(d), size)
+def _sized(pages: DataFrame, d: str) -> DataFrame:
+    """Add ``page_w`` and ``page_h`` by the outline ``d``."""
+    w, h = DEFAULT_PAGE
+    return pages.withColumn("_outline", path_bbox(d)).withColumns({
+        "page_w": F.coalesce(F.col("_outline.xmax") - F.col("_outline.xmin"), F.lit(w)),
+        "page_h": F.coalesce(F.col("_outline.ymax") - F.col("_outline.ymin"), F.lit(h)),
+    }).drop("_outline")
 
 
 def assign_class(elements: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -154,33 +167,89 @@ def shift_by_ancestors(box: Column, transforms: Column) -> Column:
     return F.when(F.size(transforms) > 0, F.aggregate(transforms, plain, move)).otherwise(plain)
 
 
+def _doubles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of texts, and which could not be read; the rules of ``parse_double``."""
+    short = pc.match_substring_regex(texts, _SHORT).to_numpy(zero_copy_only=False)
+    values, bad = np.zeros(len(texts)), np.zeros(len(texts), bool)
+    values[short] = texts.filter(pa.array(short)).cast(pa.float64()).to_numpy()
+    for i in np.flatnonzero(~short).tolist():
+        t = texts[i].as_py()
+        read = float(t) if _PLAIN.fullmatch(t) else _NAMED.get(t.strip(_BLANKS).lower())
+        values[i], bad[i] = (0.0, True) if read is None else (read, False)
+    return values, bad
+
+
+def _moved(boxes: np.ndarray, missing: np.ndarray, rows: np.ndarray, texts: pa.Array) -> None:
+    """Move the boxes of ``rows`` by one translate each, in place; see ``parse_translate``."""
+    coded = pc.fill_null(texts, "").dictionary_encode()
+    which = coded.indices.to_numpy()
+    found = [_TRANSLATION.search(t) for t in coded.dictionary.to_pylist()]
+    for corners, group in ((slice(0, 2), 1), (slice(2, 4), 2)):
+        by, bad = _doubles(pa.array([m[group] if m else "0" for m in found], pa.string()))
+        boxes[corners, rows] += by[which]
+        if bad.any():
+            missing[corners, rows] |= bad[which]
+
+
+def _element_box(batch: pa.RecordBatch, own_transform: bool) -> tuple[pa.Array, pa.Array]:
+    """``box`` and ``reject`` of a batch of elements (see ``element_boxes``)."""
+    n = batch.num_rows
+    boxes, there, missing = np.full((4, n), np.nan), np.zeros(n, bool), np.zeros((4, n), bool)
+
+    def flags(values: pa.Array) -> np.ndarray:
+        return pc.fill_null(values, False).to_numpy(zero_copy_only=False)
+
+    tag, cls = batch.column("tag"), batch.column("cls")
+    paths = np.flatnonzero(flags(pc.and_(pc.equal(tag, "path"), pc.not_equal(batch.column("d"), ""))))
+    boxes[:, paths], there[paths] = path_boxes(batch.column("d").take(pa.array(paths)).to_pylist())
+    is_use = flags(pc.equal(tag, "use"))
+    uses = np.flatnonzero(is_use)
+    (x, bad_x), (y, bad_y) = (_doubles(pc.fill_null(batch.column(c).take(pa.array(uses)), "0")) for c in ("x", "y"))
+    tall = flags(pc.equal(cls, "BarLine"))[uses]
+    boxes[:, uses] = x, x + SYMBOL_WIDTH, np.where(tall, y, y - SYMBOL_HEIGHT), np.where(tall, y + BAR_LINE_HEIGHT, y)
+    there[uses] = ~(bad_x | bad_y)
+    if _LINE in batch.schema.names:
+        line = batch.column(_LINE)
+        lines = np.flatnonzero(flags(pc.and_(pc.equal(tag, "polyline"), pc.is_valid(line))))
+        boxes[:, lines] = [pc.struct_field(line, c).take(pa.array(lines)).to_numpy(zero_copy_only=False) for c in CORNERS]
+        there[lines] = True
+
+    if own_transform:
+        own = batch.column("transform")
+        rows = np.flatnonzero(there & flags(pc.not_equal(own, "")))
+        _moved(boxes, missing, rows, own.take(pa.array(rows)))
+    above = batch.column("ancestor_transforms")
+    deep = pc.fill_null(pc.list_value_length(above), 0).to_numpy(zero_copy_only=False)
+    rows, level = np.flatnonzero(there & (deep > 0)), 0
+    while len(rows):
+        _moved(boxes, missing, rows, pc.list_element(above.take(pa.array(rows)), level))
+        level += 1
+        rows = rows[deep[rows] > level]
+    lost = there & missing.any(axis=0)
+    reject = pa.array(["bad symbol position", "bad ancestor translate"]).take(pa.array(lost.astype(np.int32), mask=~(lost | (is_use & ~there))))
+    return box_array(boxes, there, missing), reject
+
+
 def element_boxes(elements: DataFrame, include_polyline: bool = False, own_transform: bool = False) -> DataFrame:
     """Add ``box`` (NULL without usable geometry) and ``reject`` (why a row stops a page).
 
     Paths without readable data are dropped silently later on; an unreadable number on a
     symbol or in an ancestor transform is a reject.  ``own_transform`` also applies the
-    element's own translate, which the default leaves out.
+    element's own translate, which the default leaves out.  The members that boxes are made from
+    are left out of the result.
     """
-    tag = F.col("tag")
-    raw = F.when((tag == "path") & (F.col("d") != ""), path_bbox("d")).when(
-        tag == "use", use_bbox(F.col("x"), F.col("y"), F.col("cls")))
     if include_polyline:
-        raw = raw.when((tag == "polyline") & (F.col("points") != ""), polyline_bbox(F.col("points")))
-    transforms = F.col("ancestor_transforms")
-    if own_transform:
-        own = F.when(F.col("transform") != "", F.array("transform")).otherwise(F.array().cast("array<string>"))
-        transforms = F.concat(own, transforms)
-    moved = F.when(F.col("_raw").isNotNull(), shift_by_ancestors(F.col("_raw"), transforms))
-    return (
-        once(once(elements, "_raw", raw), "box", moved)
-        .withColumn(
-            "reject",
-            F.when((tag == "use") & F.col("_raw").isNull(), "bad symbol position")
-            .when(F.col("_raw").isNotNull() & (F.col("box.xmin").isNull() | F.col("box.ymin").isNull()),
-                  "bad ancestor translate"),
-        )
-        .drop("_raw")
-    )
+        line = F.when((F.col("tag") == "polyline") & (F.col("points") != ""), polyline_bbox(F.col("points")))
+        elements = once(elements, _LINE, line)
+    kept = [f for f in elements.schema.fields if f.name not in (*_GEOMETRY, _LINE)]
+    names = [f.name for f in kept]
+    schema = T.StructType(kept).add("box", BOX).add("reject", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *_element_box(batch, own_transform)], [*names, "box", "reject"])
+
+    return elements.mapInArrow(run, schema)
 
 
 def normalise(boxes: DataFrame) -> DataFrame:
@@ -210,9 +279,7 @@ def label_boxes(documents: DataFrame, include_polyline: bool = False, own_transf
     elements are listed, so the whole way from document to label needs no shuffle.
     """
     tags = ("use", "path", "polyline") if include_polyline else ("use", "path")
-    sized = once(documents, "page", _page_struct("page_d")).select(
-        *[c for c in documents.columns if c != "page_d"], "page.*"
-    )
+    sized = _sized(documents, "page_d").drop("page_d")
     listed = page_elements(sized, with_errors).withColumn("class_id", class_id(F.col("cls")))
     wanted = F.col("tag").isin(*tags) & F.col("class_id").isNotNull()
     if with_errors:

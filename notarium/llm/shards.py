@@ -9,8 +9,8 @@ bucket answers each blob, and the next visit reads shards and answers side by si
 
 * Each chunk of about a megabyte sends a fingerprint once, however often it holds it; one
   that a third of all documents share costs an entry for each chunk, not for each document.
-* Buckets are as many as ``BUCKETS_PER_PARTITION`` times the shuffle partitions, so a bucket
-  shrinks as the cluster is set up for more data.
+* Buckets are at least ``BUCKETS_PER_PARTITION`` times the shuffle partitions, and one for each
+  ``BUCKET_BYTES`` of the stored table, so what one worker holds does not grow with the data.
 * The table lies in the folder that spark.checkpoint.dir names; nothing is kept in memory.
 """
 
@@ -31,6 +31,7 @@ from notarium.session import materialise, scratch_path
 
 CHUNK_BYTES = 1 << 20
 BUCKETS_PER_PARTITION = 2
+BUCKET_BYTES = 32 << 20
 TABLE_BUCKETS_PER_PARTITION = 4
 ANSWERS = "shard long, bucket int, chunk int, kind int, blob binary"
 _ANSWERS = pa.schema([("shard", pa.int64()), ("bucket", pa.int32()), ("chunk", pa.int32()),
@@ -89,8 +90,18 @@ def store(docs: DataFrame, label: str) -> DataFrame:
     return spark.table(table)
 
 
-def bucket_count(df: DataFrame) -> int:
-    return BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def stored_bytes(table: DataFrame) -> int:
+    """Bytes of a table written by ``store``."""
+    spark, files = table.sparkSession, table.inputFiles()
+    if not files:
+        return 0
+    folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(files[0])).getParent()
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
+
+def bucket_count(table: DataFrame) -> int:
+    least = BUCKETS_PER_PARTITION * int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-stored_bytes(table) // BUCKET_BYTES))
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:

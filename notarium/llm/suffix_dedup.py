@@ -93,7 +93,8 @@ class _Chunk:
         self.ids = batch["doc_id"].fill_null(NO_ID).to_numpy(zero_copy_only=False)
         self.fits = whole_windows(self.texts)
         self.at, self.hash = find_anchors(self.texts, self.fits)
-        self.anchors, self.number, self.count = np.unique(self.hash, return_inverse=True, return_counts=True)
+        # An anchor has the least hash of its windows, so these hashes crowd at the low end; buckets go by them spread out again.
+        self.anchors, self.number, self.count = np.unique(mix(self.hash), return_inverse=True, return_counts=True)
 
     def stretch(self, known: dict, buckets: int) -> None:
         """Rows of bytes around the anchors of all windows that may be repeated.
@@ -122,7 +123,7 @@ class _Chunk:
         self.anchor = self.at[best[edge]]
         self.low = windows[edge]
         self.high = windows[np.r_[edge[1:], len(windows)] - 1] if len(edge) else self.low
-        hashes = self.hash[best[edge]]
+        hashes = mix(self.hash[best[edge]])
         self.doc = np.searchsorted(self.texts.offsets, self.low, side="right") - 1
         self.rows = np.full((len(edge), ROW), OUTSIDE, np.uint8)
         if len(edge):
